@@ -112,7 +112,8 @@ def mix_sources(docs: DataFrame, seed: int = 20, most: int = 3, per_shard: int =
     chosen = quotas.where("blocks > 0").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rank = F.row_number().over(in_shard.orderBy(F.xxhash64(F.lit(seed), *key, "block"), "block"))
     chosen = chosen.select(*key, "block", F.expr("taken_blocks div blocks").alias("whole"), (rank <= F.expr("taken_blocks % blocks")).cast("long").alias("more"))
-    pieces = pieces.join(chosen, [*key, "block"]).select(
+    # merge: a size estimate misses the explode and would broadcast the blocks
+    pieces = pieces.join(chosen.hint("merge"), [*key, "block"]).select(
         *key, "place",
         (F.greatest("start", F.expr("block * shard_size div blocks")) - F.col("start")).alias("a"),
         (F.least("stop", F.expr("(block + 1) * shard_size div blocks")) - F.col("start")).alias("b"),
