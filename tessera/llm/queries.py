@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import media, mixing, packing, quality, simhash
+from tessera.llm import language, lines, lm, media, mixing, packing, pii, quality, secrets, simhash
+
+
+#: The registered query's key; a real run passes its own.
+KEY = b"surrogates of the registered query"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(_documents(spark, sf_dir))
+
+
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_documents(spark, sf_dir)).select("doc_id", "lines_before", "lines_cut", "text")
+
+
 def op3_pack_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -22,11 +34,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir), KEY)
+
+
+def op6_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_documents(spark, sf_dir))
+    base = F.sha2(secrets.span_text(F.col("base_spans")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"), "n_linked")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_documents(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).drop("parts")
 
@@ -36,9 +62,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_pack_mixture": op3_pack_mixture,
     "op4_quality_rules": op4_quality_rules,
+    "op5_surrogates": op5_surrogates,
+    "op6_linked_secrets": op6_linked_secrets,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_mix_sources": op9_mix_sources,
     "op10_media_columns": op10_media_columns,
 }
