@@ -60,7 +60,7 @@ def shingle_hashes(codes: np.ndarray, size: int) -> np.ndarray:
             return _scramble(out)
         n = len(codes) - 2 * width + 1
         have = have[:n] * factor + have[width : width + n]
-        width, factor = width * 2, factor * factor
+        width, factor = width * 2, np.uint64(int(factor) ** 2 & 0xFFFFFFFFFFFFFFFF)
 
 
 def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def bloom_bits(ids: DataFrame, n: int) -> np.ndarray:
     """Bits of a Bloom filter (2 hashes) of the long column id: 12 bits an id, MOST_BITS at most."""
     bits = 1 << max(16, min(MOST_BITS.bit_length() - 1, (12 * n).bit_length()))
     spots = ids.select(F.explode(F.array(*(F.shiftrightunsigned("id", s).bitwiseAND(F.lit(bits - 1).cast("long")) for s in (0, 31)))).alias("h"))
-    words = spots.groupBy(F.expr("h div 64").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("bits")).toArrow()
+    words = spots.groupBy(F.expr("h div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
