@@ -17,8 +17,11 @@ document's place by an ordinal and are counted each; an empty table gives no row
 from __future__ import annotations
 
 import heapq
+import re
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, stage
 
 WEIGHTS = (1, 2, 3)
+_WORDS = re.compile(WORD)
 
 
 def water_fill(sizes: list[int], weights: list[int], most: int = 3) -> list[float]:
@@ -122,3 +126,43 @@ def mix_sources(docs: DataFrame, seed: int = 20, most: int = 3, per_shard: int =
     taken = pieces.where("times > 0").groupBy(*key, "place").agg(F.sum(F.expr("(b - a) * times")).alias("taken"), F.sort_array(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("end"), "times"))).alias("parts"))
     out = ordered.join(taken, [*key, "place"], "left")
     return out.select(*ids, "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("parts", F.expr("cast(array() as array<struct<start: long, end: long, times: long>>)")).alias("parts"))
+
+
+def taken_text(text: str, parts: list[dict]) -> str:
+    """The taken words of a text, pass by pass, one pass a paragraph; a pass over all words is the text as it is."""
+    words = [m.span() for m in _WORDS.finditer(text)]
+    passes = []
+    for k in range(1, max((p["times"] for p in parts), default=0) + 1):
+        runs: list[list[int]] = []
+        for p in parts:
+            if p["times"] < k:
+                continue
+            if runs and runs[-1][1] == p["start"]:
+                runs[-1][1] = p["end"]
+            else:
+                runs.append([p["start"], p["end"]])
+        whole = runs == [[0, len(words)]]
+        passes.append(text if whole else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
+    return "\n\n".join(passes)
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs as the mix takes them: columns as they are, text cut to the taken words and repeated as often as they are taken.
+
+    Documents without a taken word go; n_chars, if there, is counted anew. Rows that repeat doc_id and text are told apart by a
+    number, so each gets its own share.
+    """
+    same = W.partitionBy("doc_id", "__mark").orderBy("__mark")
+    numbered = docs.withColumn("__mark", F.xxhash64("text")).withColumn("__copy", F.row_number().over(same))
+    mix = mix_sources(numbered, ids=("doc_id", "__mark", "__copy"), **how).where("taken > 0")
+    mix = mix.select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__text"), F.col("__copy").alias("__no"), F.col("parts").alias("__parts"))
+    joined = numbered.join(mix.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__text")) & (F.col("__copy") == F.col("__no"))).select(*docs.columns, "__parts")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [taken_text(t or "", p) for t, p in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -1]], names=batch.schema.names[:-1])
+
+    out = joined.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
