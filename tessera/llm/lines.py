@@ -7,8 +7,8 @@ their character-shingle sets is at least `threshold`; equal lines always are. Of
 1. Signatures (numpy, one pass): shingle hashes by doubling, one-permutation MinHash into bands * rows bins, empty bins filled by
    optimal densification. At similarity 0.8, 12 bands of 4 rows let a pair meet with probability 0.998.
 2. Banding: (band key, line id) rows meet by key. A bucket's lines are not paired: each is paired with the bucket's smallest id.
-   Only lines that turn out not to be near it are compared with the bucket's other lines, so the components are those of all
-   pairs in all buckets.
+   Only lines that turn out not to be near it are compared with the bucket's other lines, and only with those that the links
+   so far leave in another component, so the components are those of all pairs in all buckets.
 3. Exact verification on the lines' texts, of which only candidates leave the scan (a Bloom filter of at most 8 MB tells them;
    what it lets through besides costs only time).
 4. Distributed union-find, then one position per component, and one join that brings the kept positions to their documents.
@@ -248,13 +248,16 @@ def near_lines(docs: DataFrame, threshold: float = 0.8, size: int = 8, bands: in
     texts = stage(line_texts(docs, members.select("id").distinct()), "candidate-lines")
     star = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     first = stage(verified(star, texts, size, threshold), "verified")
-    # a line that isn't near its bucket's smallest is compared with the bucket's others
+    linked = stage(first.where("near").select("a", "b"), "near-lines")
     failed = first.where("not near").select(F.col("a").alias("rep"), F.col("b").alias("id"))
-    lone = members.join(failed, ["rep", "id"], "left_semi").select("key", F.col("id").alias("lone"))
-    rest = lone.join(members.select("key", "id", "rep"), "key").where("id <> lone and id <> rep")
+    # a line that isn't near its bucket's smallest is compared with those of the bucket's others that no chain of links joins to it yet
+    known = components(linked).groupBy("node").agg(F.min("root").alias("root"))
+    placed = members.join(known, F.col("id") == F.col("node"), "left").select("key", "id", "rep", F.coalesce("root", "id").alias("root"))
+    lone = placed.join(failed, ["rep", "id"], "left_semi").select("key", F.col("id").alias("lone"), F.col("root").alias("lone_root"))
+    rest = lone.hint("merge").join(placed, "key").where("root <> lone_root and id <> rep")
     rest = rest.select(F.least("lone", "id").alias("a"), F.greatest("lone", "id").alias("b")).distinct()
     second = verified(rest, texts, size, threshold)
-    return components(first.union(second).where("near").select("a", "b"))
+    return components(linked.union(second.where("near").select("a", "b")))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, size: int = 8, bands: int = 12, rows: int = 4) -> DataFrame:
