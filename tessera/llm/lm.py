@@ -54,7 +54,7 @@ class Vocabulary(dict):
         self.words, self.shape, self.extra = words, shape, 0
 
     def __missing__(self, word: bytes) -> int:
-        if self.extra > 500_000:
+        if self.extra > 100_000:
             self.clear()
             self.update(zip(self.words, range(len(self.words)), strict=True))
             self.extra = 0
@@ -185,7 +185,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for text in text_bytes(batch):
                 seen.update(text.split())
-                if len(seen) > 400_000:
+                if len(seen) > 100_000:
                     yield pack()
                     seen.clear()
         yield pack()
@@ -193,7 +193,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _batches(texts: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
+def _batches(texts: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
     """Texts by so many bytes together."""
     part, size = [], 0
     for t in texts:
