@@ -73,6 +73,23 @@ def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield current, pa.Table.from_batches(held)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Positions of the pairs that join two trees."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p] if p in parent else p
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := root(x)) != (y := root(y)):
+            parent[max(x, y)] = min(x, y)
+            keep.append(i)
+    return keep
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: columns node, root, for every node of an edge.
 

@@ -7,8 +7,10 @@ their character-shingle sets is at least `threshold`; equal lines always are. Of
 1. Signatures (numpy, one pass): shingle hashes by doubling, one-permutation MinHash into bands * rows bins, empty bins filled by
    optimal densification. At similarity 0.8, 12 bands of 4 rows let a pair meet with probability 0.998.
 2. Banding: (band key, line id) rows meet by key. A bucket's lines are not paired: each is paired with the bucket's smallest id.
-   Only lines that turn out not to be near it are compared with the bucket's other lines, and only with those that the links
-   so far leave in another component, so the components are those of all pairs in all buckets.
+   Buckets whose lines the links so far leave in several components are searched again, in blocks, by sketches: bit sets of the
+   shingles, whose common bits bound the similarity from above, so a pair that they rule out can't be near. What passes is
+   verified; where that is far more than the lines, only a forest of it at first, and all that still joins two components
+   after that. So the components are those of all pairs in all buckets, and the rows do not grow with a bucket's square.
 3. Exact verification on the lines' texts, of which only candidates leave the scan (a Bloom filter of at most 8 MB tells them;
    what it lets through besides costs only time).
 4. Distributed union-find, then one position per component, and one join that brings the kept positions to their documents.
@@ -23,7 +25,8 @@ lines; empty tables give no rows; other columns pass through untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, stage, text_bytes
+from tessera.llm.common import LOWER_ASCII, components, forest, sorted_runs, stage, text_bytes
 
 SEED = 42
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -63,22 +66,63 @@ def shingle_hashes(codes: np.ndarray, size: int) -> np.ndarray:
         width, factor = width * 2, np.uint64(int(factor) ** 2 & 0xFFFFFFFFFFFFFFFF)
 
 
-def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray:
-    """Band keys (lines, bands) of lines that have a shingle at least."""
+def char_hashes(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the lines' shingles, one line after the other, and how many each has (0: shorter than a shingle)."""
+    texts = [x.decode() for x in lines]
+    count = np.maximum(0, np.fromiter(map(len, texts), np.int64, len(texts)) - size + 1)
+    joined = np.frombuffer("\n".join(t for t, n in zip(texts, count.tolist(), strict=True) if n).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(joined):
+        return np.empty(0, np.uint64), count
+    h, own = shingle_hashes(joined, size), count[count > 0]
+    start = np.concatenate(([0], np.cumsum(own + size)[:-1]))
+    return h[np.repeat(start - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(own.sum())], count
+
+
+def word_hashes(items: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As char_hashes(), for shingles of words; fewer words than a shingle are one, none have none."""
+    out, count = [], []
+    for item in items:
+        words = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in item.split()), np.uint64)
+        if len(words):
+            words = words - MIX[0]
+            out.append(shingle_hashes(words, min(size, len(words))))
+        count.append(max(1, len(words) - size + 1) if len(words) else 0)
+    return np.concatenate(out) if out else np.empty(0, np.uint64), np.array(count, np.int64)
+
+
+def text_lines(text: bytes) -> list[bytes]:
+    return text.split(b"\n")
+
+
+def whole_words(text: bytes) -> list[bytes]:
+    """The whole text as one item: its words in ASCII lower case."""
+    return [b" ".join(text.translate(LOWER_ASCII).split())]
+
+
+@dataclass(frozen=True)
+class Items:
+    """What is compared: how a text falls into items, and the shingles of an item."""
+
+    cut: Callable[[bytes], list[bytes]] = text_lines
+    hashes: Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray]] = char_hashes
+    size: int = 8
+
+
+LINES = Items()
+DOCUMENTS = Items(whole_words, word_hashes, 5)
+
+
+def signatures(h: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (items, bands) of items that have count shingles each, one at least."""
     bins = bands * rows
-    joined = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    count = np.fromiter(map(len, lines), np.int64, len(lines)) - size + 1
-    h = shingle_hashes(joined, size)
-    start = np.concatenate(([0], np.cumsum(count + size)[:-1]))
-    line = np.repeat(np.arange(len(lines)), count)
-    h = h[np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(len(line))]
+    line = np.repeat(np.arange(len(count)), count)
     at = line.astype(np.uint64) * np.uint64(bins) + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32))
     key = np.sort((at << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)))
     cell = key >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    sig = np.full(len(lines) * bins, -1, np.int64)
+    sig = np.full(len(count) * bins, -1, np.int64)
     sig[cell[first].astype(np.int64)] = (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    sig = sig.reshape(len(lines), bins)
+    sig = sig.reshape(len(count), bins)
     empty = sig < 0
     todo = np.flatnonzero(empty.any(1))
     rng = np.random.default_rng(SEED)  # the same donors in every task
@@ -91,8 +135,8 @@ def signatures(lines: list[str], size: int, bands: int, rows: int) -> np.ndarray
         part[take] = (part[:, donor] + (attempt << 33))[take]
         sig[todo] = part
         todo = todo[(part < 0).any(1)]
-    keys = np.zeros((len(lines), bands), np.uint64)
-    values = sig.astype(np.uint64).reshape(len(lines), bands, rows)
+    keys = np.zeros((len(count), bands), np.uint64)
+    values = sig.astype(np.uint64).reshape(len(count), bands, rows)
     for r in range(rows):
         keys = _scramble(keys * MIX[0] + values[:, :, r] + np.uint64(r + 1))
     return _scramble(keys + np.arange(bands, dtype=np.uint64) * MIX[0])
@@ -106,38 +150,35 @@ def _has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def band_rows(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """key, id of every band of every different line that a shingle fits into."""
+def band_rows(docs: DataFrame, items: Items, bands: int, rows: int) -> DataFrame:
+    """key, id of every band of every different item that a shingle fits into."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        ids: list[int] = []
-        lines: list[str] = []
+        held: dict[int, bytes] = {}
+        room = 0
 
         def pack() -> pa.RecordBatch:
-            keys = signatures(lines, size, bands, rows)
-            batch = pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64), bands).view(np.int64))], names=["key", "id"])
-            ids.clear()
-            lines.clear()
-            return batch
+            h, count = items.hashes(list(held.values()), items.size)
+            ids = np.fromiter(held, np.uint64, len(held))[count > 0]
+            keys = signatures(h, count[count > 0], bands, rows)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bands).view(np.int64))], names=["key", "id"])
 
-        room = 0
         for batch in batches:
             for text in text_bytes(batch):
-                for line in text.split(b"\n"):
-                    if len(line) < size or (i := line_id(line)) in seen or not line.strip():
+                for item in items.cut(text):
+                    if not item or (i := line_id(item)) in seen or not item.strip():
                         continue
                     seen.add(i)
-                    if len(s := line.decode()) >= size:
-                        ids.append(i)
-                        lines.append(s)
-                        room += len(s)
-                        if room > 1 << 20:
-                            yield pack()
-                            room = 0
+                    held[i] = item
+                    room += len(item)
+                    if room > 1 << 20:
+                        yield pack()
+                        room = 0
                 if len(seen) > 2_000_000:
                     seen.clear()
-        if ids:
+        if held:
             yield pack()
 
     return docs.select("text").mapInArrow(run, "key long, id long")
@@ -201,14 +242,14 @@ def in_bloom(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ok
 
 
-def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def line_texts(docs: DataFrame, ids: DataFrame, items: Items = LINES) -> DataFrame:
     """id, line for the ids, and for few others."""
     bits = docs.sparkSession.sparkContext.broadcast(bloom_bits(ids, ids.count()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            lines = {i: x for t in text_bytes(batch) for x in t.split(b"\n") if x and (i := line_id(x)) not in seen}
+            lines = {i: x for t in text_bytes(batch) for x in items.cut(t) if x and (i := line_id(x)) not in seen}
             keys = np.fromiter(lines, np.uint64, len(lines))
             keys = keys[in_bloom(bits.value, keys)]
             found = keys.tolist()
@@ -218,51 +259,136 @@ def line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, line string").groupBy("id").agg(F.any_value("line").alias("line"))
 
 
-def shingles(line: str, size: int) -> set[str]:
-    return {line[i : i + size] for i in range(len(line) - size + 1)} or {line}
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """pairs (a, b) with near: whether the lines' exact Jaccard similarity reaches the threshold."""
+def verified(pairs: DataFrame, texts: DataFrame, items: Items, threshold: float) -> DataFrame:
+    """pairs (a, b) with near: whether the exact Jaccard similarity of the shingles' 64-bit hashes reaches the threshold."""
     left, right = (texts.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line")) for s in "ab")
     joined = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id")).select("a", "b", "a_line", "b_line")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str | None, set[str]] = (None, set())
+        known: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
             near = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for a, b in zip(text_bytes(batch, "a_line"), text_bytes(batch, "b_line"), strict=True):
                 if known[0] != a:
-                    known = (a, shingles(a, size))
-                one, two = known[1], shingles(b, size)
-                both = len(one & two)
+                    known = (a, np.unique(items.hashes([a], items.size)[0]))
+                one, two = known[1], np.unique(items.hashes([b], items.size)[0])
+                both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
                 near.append(both >= threshold * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     return joined.mapInArrow(run, "a long, b long, near boolean")
 
 
-def near_lines(docs: DataFrame, threshold: float = 0.8, size: int = 8, bands: int = 12, rows: int = 4) -> DataFrame:
-    """node, root: the ids of lines that are near others, and their component's smallest id."""
-    members = stage(bucket_members(band_rows(docs, size, bands, rows)), "bucket-members")
-    texts = stage(line_texts(docs, members.select("id").distinct()), "candidate-lines")
-    star = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    first = stage(verified(star, texts, size, threshold), "verified")
-    linked = stage(first.where("near").select("a", "b"), "near-lines")
-    failed = first.where("not near").select(F.col("a").alias("rep"), F.col("b").alias("id"))
-    # a line that isn't near its bucket's smallest is compared with those of the bucket's others that no chain of links joins to it yet
-    known = components(linked).groupBy("node").agg(F.min("root").alias("root"))
-    placed = members.join(known, F.col("id") == F.col("node"), "left").select("key", "id", "rep", F.coalesce("root", "id").alias("root"))
-    lone = placed.join(failed, ["rep", "id"], "left_semi").select("key", F.col("id").alias("lone"), F.col("root").alias("lone_root"))
-    rest = lone.hint("merge").join(placed, "key").where("root <> lone_root and id <> rep")
-    rest = rest.select(F.least("lone", "id").alias("a"), F.greatest("lone", "id").alias("b")).distinct()
-    second = verified(rest, texts, size, threshold)
-    return components(linked.union(second.where("near").select("a", "b")))
-
-
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, size: int = 8, bands: int = 12, rows: int = 4) -> DataFrame:
+def sketches(texts: DataFrame, items: Items) -> DataFrame:
+    """id, n (different shingles), bits: a set of 4 to 8 bits a shingle, 64 at least and 65536 at most, with each shingle's bit."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bits = [], []
+            for line in text_bytes(batch, "line"):
+                h = np.unique(items.hashes([line], items.size)[0])
+                out = np.zeros(1 << min(16, max(6, (4 * len(h)).bit_length())), bool)
+                out[(h & np.uint64(len(out) - 1)).astype(np.int64)] = True
+                n.append(len(h))
+                bits.append(np.packbits(out, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+    return texts.mapInArrow(run, "id long, n int, bits binary")
+
+
+def possible(left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in left and right of the pairs in different components that may reach the threshold, and the bound of their
+    similarity. A side: n, root, bits (rows of words, equally wide on both sides). A bit that only one side has set stands for a
+    shingle that only it has."""
+    (ln, lroot, lbits), (rn, rroot, rbits) = left, right
+    lset, rset = (np.bitwise_count(b).sum(1, dtype=np.int64) for b in (lbits, rbits))
+    order, found = np.argsort(ln, kind="stable"), []
+    step = max(1, (1 << 22) // max(1, rbits.size))
+    for at in range(0, len(order), step):
+        rows = order[at : at + step]
+        cols = np.flatnonzero((rn >= threshold * ln[rows[0]] - 1) & (rn * threshold <= ln[rows[-1]] + 1))
+        if not len(cols):
+            continue
+        common = np.bitwise_count(lbits[rows, None] & rbits[None, cols]).sum(2, dtype=np.int64)
+        most = np.minimum((ln[rows] - lset[rows])[:, None], (rn[cols] - rset[cols])[None]) + common
+        bound = most / np.maximum(1, ln[rows][:, None] + rn[cols][None] - most)
+        a, b = np.nonzero((bound >= threshold - 1e-9) & (lroot[rows][:, None] != rroot[cols][None]))
+        found.append((rows[a], cols[b], bound[a, b]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+
+def cell_pairs(cells: DataFrame, threshold: float, dense: int | None) -> DataFrame:
+    """a, b of the pairs in a cell that may be near. A cell with over `dense` pairs a line gives a forest of them, the likeliest
+    pairs first, and a row of key, i, j; None: all cells give all pairs."""
+    order = ["key", "i", "j"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, i, j), t in sorted_runs(batches, order):
+            ids, root, n, mine = (t[c].to_numpy() for c in ("id", "root", "n", "mine"))
+            bits = t["bits"].to_pylist()
+            width = np.fromiter(map(len, bits), np.int64, len(bits))
+            sides = []
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                rows = np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), -1)
+                folded = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
+                sides.append((w, at, rows, folded))
+            pairs = []
+            for w, at, rows, _ in sides:
+                for v, to, other, half in sides:
+                    if v != w and v != 2 * w:  # near sets' sizes are of one width or of two neighbours
+                        continue
+                    a, b, bound = possible((n[at], root[at], rows), (n[to], root[to], other if v == w else half), threshold)
+                    a, b = at[a], to[b]
+                    ok = (ids[a] < ids[b]) | (v != w)
+                    if i != j:
+                        ok &= mine[a] != mine[b]
+                    pairs.append((a[ok], b[ok], bound[ok]))
+            a, b, bound = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            mark = dense is not None and len(a) > dense * len(ids)
+            if mark:
+                best = np.argsort(-bound, kind="stable")
+                keep = best[forest(root[a[best]], root[b[best]])]
+                a, b = a[keep], b[keep]
+            if len(a):
+                a, b = (pa.array(ids[x].tolist() + [None] * mark, pa.int64()) for x in (a, b))
+                cell = [pa.array([None] * (len(a) - mark) + [int(x)] * mark, kind) for x, kind in ((key, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([a, b, *cell], names=["a", "b", *order])
+
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, key long, i int, j int")
+
+
+def near_items(docs: DataFrame, items: Items = LINES, threshold: float = 0.8, bands: int = 12, rows: int = 4, also: DataFrame | None = None, block: int = 2048, dense: int = 4) -> DataFrame:
+    """node, root: the ids of items that are near others, and their component's smallest id. also: a, b of more pairs to verify."""
+    members = stage(bucket_members(band_rows(docs, items, bands, rows)), "bucket-members")
+    star = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    star = (star if also is None else star.union(also)).distinct()
+    wanted = members.select("id") if also is None else members.select("id").union(also.select(F.explode(F.array("a", "b"))))
+    texts = stage(line_texts(docs, wanted.distinct(), items), "candidates")
+    linked = stage(verified(star, texts, items, threshold).where("near").select("a", "b"), "near")
+    roots = stage(components(linked).groupBy("node").agg(F.min("root").alias("root")), "roots")
+    # buckets whose lines no chain of links joins yet; equal sets of lines under other keys are found by other bands as well
+    placed = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("lines")).where("least <> most")
+    split = split.select("key", F.expr(f"int((lines + {block - 1}) div {block})").alias("blocks"))
+    open_ = placed.join(split, "key").withColumn("mine", F.expr("int(pmod(xxhash64(id), blocks))"))
+    cells = open_.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root")
+    cells = cells.join(sketches(texts, items), "id")
+    found = stage(cell_pairs(cells, threshold, dense), "cell-pairs")
+    pairs = lambda df: df.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    linked = stage(linked.union(verified(pairs(found), texts, items, threshold).where("near").select("a", "b")), "near")
+    full = found.where("key is not null").select("key", "i", "j")
+    if full.isEmpty():
+        return components(linked)
+    roots = components(linked).groupBy("node").agg(F.min("root").alias("root"))
+    again = cells.join(full, ["key", "i", "j"]).drop("root").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    rest = pairs(cell_pairs(again, threshold, None)).join(pairs(found), ["a", "b"], "left_anti")
+    return components(linked.union(verified(rest, texts, items, threshold).where("near").select("a", "b")))
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, size: int = 8, bands: int = 12, rows: int = 4, **search) -> DataFrame:
     """docs with text less its repeated lines, and two more columns: lines_before and lines_cut (lines with words)."""
-    roots = near_lines(docs, threshold, size, bands, rows)
+    roots = near_items(docs, Items(size=size), threshold, bands, rows, **search)
     marked = docs.withColumn("__mark", F.xxhash64(F.coalesce("text", F.lit(""))))
     lines = marked.select(F.col("doc_id").alias("d"), F.col("__mark").alias("m"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(_has_word(F.col("line")))
     placed = lines.select("d", "m", "no", F.xxhash64("line").alias("id"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_ASCII, components, sorted_runs, stage, text_bytes
+from tessera.llm.common import LOWER_ASCII, components, forest, sorted_runs, stage, text_bytes
 
 SEED = 42
 
@@ -98,23 +98,6 @@ def chain_links(left: np.ndarray, right: np.ndarray, start: int, distance: int,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of the pairs that join two trees."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p] if p in parent else p
-        return x
-
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if (x := root(x)) != (y := root(y)):
-            parent[max(x, y)] = min(x, y)
-            keep.append(i)
-    return keep
-
-
 def links(fps: DataFrame, distance: int = 4, narrow: int = 4_000_000, block: int = 4096, prefix: int | None = None) -> DataFrame:
     """a, b (a < b as longs): links between distinct fingerprints (column fp) that connect whatever pairs within the distance connect."""
     cut = segments(distance)
@@ -164,7 +147,7 @@ def links(fps: DataFrame, distance: int = 4, narrow: int = 4_000_000, block: int
                     a, b = chain_links(left, right, chain, distance, False)
                     sides.append((left[a], right[b]))
             a, b = (np.concatenate(x) for x in zip(*sides, strict=True))
-            keep = _forest(a, b)
+            keep = forest(a, b)
             out_a.append(a[keep].view(np.int64))
             out_b.append(b[keep].view(np.int64))
             if len(out_a) >= 2048:

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from tessera.llm import lines, mixing
 
 
 def near(a, b, size=8, threshold=0.8):
-    x, y = lines.shingles(a, size), lines.shingles(b, size)
+    x, y = ({t[i : i + size] for i in range(len(t) - size + 1)} for t in (a, b))
     return a == b or (len(a) >= size and len(b) >= size and len(x & y) >= threshold * len(x | y))
 
 
@@ -29,7 +32,8 @@ def kept_truth(texts):
     return {at[i][:2] for i in range(len(at)) if root(i) == i}, at
 
 
-def test_lines_match_brute_force(make_docs):
+@pytest.mark.parametrize("search", [{}, {"dense": 0, "block": 8}, {"bands": 16, "rows": 1, "dense": 0}])
+def test_lines_match_brute_force(make_docs, search):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     base = [" ".join(word() for _ in range(12)) for _ in range(12)]
@@ -42,7 +46,7 @@ def test_lines_match_brute_force(make_docs):
         texts.append("\n".join([*picked, "", word()]))
     texts += [None, "", "\n\n", "short", "short"]
     keep, at = kept_truth(texts)
-    for r in lines.dedup_lines(make_docs(texts)).collect():
+    for r in lines.dedup_lines(make_docs(texts), **search).collect():
         mine = [(n, x) for d, n, x in at if d == r.doc_id]
         assert r.lines_before == len(mine)
         assert [x for x in (r.text or "").split("\n") if x.strip()] == [x for n, x in mine if (r.doc_id, n) in keep]
@@ -50,6 +54,23 @@ def test_lines_match_brute_force(make_docs):
         assert (r.text is None) == (texts[r.doc_id] is None)
 
 
+def test_sketch_bound_never_rules_out_near_pairs():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 62, 120).astype(np.uint64) for _ in range(3)]
+    sets += [np.concatenate([s[: 120 - k], rng.integers(0, 1 << 62, k).astype(np.uint64)]) for s in sets for k in range(1, 30)]
+    bits = np.zeros((len(sets), 512), bool)
+    for row, s in zip(bits, sets, strict=True):
+        row[(s & np.uint64(511)).astype(int)] = True
+    side = (np.array([len(set(s.tolist())) for s in sets]), np.arange(len(sets)), np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+    a, b, bound = lines.possible(side, side, 0.8)
+    passed = dict(zip(zip(a.tolist(), b.tolist(), strict=True), bound.tolist(), strict=True))
+    for i, x in enumerate(map(set, (s.tolist() for s in sets))):
+        for j, y in enumerate(map(set, (s.tolist() for s in sets))):
+            true = len(x & y) / len(x | y)
+            assert i == j or true < 0.8 or passed[i, j] >= true - 1e-9
+    assert len(passed) < len(sets) ** 2 / 2
+
+
 def test_lines_odd_cases(make_docs, odd_texts):
     assert lines.dedup_lines(make_docs(odd_texts)).count() == len(odd_texts)
     assert lines.dedup_lines(make_docs([])).count() == 0
