@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z only, as bytes.translate() wants it.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Edges that one task contracts before the steps of components().
+EDGES = 16384
 
 
 def staging_dir(spark: SparkSession) -> str:
@@ -90,12 +92,41 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
+def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """u, v (u > v): the same components from at most as many edges, each task's own joined to stars; it holds up to `most` at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (x := root(x)) != (y := root(y)):
+                    parent[max(x, y)] = min(x, y)
+            if len(parent) >= most:
+                yield stars()
+        if parent:
+            yield stars()
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps: columns node, root, for every node of an edge.
 
     edges: two long columns, at least one of each linked pair in any order; loops and repeats are harmless, nulls are left
     out. root is the smallest node reachable. Every step is two shuffles on the edge list and its result is staged, so the
     lineage stays short; the driver sees only a count and a checksum. Edge counts never grow: a step replaces each edge by one.
+    First each task contracts its own edges, about EDGES of them, so few are left to the steps and up to EDGES need none.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("u"), F.col("v"))
@@ -115,6 +146,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     now = stage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = mark(now)
+    tasks = -(-seen[0] // EDGES)
+    if seen[0]:
+        now = stage(contracted(now.coalesce(tasks)), "edges")
+        seen = mark(now) if tasks > 1 else (0, None)  # one task's stars are the components
     for _ in range(rounds if seen[0] else 0):
         now = stage(star(star(now, True), False), "edges")
         if (got := mark(now)) == seen:
