@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import lines, mixing, packing, quality, simhash
+from tessera.llm import lines, mixing, neardup, packing, quality
 from tessera.llm.common import stage
 
 
@@ -24,9 +24,9 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id. Five words and a similarity of 0.8 or
-    more are the contract of word shingles; the fingerprints here link at up to four of 64 bits."""
-    return simhash.keep_one(docs, shingle=5)
+    """One document of each group of near copies stays, the one with the smallest doc_id: five-word shingles at a similarity of 0.8
+    or more. SimHash alone can't find these (README), so MinHash completes its links and exact sets verify all."""
+    return neardup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

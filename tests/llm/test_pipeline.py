@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import lines, mixing
+from tessera.llm import lines, mixing, neardup
 
 
 def near(a, b, size=8, threshold=0.8):
@@ -76,6 +76,39 @@ def test_lines_odd_cases(make_docs, odd_texts):
     assert lines.dedup_lines(make_docs([])).count() == 0
 
 
+def kept_documents(texts, size=5, threshold=0.8):
+    low = [("".join(c.lower() if c.isascii() else c for c in t or "").split(), i) for i, t in enumerate(texts)]
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w, _ in low]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_near_documents_match_brute_force(make_docs, odd_texts):
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(500)}" for _ in range(rng.choice((40, 200, 400)))] for _ in range(8)]
+    texts = [*odd_texts, *odd_texts]
+    for _ in range(60):
+        words = list(rng.choice(base))
+        for k in rng.sample(range(len(words)), rng.choice((0, 1, 3, 8))):
+            words[k] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words).title())
+    got = neardup.keep_one(make_docs(texts))
+    assert got.columns == make_docs(()).columns
+    assert {r.doc_id for r in got.collect()} == kept_documents(texts)
+    assert neardup.keep_one(make_docs(())).count() == 0
+
+
 def test_mixed_texts_hold_the_taken_words(make_docs, odd_texts):
     docs = make_docs([*odd_texts, "a b c d e f"] * 2)
     taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
