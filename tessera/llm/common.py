@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Lower-cases A-Z only, as bytes.translate() wants it.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Edges that one task contracts before the steps of components().
-EDGES = 16384
+EDGES = 32768
 
 
 def staging_dir(spark: SparkSession) -> str:

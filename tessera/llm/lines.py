@@ -358,6 +358,15 @@ def cell_pairs(cells: DataFrame, threshold: float, dense: int | None) -> DataFra
     return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, key long, i int, j int")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after more links (a, b): only the components that these join are searched again."""
+    of = lambda c: roots.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))
+    lifted = links.join(of("a"), F.col("a") == F.col("a_node"), "left").join(of("b"), F.col("b") == F.col("b_node"), "left")
+    up = stage(components(lifted.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))), "joined-roots")
+    moved = roots.join(up.select(F.col("node").alias("r0"), F.col("root").alias("r1")), F.col("root") == F.col("r0"), "left").select("node", F.coalesce("r1", "root").alias("root"))
+    return stage(moved.union(up.join(roots, "node", "left_anti").select("node", "root")), "roots")
+
+
 def near_items(docs: DataFrame, items: Items = LINES, threshold: float = 0.8, bands: int = 12, rows: int = 4, also: DataFrame | None = None, block: int = 2048, dense: int = 4) -> DataFrame:
     """node, root: the ids of items that are near others, and their component's smallest id. also: a, b of more pairs to verify."""
     members = stage(bucket_members(band_rows(docs, items, bands, rows)), "bucket-members")
@@ -365,8 +374,7 @@ def near_items(docs: DataFrame, items: Items = LINES, threshold: float = 0.8, ba
     star = (star if also is None else star.union(also)).distinct()
     wanted = members.select("id") if also is None else members.select("id").union(also.select(F.explode(F.array("a", "b"))))
     texts = stage(line_texts(docs, wanted.distinct(), items), "candidates")
-    linked = stage(verified(star, texts, items, threshold).where("near").select("a", "b"), "near")
-    roots = stage(components(linked).groupBy("node").agg(F.min("root").alias("root")), "roots")
+    roots = stage(components(verified(star, texts, items, threshold).where("near").select("a", "b")), "roots")
     # buckets whose lines no chain of links joins yet; equal sets of lines under other keys are found by other bands as well
     placed = members.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("lines")).where("least <> most")
@@ -376,14 +384,14 @@ def near_items(docs: DataFrame, items: Items = LINES, threshold: float = 0.8, ba
     cells = cells.join(sketches(texts, items), "id")
     found = stage(cell_pairs(cells, threshold, dense), "cell-pairs")
     pairs = lambda df: df.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = stage(linked.union(verified(pairs(found), texts, items, threshold).where("near").select("a", "b")), "near")
+    near = lambda df: verified(df, texts, items, threshold).where("near").select("a", "b")
+    after = merged(roots, near(pairs(found)))
     full = found.where("key is not null").select("key", "i", "j")
     if full.isEmpty():
-        return components(linked)
-    roots = components(linked).groupBy("node").agg(F.min("root").alias("root"))
-    again = cells.join(full, ["key", "i", "j"]).drop("root").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        return after
+    again = cells.join(full, ["key", "i", "j"]).drop("root").join(after, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     rest = pairs(cell_pairs(again, threshold, None)).join(pairs(found), ["a", "b"], "left_anti")
-    return components(linked.union(verified(rest, texts, items, threshold).where("near").select("a", "b")))
+    return merged(after, near(rest))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, size: int = 8, bands: int = 12, rows: int = 4, **search) -> DataFrame:
