@@ -57,7 +57,7 @@ class Model:
             rows[order].setdefault(entry, np.zeros(len(langs)))[at[lang]] += n
         self.tables = {}
         for o, table in rows.items():
-            seen = np.array(list(table.values())).reshape(-1, len(langs))
+            seen = np.array(list(table.values()), np.float64).reshape(len(table), len(langs))
             logs = np.log((seen + 0.5) / (total[o] + 0.5 * (len(table) + 1)))
             self.tables[o] = (dict(zip(table, range(len(table)), strict=True)), (logs - logs.mean(1, keepdims=True) if len(table) else logs).astype(np.float32))
 
