@@ -3,15 +3,17 @@
 Tokens are words. The vocabulary comes from counts over all documents: the `classes * per_class - buckets` most frequent
 words have a token each and every other word one of `buckets` tokens by its last letters and length. The network adds a vector
 per neighbour and position (2 on each side), takes tanh, and predicts the token's frequency class and then the token in the
-class (two softmaxes). A document's score is the sum of its tokens' conditional log-probabilities.
+class (two softmaxes). A word that shares a bucket has the bucket's probability times its share of the bucket's words in the
+corpus, from the counts of all words by a join. A document's score is the sum of its words' conditional log-probabilities.
 
 Training is one pass over all tokens of all documents: each partition trains on its own from the same start (the biases hold
 the corpus frequencies), and the partitions' parameters are averaged, weighted by tokens, in two grouped sums. What training
 gathers is one row per distinct word of a partition and one set of parameters per partition, so it grows with the corpus; the
-driver gets the vocabulary and the average, whose sizes are fixed by the parameters.
+driver gets the vocabulary and the average, whose sizes are fixed by the parameters. Scoring shuffles a row per word in a bucket.
 
 Defined results: null text is empty; no words give n_tokens 0, score 0 and a null mean; repeated rows are trained on and
-scored each; an empty corpus gives no rows; other columns are not read. Results depend on how files are split into partitions,
+scored each; an empty corpus gives no rows; a word that the counts don't hold has probability 0; other columns are not read.
+Results depend on how files are split into partitions,
 not on where or in what order these run.
 """
 
@@ -32,6 +34,8 @@ from tessera.llm.common import stage, text_bytes
 
 OFFSETS = (-2, -1, 1, 2)
 PAD = max(OFFSETS)
+#: Tokens of one training step, at every size.
+STEP = 1024
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,10 @@ class Shape:
     def tokens(self) -> int:
         return self.classes * self.per_class
 
+    @property
+    def first_bucket(self) -> int:
+        return self.tokens - self.buckets
+
 
 class Vocabulary(dict):
     """Word -> token. A word that isn't known gets the token of its bucket, remembered for a while."""
@@ -206,8 +214,23 @@ def _batches(texts: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]
         yield part
 
 
-def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", seed: int = 1) -> tuple[Vocabulary, Network]:
-    """Vocabulary and averaged network of all documents."""
+def bucket_shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """word, share of every counted word that has no token of its own: log P(word | its bucket)."""
+    shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = shared.value
+        for batch in batches:
+            token = pa.array([tokens[w] for w in batch.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, token], names=["word", "n", "token"])
+
+    marked = counts.select("word", "n").mapInArrow(run, "word binary, n long, token int").where(F.col("token") >= vocabulary.shape.first_bucket)
+    totals = marked.groupBy("token").agg(F.sum("n").alias("total"))  # a row per bucket
+    return marked.join(F.broadcast(totals), "token").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
+def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", seed: int = 1) -> tuple[Vocabulary, Network, DataFrame]:
+    """Vocabulary, averaged network and bucket_shares() of all documents."""
     spark = docs.sparkSession
     counts = stage(count_words(docs, text_col), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -217,7 +240,6 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", seed: i
     known[: len(top)] = [r["n"] for r in top]
     known[shape.tokens - shape.buckets :] = max(0, total - known.sum()) / shape.buckets
     first = Network.start(shape, known, seed)
-    step = max(256, min(4096, total // 4096))
     shared = spark.sparkContext.broadcast((vocabulary, first))  # of fixed size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +252,8 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", seed: i
                 at = positions_of(sizes)
                 rng.shuffle(at)
                 n += len(at)
-                for a in range(0, len(at), step):
-                    net.train(flat, at[a : a + step])
+                for a in range(0, len(at), STEP):
+                    net.train(flat, at[a : a + STEP])
         if n:
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([
@@ -250,31 +272,42 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", seed: i
     once = trained.groupBy("name", "part").applyInArrow(add, schema)
     rows = {r["name"]: r for r in once.groupBy("name").applyInArrow(add, schema).collect()}
     net = Network(shape, *((np.frombuffer(rows[k]["total"]) / rows[k]["n"]).astype(np.float32).reshape(getattr(first, k).shape) if k in rows else getattr(first, k) for k in Network.NAMES))
-    return vocabulary, net
+    return vocabulary, net, bucket_shares(counts, vocabulary)
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """ids, n_tokens, pll (summed log-probability) and pll_mean per row, in one narrow pass."""
+def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, shares: DataFrame, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """ids, n_tokens, pll (summed log-probability) and pll_mean per row: one narrow pass of the network, then the shares of words in buckets."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
     picked = docs.select(*ids, docs[text_col].alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + ", n_tokens long, pll double, pll_mean double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + ", n_tokens long, __net double, __row long, __words array<binary>"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, net = shared.value
+        row = TaskContext.get().partitionId() << 33  # staged, so a row's number is settled before it is read
         for batch in batches:
-            sizes, sums = [], []
+            sizes, sums, rare, rare_sizes = [], [], [], []
             for texts in _batches(text_bytes(batch)):
                 flat, n = tokens_of(texts, words, net.shape.tokens)
                 at = positions_of(n)
                 logs = np.concatenate([net.log_probabilities(flat, at[a : a + 8192]) for a in range(0, len(at), 8192)] or [np.empty(0)])
-                ends = np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))[np.concatenate(([0], np.cumsum(n)))]
+                edges = np.concatenate(([0], np.cumsum(n)))
+                sums.append(np.diff(np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))[edges]))
                 sizes.append(n)
-                sums.append(np.diff(ends))
-            n, pll = (np.concatenate(x or [np.empty(0)]) for x in (sizes, sums))
-            mean = pa.array(pll / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(pll, pa.float64()), mean], names=[*batch.schema.names[:-1], "n_tokens", "pll", "pll_mean"])
-
-    return picked.mapInArrow(run, schema)
+                shares_one = flat[at] >= net.shape.first_bucket
+                every = [w for t in texts for w in t.split()]
+                rare += [every[i] for i in np.flatnonzero(shares_one)]
+                rare_sizes.append(np.diff(np.concatenate(([0], np.cumsum(shares_one)))[edges]))
+            n, pll, k = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (sizes, sums, rare_sizes))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), pa.array(rare, pa.binary()))
+            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(pll, pa.float64()), pa.array(row + np.arange(len(n)), pa.int64()), lists]
+            row += len(n)
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_tokens", "__net", "__row", "__words"])
+
+    rows = stage(picked.mapInArrow(run, schema), "network-scores")
+    each = rows.select("__row", F.explode("__words").alias("word")).join(shares, "word", "left")
+    inside = each.groupBy(F.col("__row").alias("__of")).agg(F.sum(F.coalesce("share", F.lit(float("-inf")))).alias("__inside"))
+    whole = rows.drop("__words").join(inside, F.col("__row") == F.col("__of"), "left").withColumn("pll", F.col("__net") + F.coalesce("__inside", F.lit(0.0)))
+    return whole.select(*ids, "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("pll_mean"))
 
 
 def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text") -> DataFrame:
