@@ -83,6 +83,18 @@ def repetition_class(spark, sf_dir):
     return r.withColumn("loops", I.loop_count(F.col("kind"), F.col("n")))
 
 
+@query(f"""WITH e AS (SELECT user_id, CASE WHEN user_id % 6 = 5 THEN event_id % 2 ELSE 0 END AS media_time,
+CASE WHEN user_id % 3 = 0 AND event_id % 50 = 0 THEN {S.INFINITE} WHEN user_id % 3 = 1 THEN 7 ELSE event_id % 2 END AS duration FROM events),
+g AS (SELECT user_id, bool_or(media_time = 0 AND duration = {S.INFINITE}) AS endless, bool_and(media_time = 0) AS zero, min(duration) AS lo, max(duration) AS hi, count(*) AS n FROM e GROUP BY user_id)
+SELECT user_id, CASE WHEN endless THEN 'infinite' WHEN zero AND lo = hi THEN 'finite' ELSE 'unknown' END AS kind, CASE WHEN NOT endless AND zero AND lo = hi THEN n - 1 END AS n, CAST(CASE WHEN endless THEN 0 WHEN zero AND lo = hi THEN n - 1 ELSE 1 END AS BIGINT) AS loops FROM g""")
+def repetition_class_all(spark, sf_dir):
+    """repetition_class over all events: edit lists per user, times and durations from user_id and event_id."""
+    user, event = F.col("user_id"), F.col("event_id")
+    d = F.when((user % 3 == 0) & (event % 50 == 0), F.lit(S.INFINITE)).when(user % 3 == 1, 7).otherwise(event % 2)
+    r = S.repetition(_t(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", F.when(user % 6 == 5, event % 2).otherwise(0), d)
+    return r.withColumn("loops", I.loop_count(F.col("kind"), F.col("n")))
+
+
 @query("""WITH u AS (SELECT user_id, sum(CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS unit FROM events)
 SELECT user_id, CAST(unit AS BIGINT) AS unit, count(*) AS n FROM u GROUP BY user_id, unit""")
 def gaps_islands(spark, sf_dir):

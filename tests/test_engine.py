@@ -78,3 +78,10 @@ def test_clean_aperture_and_gain_weight():
     assert planes.gain_weight(1.0, 0.0, 4.0) == 0.25
     with pytest.raises(ValueError):
         planes.gain_weight(float("nan"), 0.0, 1.0)
+
+
+def test_every_user_has_a_repetition(spark, sf_dir, duck):
+    got = QUERIES["repetition_class_all"](spark, sf_dir).collect()
+    assert {r.kind for r in got} == {"infinite", "finite", "unknown"}
+    assert {r.user_id for r in got} == {x for (x,) in duck.execute("SELECT DISTINCT user_id FROM events").fetchall()}
+    assert sum(r.n + 1 for r in got if r.kind == "finite") == duck.execute("SELECT count(*) FROM events WHERE user_id % 3 = 1").fetchone()[0]
