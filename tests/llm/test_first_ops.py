@@ -308,6 +308,34 @@ def test_cutoffs_limit_false_rejection(make_docs, spark):
     assert quality.keep_good(docs, half).columns == docs.columns
 
 
+def test_small_strata_get_cutoffs(make_docs, spark):
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for lang in "abcd":
+        for i in range(340):
+            bad, words = i % 17 == 0, ["w%d" % x for x in rng.integers(0, 500, 40)]
+            if lang != "d":  # capitals tell nothing there, symbols do
+                words = [w.upper() if rng.random() < 0.9 else w for w in words]
+            words = [w + ("#" if bad and k % 2 else "") for k, w in enumerate(words)]
+            labels.append((len(rows), int(not bad), 0))
+            rows.append((len(rows), " ".join(words), lang, "s", 1, "", 0.0, ""))
+    got = {r.doc_id: r for r in quality.quality_rules(make_docs(rows=rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for i, good, _ in labels:
+        assert got[i].kept == bool(good)
+
+
+def test_joint_rejection_is_tested_against_alpha():
+    n = 400
+    levels = np.zeros((n + 40, 4), np.int64)
+    good = np.arange(n + 40) < n
+    levels[:6, 0], levels[6:12, 1] = 15, 15  # 6 of 400 pass, 12 do not
+    levels[n : n + 30, 0], levels[n + 30 :, 1] = 15, 15
+    cuts = quality.choose_set(levels, np.ones(n + 40, np.int64), good, 0.04, 0.05)
+    assert cuts[0] is not None and cuts[1] is None
+    lost = int((good & (levels[:, 0] > 0)).sum())
+    assert quality.binomial_tail(lost, n, 0.04) <= 0.05 < quality.binomial_tail(2 * lost, n, 0.04)
+
+
 # --- SimHash
 
 
