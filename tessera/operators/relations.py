@@ -12,6 +12,18 @@ def last_wins(df: DataFrame, keys: list[str], order: list[Column], take: list[st
     return df.groupBy(*keys).agg(*(F.max_by(c, place).alias(c) for c in take))
 
 
+def item_properties(associations: DataFrame, properties: DataFrame) -> DataFrame:
+    """file, item, kind and the value of the item's last property of a kind, colour precedence left to the caller.
+
+    associations: file, item, record (the order of association records), pos (the order in a record), index (1-based); only the
+    first record of an item counts. properties: file, place (1-based), kind, value.
+    """
+    first = associations.groupBy("file", "item").agg(F.min("record").alias("record"))
+    own = associations.join(first, ["file", "item", "record"])
+    found = own.join(properties.withColumnRenamed("place", "index"), ["file", "index"])
+    return last_wins(found, ["file", "item", "kind"], [F.col("pos")], ["value"])
+
+
 def duplicate_keys(df: DataFrame, keys: list[str], rule: int) -> DataFrame:
     """Violation rows (rule, key, n) of keys that occur twice or more."""
     name = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))

@@ -55,3 +55,17 @@ def tile_check(tiles: DataFrame, key: str, tile: str) -> DataFrame:
     each = tiles.groupBy(key).agg(F.count("*").alias("tiles"), F.countDistinct(tile).alias("different"), F.max(tile).cast("long").alias("top"))
     out = each.select(key, "tiles", (F.col("tiles") - F.col("different")).alias("duplicates"), (F.col("top") - F.col("different")).alias("holes"))
     return out.withColumn("fault", F.when(F.col("duplicates") > 0, "bitstream").when(F.col("holes") > 0, "unsupported"))
+
+
+def merge_tiles(tiles: DataFrame, key: str, tile: str, size: str, counts: DataFrame, count: str) -> DataFrame:
+    """key, fault, tile, offset, size: each key's tiles re-offset in id order (ids 0..count - 1), or one row with its fault.
+
+    bitstream: no tiles expected, an id that occurs twice or is outside; unsupported: ids that are missing. counts: a row per key;
+    tiles of keys that it lacks are left out.
+    """
+    each = tiles.groupBy(key).agg(F.count("*").alias("__n"), F.countDistinct(tile).alias("__d"), F.min(tile).alias("__low"), F.max(tile).alias("__top"))
+    bad = (F.col(count) < 1) | (F.col("__low") < 0) | (F.col("__top") >= F.col(count)) | (F.col("__n") > F.col("__d"))
+    fault = F.when(bad, "bitstream").when(F.coalesce("__d", F.lit(0)) < F.col(count), "unsupported")
+    checked = counts.select(key, count).join(each, key, "left").select(key, fault.alias("fault"))
+    whole = exclusive_running_sum(tiles.join(checked.where("fault is null"), key), F.col(size), [key], [tile], "offset").select(key, "fault", tile, "offset", size)
+    return whole.unionByName(checked.where("fault is not null"), allowMissingColumns=True)

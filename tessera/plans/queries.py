@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import integers as I
@@ -231,3 +232,33 @@ def obu_classify(spark, sf_dir):
 @query("SELECT event_id, ((event_id*5 - user_id) & 63) - ((event_id*5 - user_id) & 64) AS distance FROM events")
 def order_hint_distance(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", I.order_distance(F.col("event_id") * 5, F.col("user_id"), 7).alias("distance"))
+
+
+@query("""SELECT event_id, CASE WHEN (event_id & 128) <> 0 THEN 'ShowExisting' ELSE list_extract(['Key', 'Inter', 'IntraOnly', 'Switch'], CAST(((event_id >> 5) & 3) + 1 AS BIGINT)) END AS kind,
+CASE WHEN (event_id & 128) <> 0 THEN (event_id >> 4) & 7 END AS idx FROM events""")
+def sample_classify(spark, sf_dir):
+    bits = lambda n, m: F.shiftright("event_id", n).bitwiseAND(F.lit(m).cast("long"))
+    shown, kinds = bits(7, 1) == 1, F.array(*map(F.lit, ("Key", "Inter", "IntraOnly", "Switch")))
+    return _t(spark, sf_dir, "events").select("event_id", F.when(shown, "ShowExisting").otherwise(F.get(kinds, bits(5, 3).cast("int"))).alias("kind"), F.when(shown, bits(4, 7)).alias("idx"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS k, l_linenumber - 1 AS tile, l_partkey % 97 + 1 AS size FROM lineitem), c AS (SELECT o_orderkey AS k, o_orderkey % 4 AS n FROM orders),
+g AS (SELECT k, count(*) AS m, count(DISTINCT tile) AS d, min(tile) AS lo, max(tile) AS hi FROM t GROUP BY k),
+f AS (SELECT c.k, CASE WHEN n < 1 OR lo < 0 OR hi >= n OR m > d THEN 'bitstream' WHEN coalesce(d, 0) < n THEN 'unsupported' END AS fault FROM c LEFT JOIN g ON c.k = g.k)
+SELECT t.k, fault, tile, CAST(coalesce(sum(size) OVER (PARTITION BY t.k ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", size FROM t JOIN f ON t.k = f.k WHERE fault IS NULL
+UNION ALL SELECT k, fault, NULL, NULL, NULL FROM f WHERE fault IS NOT NULL""")
+def tile_merge(spark, sf_dir):
+    tiles = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("tile"), (F.col("l_partkey") % 97 + 1).alias("size"))
+    return S.merge_tiles(tiles, "k", "tile", "size", _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4).alias("n")), "n")
+
+
+@query("""WITH p AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, event_type AS kind, props AS value FROM events),
+a AS (SELECT user_id AS file, event_id % 5 AS item, event_id % 3 AS record, event_id AS pos, event_id % 10 + 1 AS "index" FROM events),
+f AS (SELECT file, item, min(record) AS record FROM a GROUP BY file, item)
+SELECT a.file, a.item, kind, max_by(value, pos) AS value FROM a JOIN f ON a.file = f.file AND a.item = f.item AND a.record = f.record JOIN p ON p.file = a.file AND p.place = a."index" GROUP BY a.file, a.item, kind""")
+def item_properties(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("file"), "event_id", "event_type", "props")
+    place = F.row_number().over(W.partitionBy("file").orderBy("event_id")).cast("long")
+    properties = e.select("file", place.alias("place"), F.col("event_type").alias("kind"), F.col("props").alias("value"))
+    own = F.col("event_id")
+    return R.item_properties(e.select("file", (own % 5).alias("item"), (own % 3).alias("record"), own.alias("pos"), (own % 10 + 1).alias("index")), properties)

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tessera.functions.sample_expression import compile_expression
-from tessera.operators import planes, relations
+from tessera.operators import planes, relations, sequence
 from tessera.plans.queries import ORACLE_SQL, QUERIES
 from tessera.sources.boxes import boxes
 
@@ -85,3 +85,17 @@ def test_every_user_has_a_repetition(spark, sf_dir, duck):
     assert {r.kind for r in got} == {"infinite", "finite", "unknown"}
     assert {r.user_id for r in got} == {x for (x,) in duck.execute("SELECT DISTINCT user_id FROM events").fetchall()}
     assert sum(r.n + 1 for r in got if r.kind == "finite") == duck.execute("SELECT count(*) FROM events WHERE user_id % 3 = 1").fetchone()[0]
+
+
+def test_tiles_are_merged_or_refused(spark):
+    tiles = spark.createDataFrame([(1, 1, 5), (1, 0, 7), (2, 0, 3), (3, 0, 1), (3, 0, 1), (4, 2, 1), (5, 0, 1)], "k long, tile long, size long")
+    counts = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (4, 2), (5, 0), (6, 1)], "k long, n long")
+    got = sorted((tuple(r) for r in sequence.merge_tiles(tiles, "k", "tile", "size", counts, "n").collect()), key=str)
+    b, u = "bitstream", "unsupported"
+    assert got == [(1, None, 0, 0, 7), (1, None, 1, 7, 5), (2, u, None, None, None), (3, b, None, None, None), (4, b, None, None, None), (5, b, None, None, None), (6, u, None, None, None)]
+
+
+def test_first_association_record_counts(spark):
+    own = spark.createDataFrame([(1, 9, 0, 0, 1), (1, 9, 0, 1, 3), (1, 9, 1, 0, 2)], "file long, item long, record long, pos long, index long")
+    properties = spark.createDataFrame([(1, 1, "ispe", "a"), (1, 2, "irot", "b"), (1, 3, "ispe", "c")], "file long, place long, kind string, value string")
+    assert [tuple(r) for r in relations.item_properties(own, properties).collect()] == [(1, 9, "ispe", "c")]
