@@ -161,7 +161,7 @@ def band_rows(docs: DataFrame, items: Items, bands: int, rows: int) -> DataFrame
         def pack() -> pa.RecordBatch:
             h, count = items.hashes(list(held.values()), items.size)
             ids = np.fromiter(held, np.uint64, len(held))[count > 0]
-            keys = signatures(h, count[count > 0], bands, rows)
+            keys = signatures(h, count[count > 0], bands, rows) if len(ids) else np.empty((0, bands), np.uint64)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, bands).view(np.int64))], names=["key", "id"])
 

@@ -76,6 +76,13 @@ def test_lines_odd_cases(make_docs, odd_texts):
     assert lines.dedup_lines(make_docs([])).count() == 0
 
 
+def test_partitions_of_short_lines(make_docs):
+    texts = ["short", "a\nbc\nshort", "tiny", "short"]
+    got = lines.dedup_lines(make_docs(texts).coalesce(1)).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3]
+    assert {r.doc_id: r.text for r in got} == {r.doc_id: r.text for r in lines.dedup_lines(make_docs(texts + ["one line that is long enough for shingles"])).collect() if r.doc_id < 4}
+
+
 def kept_documents(texts, size=5, threshold=0.8):
     low = [("".join(c.lower() if c.isascii() else c for c in t or "").split(), i) for i, t in enumerate(texts)]
     sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w, _ in low]
