@@ -2,8 +2,9 @@
 
 Documents are near if the sets of their word shingles (lower-cased A-Z) have a Jaccard similarity of `threshold` or more. At
 that similarity fingerprints differ by far more bits than a pigeonring search can take (5 to 14 of 64 at 0.8), so SimHash
-alone misses most near copies. Its links are kept as candidates, MinHash banding over the same shingles adds those that it
-misses, and every candidate is verified on the exact sets, so a chance likeness of fingerprints removes no document.
+alone misses most near copies. A spanning set of its links is kept as candidates (equal fingerprints pair with one of them, close
+ones by representatives, links() is a forest), so a link that fails the check can hide another; recall rests on MinHash banding
+over the same shingles. Every candidate is verified on the exact sets, so a chance likeness of fingerprints removes no document.
 
 Defined results: null text is empty; documents without a word are copies of each other; fewer words than a shingle make a copy
 only of equal words; of a group the smallest doc_id stays, null last; rows that repeat doc_id and text are one, rows that repeat
