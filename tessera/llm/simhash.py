@@ -119,7 +119,8 @@ def links(fps: DataFrame, distance: int = 4, narrow: int = 4_000_000, block: int
             second = part(F.col("fp"), i + 1)
             joined = lambda flip, f=first, s=second: F.shiftleft(f, 32).bitwiseOR(s.bitwiseXOR(F.lit(flip).cast("long")))
             keys = F.array(*(F.struct(joined(flip).alias("key"), F.lit(flip == 0).alias("own")) for flip in (0, *((1 << k) for k in range(w if budget else 0)))))
-        rows.append(F.transform(keys, lambda k, i=i: F.struct(F.lit(i).alias("chain"), k["key"].alias("key"), k["own"].alias("own"))))
+        # one parameter only: transform() gives a second one the element's index
+        rows.append(F.transform(keys, (lambda chain: lambda k: F.struct(chain.alias("chain"), k["key"].alias("key"), k["own"].alias("own")))(F.lit(i))))
     listed = fps.select("fp", F.explode(F.concat(*rows)).alias("k")).select("fp", "k.*")
     sizes = listed.groupBy("chain", "key").agg(F.count("*").alias("n"), F.count_if("own").alias("owners"))
     # a bucket matters if it has two members and one of them owns its key
