@@ -3,7 +3,7 @@
 The samples are 8-bit greyscale, 192 to a row. Encoding filters each row by the smallest sum of absolute differences among
 no filter, left and up, then deflates; decoding tests the signature and each chunk's CRC-32, inflates (which tests Adler-32)
 and undoes all five filter kinds in numpy. The feature is the usual 64-bit perceptual hash: area-averaged to 32 x 32, DCT-II,
-the 8 x 8 lowest frequencies against their median.
+the 8 x 8 lowest frequencies against their median, in integers throughout.
 
 Defined results: null text is empty; an empty text is one row of 192 spaces; repeated rows give repeated results; an empty
 table gives no rows; columns other than the id and the text are not read, so their names cannot clash.
@@ -114,26 +114,35 @@ def png_decode(data: bytes) -> np.ndarray:
 
 @lru_cache(8)
 def _cosines(n: int = 32, low: int = 8) -> np.ndarray:
+    """The lowest cosine waves in units of 2^-14; each but the first adds up to exactly 0."""
     k, x = np.arange(low)[:, None], np.arange(n)[None, :]
-    return np.cos(np.pi * (2 * x + 1) * k / (2 * n)) * np.where(k, np.sqrt(2 / n), np.sqrt(1 / n))
+    return np.rint(np.cos(np.pi * (2 * x + 1) * k / (2 * n)) * (1 << 14)).astype(np.int64)
 
 
 def _shrink(rows: np.ndarray, n: int) -> np.ndarray:
-    """Area average of the first axis to n rows."""
-    sums = np.zeros((len(rows) + 1, rows.shape[1]))
+    """Sums of the first axis over n equal stretches, in n-ths of a row: len(rows) times the average, exactly."""
+    sums = np.zeros((len(rows) + 1, rows.shape[1]), np.int64)
     np.cumsum(rows, axis=0, out=sums[1:])
-    edge = np.arange(n + 1) * (len(rows) / n)
-    whole = np.minimum(edge.astype(np.int64), len(rows) - 1)
-    at = sums[whole] + (edge - whole)[:, None] * rows[whole]
-    return np.diff(at, axis=0) * (n / len(rows))
+    whole, part = np.divmod(np.arange(n + 1) * len(rows), n)
+    return np.diff(n * sums[whole] + part[:, None] * rows[np.minimum(whole, len(rows) - 1)], axis=0)
+
+
+#: What a frequency must lie over the median by, in sample values added over the 32 x 32 cells: less is not told from flat.
+TOLERANCE = 2
 
 
 def cosine_hash(samples: np.ndarray) -> str:
-    """64 bits as 16 hex digits, first bit highest: which of the 8 x 8 lowest frequencies lie over their median."""
-    wide = samples.reshape(len(samples), 32, -1).mean(2) if samples.shape[1] % 32 == 0 else _shrink(samples.T.astype(float), 32).T
+    """64 bits as 16 hex digits, first bit highest: which of the 8 x 8 lowest frequencies lie over their median by TOLERANCE.
+
+    All in integers (cells in 64ths of a sample value, rounded down), so equal samples hash alike on every machine.
+    """
+    height, width = samples.shape
+    wide = 32 * samples.reshape(height, 32, -1).sum(2, dtype=np.int64) if width % 32 == 0 else _shrink(samples.T.astype(np.int64), 32).T
+    cells = _shrink(wide, 32) * 64 // (height * width)
     c = _cosines()
-    low = (c @ _shrink(wide, 32) @ c.T).ravel()
-    return np.packbits(low > np.median(low)).tobytes().hex()
+    low = (c @ cells @ c.T).ravel()
+    middle = np.sort(low)[len(low) // 2 - 1 : len(low) // 2 + 1].sum()
+    return np.packbits(2 * low > middle + 2 * TOLERANCE * 64 * (1 << 28)).tobytes().hex()
 
 
 def media_row(text: bytes, width: int = WIDTH) -> tuple:

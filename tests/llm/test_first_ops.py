@@ -88,6 +88,46 @@ def test_hash_is_near_for_near_images():
     assert (bits(image) ^ bits(rng.integers(0, 256, (64, 192)).astype(np.uint8))).bit_count() > 12
 
 
+def hash_truth(samples):
+    """The hash in plain Python integers and fractions."""
+    from fractions import Fraction
+    from math import cos, floor, pi
+
+    height, width = len(samples), len(samples[0])
+
+    def cell(i, j):
+        total = Fraction(0)
+        for y in range(height):
+            over_y = min(Fraction((i + 1) * height, 32), y + 1) - max(Fraction(i * height, 32), y)
+            for x in range(width) if over_y > 0 else ():
+                over_x = min(Fraction((j + 1) * width, 32), x + 1) - max(Fraction(j * width, 32), x)
+                total += max(over_x, 0) * over_y * samples[y][x]
+        return floor(64 * total * 1024 / (height * width))
+
+    cells = [[cell(i, j) for j in range(32)] for i in range(32)]
+    wave = [[round(cos(pi * (2 * x + 1) * k / 64) * 16384) for x in range(32)] for k in range(8)]
+    low = [sum(wave[u][y] * wave[v][x] * cells[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sum(sorted(low)[31:33])
+    return f"{int(''.join('1' if 2 * f > middle + 4 * 64 * 16384 * 16384 else '0' for f in low), 2):016x}"
+
+
+@pytest.mark.parametrize("size", [(1, 192), (3, 192), (37, 40), (32, 32)])
+def test_hash_matches_brute_force(size):
+    image = np.random.default_rng(size[0]).integers(0, 256, size).astype(np.uint8)
+    assert media.cosine_hash(image) == hash_truth(image.tolist())
+
+
+def test_hash_of_flat_images_and_ramps_is_fixed():
+    for value in (0, 32, 255):  # a flat image has its average and nothing else
+        for size in ((1, 192), (7, 192), (200, 192), (5, 50)):
+            assert media.cosine_hash(np.full(size, value, np.uint8)) == ("8000000000000000" if value else "0" * 16)
+    ramp = np.add.outer(np.arange(64), np.arange(192)).astype(np.uint8)
+    # only the first row and column of frequencies are not 0, and of these the odd ones, which fall with the ramp
+    assert media.cosine_hash(ramp) == "8000000000000000"
+    assert media.cosine_hash(255 - ramp) == "d580008000800080"
+    assert media.media_row(b"")[6] == "8000000000000000"
+
+
 # --- mixing
 
 
@@ -374,6 +414,46 @@ def test_simhash_query_matches_brute_force(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{prints[i]:016x}", groups[i]) for i in docs} and len(got) == len(docs)
 
 
+def test_simhash_components_of_a_larger_table(spark):
+    """Links here differ in every segment, the first one included."""
+    sf_dir = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in queries.op7_simhash(spark, sf_dir).collect()}
+    ids = sorted(got)
+    fp = np.array([int(got[i].fingerprint, 16) for i in ids], np.uint64)
+    root, segments = list(range(len(ids))), set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for at in range(0, len(ids), 500):
+        apart = np.bitwise_count(fp[at : at + 500, None] ^ fp[None, :])
+        for i, j in zip(*np.nonzero(apart <= 4), strict=True):
+            segments |= {k for k, (low, width) in enumerate(simhash.segments(4)) if int(fp[at + i] ^ fp[j]) >> low & ((1 << width) - 1)}
+            a, b = find(int(i) + at), find(int(j))
+            root[max(a, b)] = min(a, b)
+    assert segments == {0, 1, 2, 3, 4}
+    assert {i: got[i].component_id for i in ids} == {ids[k]: ids[find(k)] for k in range(len(ids))}
+
+
+@pytest.mark.parametrize("prefix", [1, 2])
+def test_pairs_that_differ_in_any_segments_are_linked(spark, prefix):
+    from itertools import combinations
+
+    rng = np.random.default_rng(11)
+    cut, pairs = simhash.segments(4), set()
+    for n in (1, 2, 3, 4):
+        for chosen in combinations(range(5), n):
+            x = int(rng.integers(0, 2**63))
+            y = x
+            for s in chosen:
+                y ^= 1 << (cut[s][0] + int(rng.integers(cut[s][1])))
+            pairs.add(tuple(sorted(v - (v >> 63 << 64) for v in (x, y))))
+    df = spark.createDataFrame([(v,) for p in pairs for v in p], "fp long")
+    assert {tuple(r) for r in simhash.links(df, prefix=prefix).collect()} == pairs
+
+
 @pytest.mark.parametrize("how", [{}, {"block": 3}, {"prefix": 2}, {"prefix": 2, "block": 3}])
 def test_simhash_links_are_whole(spark, how):
     rng = np.random.default_rng(4)
