@@ -6,12 +6,13 @@ domain, a number's digits, a given or a family name. So `Mr Smith` and `John Smi
 numbers written with other separators stay equal.
 
 Replacements come from HMAC-SHA256 of the key, kind and entity. They keep length, separators, case and character class; cards
-keep the Luhn property, IBANs have right check digits, octets stay within 0..255, phones keep country and area punctuation;
+keep the Luhn property, IBANs have right check digits, addresses stay private, loopback, link-local or public, phones keep their
+country code and punctuation;
 given names keep gender and script (Latin, Cyrillic or Greek), as do family names.
 
 Distinctness: all different entities of the corpus are gathered in a table, and a replacement that two of them share, or that
-is itself an entity of the corpus, is drawn again (with one more character now and then, where the form has no room left)
-for all but the first, until no collision is left. Only entities that were drawn again need looking up when documents are
+is itself an entity of the corpus, is drawn again for all but the first, until no collision is left. Where a form has no room left
+(a corpus with every number of a short form) a surrogate gets longer, an address leaves its class, so the rounds end. Only entities that were drawn again need looking up when documents are
 rewritten: up to `few` of them are broadcast, more are joined to the documents that mention them.
 
 Defined results: null text stays null; empty texts stay empty; overlapping finds go to the kind listed first; repeated rows are
@@ -53,9 +54,12 @@ SYLLABLES = {
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 _CAPITALISED = r"(?:[^\W\d_a-zа-яα-ω][^\W\d_]+)"
 NAME = re.compile(rf"\b({_TITLE})\.?[  ]+({_CAPITALISED}(?:[ -]{_CAPITALISED}){{0,2}})")
-#: In the order in which they claim a place.
+#: The end of an e-mail's local part, reversed, and its domain.
+_LOCAL_END = re.compile(r"(?:[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*)?")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_MENTION = re.compile(r"\w+")
+#: Numbers; e-mails claim their place first, then these in the order of NUMBERS, then names.
 KINDS = {
-    "email": re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)", re.ASCII),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII),
     "card": re.compile(r"(?<![\dA-Za-z])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])", re.ASCII),
@@ -111,9 +115,32 @@ def _name(draw: Draw, kind: str, entity: str, grown: int) -> str:
     return word.upper() if len(entity) > 1 and entity.isupper() else word.capitalize()
 
 
+#: Blocks of addresses that aren't public: class, then first and last octets of the prefix.
+IP_CLASSES = {"private10": (10,), "private172": (172, (16, 31)), "private192": (192, 168), "loopback": (127,), "linklocal": (169, 254)}
+#: The attempt from which a number's form is taken to have no room left.
+LATER = 16
+
+
+def ip_class(address: str) -> str:
+    octets = [int(x) for x in address.split(".")]
+    fits = lambda want, have: want == have if isinstance(want, int) else want[0] <= have <= want[1]
+    return next((name for name, prefix in IP_CLASSES.items() if all(map(fits, prefix, octets))), "public")
+
+
+def _address(draw: Draw, kind: str) -> str:
+    while True:
+        octets = [draw.below(256) for _ in range(4)]
+        for i, want in enumerate(IP_CLASSES.get(kind, ())):
+            octets[i] = want if isinstance(want, int) else want[0] + draw.below(want[1] - want[0] + 1)
+        out = ".".join(map(str, octets))
+        if ip_class(out) == kind and (kind != "public" or 0 < octets[0] < 224):
+            return out
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """The replacement of an entity in canonical form; never the entity itself. Each eighth attempt is a character longer where the form allows it."""
-    draw, grown = Draw(key, kind, entity, attempt), attempt // 8
+    """The replacement of an entity in canonical form; never the entity itself. Names and e-mails are a character longer with each
+    eighth attempt, numbers a digit longer from the attempt LATER on, when addresses leave their class."""
+    draw, grown, longer = Draw(key, kind, entity, attempt), attempt // 8, max(0, attempt - LATER + 8) // 8
     while True:
         if kind in ("given_f", "given_m", "family"):
             out = _name(draw, kind, entity, grown)
@@ -123,27 +150,27 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
             body, _, top = entity.rpartition(".")
             out = f"{draw.shaped(body)}{''.join(chr(97 + draw.below(26)) for _ in range(grown))}.{top}"
         elif kind == "ip":
-            out = ".".join(str(draw.below(256)) for _ in range(4))
+            out = _address(draw, ip_class(entity) if attempt < LATER else "public")
         elif kind == "iban":
-            out = entity[:2] + "00" + draw.shaped(entity[4:])
+            out = entity[:2] + "00" + draw.shaped(entity[4:]) + draw.shaped("0" * longer)
             out = f"{out[:2]}{iban_check(out):02d}{out[4:]}"
         elif kind == "card":
-            out = draw.shaped(entity)
+            out = draw.shaped(entity + "0" * longer)
             if luhn(entity) == 0:
                 out = out[:-1] + str((10 - luhn(out[:-1] + "0")) % 10)
         elif kind == "phone" and entity.startswith("+"):  # country code and digits
             code, _, rest = entity.partition(" ")
-            out = f"{code} {draw.shaped(rest)}"
+            out = f"{code} {draw.shaped(rest + '0' * longer)}"
         else:
-            out = draw.shaped(entity)
+            out = draw.shaped(entity + "0" * longer)
         if out != entity or (attempt and not any(c.isalnum() for c in entity)):
             return out
 
 
 def _fill(shape: str, digits: str) -> str:
-    """shape with its letters and digits taken from digits in order."""
+    """shape with its letters and digits taken from digits in order; what is left of digits follows."""
     it = iter(digits)
-    return "".join(next(it) if c.isalnum() and c.isascii() else c for c in shape)
+    return "".join(next(it) if c.isalnum() and c.isascii() else c for c in shape) + "".join(it)
 
 
 def _phone(text: str) -> str:
@@ -161,60 +188,73 @@ def gender_of(given: str, title: str) -> str:
     return g or ("m" if given in GIVEN["m"] else "f" if given in GIVEN["f"] or given[-1:] in "aаα" else "m")
 
 
+def emails(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, at sign, end) of every address, from left to right. Each part of the text is read once, whatever it holds."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = _LOCAL_END.match(text[done:at][::-1]).end() if at > done else 0
+        domain = _DOMAIN.match(text, at + 1)
+        if start and domain:
+            yield at - start, at, domain.end()
+            done = domain.end()
+        else:
+            done = at + 1
+        at = text.find("@", max(done, at + 1))
+
+
+def _whole(_: str) -> bool:
+    return True
+
+
+def _right_iban(s: str) -> bool:
+    plain = s.replace(" ", "")
+    return int(plain[2:4]) == iban_check(plain)
+
+
+#: Per kind of a number: what a match must hold, and its canonical form.
+NUMBERS = {
+    "ip": (_whole, str), "iban": (_right_iban, lambda s: s.replace(" ", "")), "phone": (_whole, _phone),
+    "card": (_whole, lambda s: re.sub(r"\D", "", s)), "ssn": (_whole, lambda s: re.sub(r"\D", "", s)),
+}
+
+
+def introduced(text: str) -> dict[str, str]:
+    """Name -> kind, of the people that titles and phrases introduce."""
+    names: dict[str, str] = {}
+    for m in NAME.finditer(text):
+        words = re.split("[ -]", m[2])
+        given = words[:-1] if len(words) > 1 or not m[1].lower().endswith(("name is", "ist", "appelle", "llamo", "зовут")) else words
+        gender = gender_of(given[0] if given else "", m[1])
+        for w in given:
+            names.setdefault(w, f"given_{gender}")
+        if len(given) < len(words):
+            names.setdefault(words[-1], "family")
+    return names
+
+
 def find(text: str) -> list[tuple[int, int, str, list[tuple[str, str]]]]:
     """(start, end, kind, entities) in order, none overlapping; entities: (kind, canonical form), those whose surrogates make up the replacement."""
     found: list[tuple[int, int, str, list[tuple[str, str]]]] = []
-    taken: list[tuple[int, int]] = []
 
-    def claim(a: int, b: int, kind: str, entities: list[tuple[str, str]]) -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            fresh.append((a, b, kind, entities))
+    def claim(fresh: Iterable[tuple[int, int, str, list[tuple[str, str]]]]) -> None:
+        """Adds what overlaps nothing that an earlier kind claimed; both lists are in order, so one walk tells."""
+        nonlocal found
+        i, free = 0, []
+        for f in fresh:
+            while i < len(found) and found[i][1] <= f[0]:
+                i += 1
+            if i == len(found) or found[i][0] >= f[1]:
+                free.append(f)
+        if free:
+            found = sorted(found + free, key=lambda f: f[0])
 
     if re.search(r"[0-9@]", text):
-        for kind, pattern in KINDS.items():
-            fresh: list = []
-            for m in pattern.finditer(text) if kind != "email" or "@" in text else ():
-                s = m[0]
-                if kind == "email":
-                    local, _, domain = s.rpartition("@")
-                    claim(*m.span(), kind, [("email_local", local), ("email_domain", domain.lower())])
-                elif kind == "iban":
-                    plain = s.replace(" ", "")
-                    if int(plain[2:4]) == iban_check(plain):
-                        claim(*m.span(), kind, [(kind, plain)])
-                elif kind == "phone":
-                    claim(*m.span(), kind, [(kind, _phone(s))])
-                else:
-                    claim(*m.span(), kind, [(kind, s if kind == "ip" else re.sub(r"\D", "", s))])
-            found += fresh
-            taken = [(a, b) for a, b, *_ in found] if len(found) < 50 else _merged(found)
-    if any(c in text for c in _CUES):
-        names: dict[str, str] = {}
-        fresh = []
-        for m in NAME.finditer(text):
-            words = re.split("[ -]", m[2])
-            given = words[:-1] if len(words) > 1 or not m[1].lower().endswith(("name is", "ist", "appelle", "llamo", "зовут")) else words
-            gender = gender_of(given[0] if given else "", m[1])
-            for w in given:
-                names.setdefault(w, f"given_{gender}")
-            if len(given) < len(words):
-                names.setdefault(words[-1], "family")
-        if names:
-            mention = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")\b")
-            for m in mention.finditer(text):
-                claim(*m.span(), "name", [(names[m[0]], m[0])])
-            found += fresh
-    return sorted(found, key=lambda f: f[0])
-
-
-def _merged(found: list) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b, *_ in sorted(found, key=lambda f: f[0]):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+        claim((a, b, "email", [("email_local", text[a:at]), ("email_domain", text[at + 1 : b].lower())]) for a, at, b in emails(text))
+        for kind, (holds, plain) in NUMBERS.items():
+            claim((*m.span(), kind, [(kind, plain(m[0]))]) for m in KINDS[kind].finditer(text) if holds(m[0]))
+    if any(c in text for c in _CUES) and (names := introduced(text)):
+        claim((*m.span(), "name", [(names[m[0]], m[0])]) for m in _MENTION.finditer(text) if m[0] in names)
+    return found
 
 
 def replace(text: str, look_up: Callable[[str, str], str]) -> tuple[str, list[tuple[int, int, str]]]:
@@ -273,12 +313,12 @@ def assign(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
             return now
         redrawn = now.join(again, ["kind", "entity"], "left_semi").select("kind", "entity", (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(draw, schema)
         now = stage(now.join(again, ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "surrogate").union(redrawn), "surrogates")
-    raise RuntimeError("surrogates still collide")
+    raise RuntimeError(f"surrogates still collide after {rounds} rounds: more different entities than the forms hold")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, few: int = 100_000, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """ids, text (rewritten), n_replaced and spans (array<struct<start, end, kind>> in the original, code points) per row."""
-    changed = stage(assign(entities(docs, text_col), key).where("attempt > 0"), "redrawn")
+    changed = stage(assign(stage(entities(docs, text_col), "entities"), key).where("attempt > 0"), "redrawn")
     picked = docs.select(*ids, docs[text_col].alias("text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
     schema = fields + ", n_replaced long, spans array<struct<start: long, end: long, kind: string>>"
