@@ -1,7 +1,7 @@
 """Packing documents into training windows under a source mixture, by deficit round-robin.
 
-Documents are tokenized once and staged. A hash deals them to shards of some 2M tokens (so a hot source lies in all shards),
-and each shard fills windows from its source queues: for each window a source earns its target share of the window as credit,
+Documents are tokenized once and staged. A hash of doc_id and row deals them to shards of some 2M tokens (so a hot source and rows
+that repeat a doc_id lie in all shards), and each shard fills windows from its source queues: for each window a source earns its target share of the window as credit,
 the queues are visited in turn and serve packets (at most `packet` tokens of the document at the head, cut freely) while their
 credit lasts; room that is left goes to the source with the largest credit, which then owes it. Unspent credit and debts are
 carried to the next window, and across shards: what shards before it served is known from their token counts alone, so a shard
@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,10 +83,11 @@ def default_paths() -> tuple[str, str, str]:
 
 
 def tokenize(docs: DataFrame, paths: tuple[str, str | None, str | None], text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, n (with the end token) and ids: little-endian, 2 bytes each if all fit, else 4 (then wide is true)."""
+    """doc_id, source, n (with the end token), ids (little-endian, 2 bytes each if all fit, else 4: then wide is true) and row, a number of its own."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(*paths)
+        row = TaskContext.get().partitionId() << 33  # staged, so a row's number is settled before it is read
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -94,10 +96,12 @@ def tokenize(docs: DataFrame, paths: tuple[str, str | None, str | None], text_co
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([len(i) for i in found], pa.int64()),
                     pa.array([i.astype("<u4" if w else "<u2").tobytes() for i, w in zip(found, wide, strict=True)], pa.binary()), pa.array(wide),
-                ], names=["doc_id", "source", "n", "ids", "wide"])
+                    pa.array(row + np.arange(len(found)), pa.int64()),
+                ], names=["doc_id", "source", "n", "ids", "wide", "row"])
+                row += len(found)
 
     picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "doc_id long, source string, n long, ids binary, wide boolean")
+    return picked.mapInArrow(run, "doc_id long, source string, n long, ids binary, wide boolean, row long")
 
 
 def fill_windows(queues: list[list[tuple[int, int]]], shares: list[float], owed: list[float], window: int = 1024, packet: int = 128) -> list[tuple[int, int, int, int, int]]:
@@ -158,7 +162,7 @@ def pack(docs: DataFrame, paths: tuple[str, str | None, str | None] | None = Non
     tokens = stage(tokenize(docs, paths or default_paths(), text_col, source_col), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     shards = max(1, total // shard_tokens)
-    dealt = tokens.withColumn("mark", F.xxhash64("doc_id")).withColumn("shard", F.expr(f"pmod(mark, {shards}L)"))
+    dealt = tokens.withColumn("mark", F.xxhash64("doc_id", "row")).withColumn("shard", F.expr(f"pmod(mark, {shards}L)"))
     counts = stage(dealt.groupBy("shard", "source").agg(F.sum("n").alias("n")), "token-counts")
     if targets is None:
         weights = counts.groupBy(F.col("source").alias("weight_source")).agg((F.sum("n") / F.lit(max(1, total))).alias("share"))
