@@ -7,8 +7,10 @@
 3. Within a shard the source's documents stand in seeded order, as one stream of words cut into blocks. A quota over the number
    of blocks takes whole passes; the rest goes to the blocks that the seed ranks first. No block is taken more than `most` times.
 
-Shards are hashes of the document, so a hot source is spread over all of them, and no window or group is larger than a shard.
-Only one row per source and one per (source, shard) reach the driver or a broadcast-free join; texts are never shuffled.
+Shards are hashes of the document, so a hot source is spread over all of them, and no window is larger than a shard. A source's
+shards are apportioned by levels of `fan`, so no group is larger either. Only one row per source reaches the driver: sources are
+names that people gave, at most `SOURCES` of them (an error says so), and over 100,000 are joined by a shuffle instead of a
+broadcast. One row per (source, shard) meets in joins; texts are never shuffled.
 
 Defined results: null text has size 0 and taken 0; null source is a source of its own, the last; repeated rows share their
 document's place by an ordinal and are counted each; an empty table gives no rows; other columns are not read.
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, stage
 
 WEIGHTS = (1, 2, 3)
+#: What the driver can hold at some 100 bytes a source.
+SOURCES = 1_000_000
 _WORDS = re.compile(WORD)
 
 
@@ -44,7 +48,7 @@ def water_fill(sizes: list[int], weights: list[int], most: int = 3) -> list[floa
 
 
 def sainte_lague(shares: list[float], seats: int, most: list[int] | None = None) -> list[int]:
-    """Seats by the highest quotients share / (2k + 1), ties to the earlier; most bounds each one's seats.
+    """Seats by the highest quotients share / (2k + 1), ties to the earlier; most bounds each one's seats (their sum is all that is dealt).
 
     The first seats come from rounding at a divisor just too large, so the heap only hands out the few that are left.
     """
@@ -58,9 +62,9 @@ def sainte_lague(shares: list[float], seats: int, most: list[int] | None = None)
     slack = sum(out)
     heap = [(-Fraction(s) / (2 * o + 1), i) for i, (s, o) in enumerate(zip(shares, out, strict=True)) if s > 0 and o < most[i]]
     heapq.heapify(heap)
-    for _ in range(seats - slack):
+    for _ in range(min(seats, sum(most)) - slack):
         if not heap:
-            break
+            raise RuntimeError("seats are left, but no share may take them")
         _, i = heapq.heappop(heap)
         out[i] += 1
         if out[i] < most[i]:
@@ -81,12 +85,14 @@ def block_words(total: int, largest: int = 256, blocks: int = 65536) -> int:
     return max(1, min(largest, total // blocks))
 
 
-def mix_sources(docs: DataFrame, seed: int = 20, most: int = 3, per_shard: int = 8192, block: int | None = None, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 20, most: int = 3, per_shard: int = 2048, block: int | None = None, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text", source_col: str = "source", fan: int = 1024) -> DataFrame:
     """One row per row of docs: ids, size, source_size, target, taken, and parts: the taken runs of its words as
-    array<struct<start, end, times>>, ends exclusive. per_shard: documents of a shard, about."""
+    array<struct<start, end, times>>, ends exclusive. per_shard: documents of a shard, about; fan: shards apportioned at once."""
     spark = docs.sparkSession
     sized = docs.select(*ids, docs[source_col].alias("source"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = stage(sized, "sizes")
+    if (n_sources := sized.select("source").distinct().count()) > SOURCES:
+        raise ValueError(f"{n_sources} sources; targets are set on the driver for {SOURCES} at most")
     per_source = [(r["source"], r["n"], r["docs"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()]
     total, rows = sum(n for _, n, _ in per_source), sum(d for *_, d in per_source)
     block = block or block_words(total)
@@ -98,14 +104,26 @@ def mix_sources(docs: DataFrame, seed: int = 20, most: int = 3, per_shard: int =
     placed = sized.join(plan, F.col("source").eqNullSafe(F.col("source_key"))).withColumn("mark", F.xxhash64(F.lit(seed), *ids)).withColumn("shard", F.expr(f"int(pmod(mark, {shards}))"))
 
     def apportion(key, pdf):
-        pdf = pdf.sort_values("shard")
-        n = pdf["shard_size"].tolist()
-        blocks = [max(1, round(x / block)) if x else 0 for x in n]
-        return pdf[["source_no", "shard", "shard_size"]].assign(blocks=blocks, taken_blocks=sainte_lague(n, int(pdf["quota"].iloc[0]), [most * b for b in blocks]))
-
-    # a row per shard of a source: no more rows in a group than documents / per_shard
-    quotas = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-    quotas = quotas.groupBy("source_no").applyInPandas(apportion, "source_no int, shard int, shard_size long, blocks long, taken_blocks long")
+        pdf = pdf.sort_values("part")
+        seats = sainte_lague(pdf["shard_size"].tolist(), int(pdf["quota"].iloc[0]), [most * b for b in pdf["blocks"].tolist()])
+        return pdf.assign(taken_blocks=seats)[["source_no", "part", "upper", "shard_size", "blocks", "taken_blocks"]]
+
+    def dealt(rows: DataFrame, *group: str) -> DataFrame:
+        return rows.groupBy("source_no", *group).applyInPandas(apportion, "source_no int, part long, upper long, shard_size long, blocks long, taken_blocks long")
+
+    # a row per shard of a source; `fan` of them get their blocks as one, and each of those from its own ones, level by level
+    blocks = F.when(F.col("shard_size") > 0, F.greatest(F.lit(1).cast("long"), F.round(F.col("shard_size") / block).cast("long"))).otherwise(F.lit(0).cast("long"))
+    shard_sizes = placed.groupBy("source_no", F.col("shard").cast("long").alias("part")).agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
+    levels, parts = [stage(shard_sizes.withColumn("blocks", blocks), "shard-sizes")], shards
+    while parts > fan:
+        up = levels[-1].groupBy("source_no", F.expr(f"part div {fan}").alias("part")).agg(F.sum("shard_size").alias("shard_size"), F.first("quota").alias("quota"), F.sum("blocks").alias("blocks"))
+        levels, parts = [*levels, stage(up, "shard-groups")], -(-parts // fan)
+    with_upper = lambda rows: rows.withColumn("upper", F.expr(f"part div {fan}"))
+    quotas = dealt(with_upper(levels[-1]))
+    for rows in reversed(levels[:-1]):
+        above = stage(quotas, "group-quotas").select("source_no", F.col("part").alias("upper"), F.col("taken_blocks").alias("quota"))
+        quotas = dealt(with_upper(rows.drop("quota")).join(above, ["source_no", "upper"]), "upper")
+    quotas = quotas.select("source_no", F.col("part").cast("int").alias("shard"), "shard_size", "blocks", "taken_blocks")
     key = ["source_no", "shard"]
     in_shard = W.partitionBy(*key)
     by_seed = in_shard.orderBy("mark", *ids, "size")
