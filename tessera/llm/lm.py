@@ -1,33 +1,35 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from the tokens on both sides.
 
 Tokens are words. The vocabulary comes from counts over all documents: the `classes * per_class - buckets` most frequent
-words have a token each and every other word one of `buckets` tokens by its last letters and length. The network adds a vector
-per neighbour and position (2 on each side), takes tanh, and predicts the token's frequency class and then the token in the
-class (two softmaxes). A word that shares a bucket has the bucket's probability times its share of the bucket's words in the
-corpus, from the counts of all words by a join. A document's score is the sum of its words' conditional log-probabilities.
-
-Training is one pass over all tokens of all documents: each partition trains on its own from the same start (the biases hold
-the corpus frequencies), and the partitions' parameters are averaged, weighted by tokens, in two grouped sums. What training
-gathers is one row per distinct word of a partition and one set of parameters per partition, so it grows with the corpus; the
-driver gets the vocabulary and the average, whose sizes are fixed by the parameters. Scoring shuffles a row per word in a bucket.
+words have a token each and every other word one of `buckets` tokens by its last two bytes. The network adds a vector per
+neighbour and position (2 on each side), takes tanh, and predicts the token's frequency class and then the token in the class
+(two softmaxes). A word that shares a bucket has the bucket's probability times its own in the bucket, (n + d s) / (N + d): n is how
+often it occurs in the corpus, N the bucket's words, d the bucket's different words, and s the probability of its spelling, read from
+its end: the last two bytes given the bucket, each byte before given the two after it, then the start. So every word of the
+corpus is known by its count, and no word at all has a probability of 0.
+
+Training is one pass over all tokens of all documents. A hash of (doc_id, text) deals them to shards of some `shard_tokens`
+tokens, in a fixed order; every shard trains on its own from the same start (the biases hold the corpus frequencies), and the
+shards' parameters are averaged, weighted by tokens, at most FAN sets at a time, level by level. So results depend on the rows
+and not on how files or partitions split them. What training gathers is one row per distinct word of a partition, the texts
+once and one set of parameters per shard, so it grows with the corpus; the driver gets the vocabulary, the spelling's tables and the
+average, whose sizes are fixed by the parameters. For scoring a shard's different words in buckets bring their counts by a join
+and meet the shard's texts, so a task holds the words of one shard and never a table of all.
 
 Defined results: null text is empty; no words give n_tokens 0, score 0 and a null mean; repeated rows are trained on and
-scored each; an empty corpus gives no rows; a word that the counts don't hold has probability 0; other columns are not read.
-Results depend on how files are split into partitions,
-not on where or in what order these run.
+scored each; an empty corpus gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stage, text_bytes
@@ -35,15 +37,19 @@ from tessera.llm.common import stage, text_bytes
 OFFSETS = (-2, -1, 1, 2)
 PAD = max(OFFSETS)
 #: Tokens of one training step, at every size.
-STEP = 1024
+STEP = 4096
+#: Bytes of texts whose tokens are shuffled together.
+ROOM = 1_000_000
+#: Sets of parameters that one task adds up.
+FAN = 32
 
 
 @dataclass(frozen=True)
 class Shape:
-    classes: int = 32
-    per_class: int = 32
+    classes: int = 64
+    per_class: int = 64
     hidden: int = 16
-    buckets: int = 128
+    buckets: int = 256
 
     @property
     def tokens(self) -> int:
@@ -54,36 +60,118 @@ class Shape:
         return self.tokens - self.buckets
 
 
+#: Places of the spelling's tables: hashed pairs of bytes before which a byte may stand, and what may stand there (256: the start).
+CONTEXTS, SYMBOLS = 2048, 257
+#: Codes of a word's end: two bytes, or 65536 and more for a word of one.
+ENDS = 65536 + 256
+
+
+def end_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def end_codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((w[-2] * 256 + w[-1] if len(w) > 1 else 65536 + w[-1] for w in words), np.int64, len(words))
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words of a byte or more: the code of each one's end, and for each byte that is read after it and each start the place in the
+    table (context * SYMBOLS + symbol) and whose word it is."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    stop = np.cumsum(n)
+    last = flat[stop - 1]
+    codes = np.where(n > 1, flat[np.maximum(stop - 2, 0)] * 256 + last, 65536 + last)
+    steps = np.maximum(n - 1, 0)  # the bytes before the last two, and the start; a word of one byte has nothing to add
+    word = np.repeat(np.arange(len(words)), steps)
+    at = (stop - n)[word] + np.arange(len(word)) - np.repeat(np.cumsum(steps) - steps, steps)  # the first of the two that are known
+    symbol = np.where(at > (stop - n)[word], flat[np.maximum(at - 1, 0)], 256)
+    context = (flat[at] * 256 + flat[np.minimum(at + 1, len(flat) - 1)]) * 40503 % 65521 % CONTEXTS
+    return codes, context * SYMBOLS + symbol, word
+
+
+@dataclass
+class Spelling:
+    """P(word | bucket) of words without a token of their own, by spelling and count."""
+
+    ends: np.ndarray
+    steps: np.ndarray
+    total: np.ndarray  # words of each bucket
+    different: np.ndarray
+
+    @staticmethod
+    def of(ends: np.ndarray, steps: np.ndarray, kinds: np.ndarray, buckets: int) -> Spelling:
+        """From counts of end codes (of words and of different words) and of (context, symbol); what was never seen keeps a small share."""
+        bucket = end_bucket(np.arange(ENDS), buckets)
+        more = ends + 0.01
+        by_symbol = (steps.reshape(CONTEXTS, SYMBOLS).sum(0) + 1.0) / (steps.sum() + SYMBOLS)
+        table = steps.reshape(CONTEXTS, SYMBOLS) + 4.0 * by_symbol
+        return Spelling(
+            np.log(more / np.bincount(bucket, more, buckets)[bucket]).astype(np.float32), np.log(table / table.sum(1, keepdims=True)).astype(np.float32).ravel(),
+            np.bincount(bucket, ends, buckets), np.maximum(1, np.bincount(bucket, kinds, buckets)),
+        )
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        codes, places, word = spelled(words)
+        return self.ends[codes] + np.bincount(word, self.steps[places], len(words))
+
+    def shares(self, words: list[bytes], bucket: np.ndarray, counts: dict[bytes, int]) -> np.ndarray:
+        """log P(word | its bucket)."""
+        n = np.fromiter((counts.get(w, 0) for w in words), np.float64, len(words))
+        return np.log(n + self.different[bucket] * np.exp(self.log_probabilities(words))) - np.log(self.total + self.different)[bucket]
+
+
 class Vocabulary(dict):
-    """Word -> token. A word that isn't known gets the token of its bucket, remembered for a while."""
+    """Word -> token. A word that isn't known gets a number over the pad's, remembered for a while: token() tells its bucket, inside()
+    the logarithm of its spelling's share of it."""
 
-    def __init__(self, words: list[bytes], shape: Shape):
+    def __init__(self, words: list[bytes], shape: Shape, spelling: Spelling | None = None):
         super().__init__(zip(words, range(len(words)), strict=True))
-        self.words, self.shape, self.extra = words, shape, 0
+        self.words, self.shape, self.spelling = words, shape, spelling
+        self.counts: dict[bytes, int] = {}
+        self.new: list[bytes] = []
+        self.buckets = self.shares = np.empty(0)
 
     def __missing__(self, word: bytes) -> int:
-        if self.extra > 100_000:
-            self.clear()
-            self.update(zip(self.words, range(len(self.words)), strict=True))
-            self.extra = 0
-        token = self[word] = self.shape.tokens - 1 - zlib.crc32(word[-2:] + bytes((min(len(word), 15),))) % self.shape.buckets
-        self.extra += 1
-        return token
+        number = self[word] = self.shape.tokens + 1 + len(self.new)
+        self.new.append(word)
+        return number
+
+    def forget(self) -> None:
+        """Between shards: starts anew."""
+        self.clear()
+        self.update(zip(self.words, range(len(self.words)), strict=True))
+        self.new, self.buckets, self.shares = [], np.empty(0), np.empty(0)
+
+    def settled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the numbers, and the positions of those over the pad's."""
+        if len(self.new) > len(self.buckets):
+            fresh = self.new[len(self.buckets) :]
+            bucket = end_bucket(end_codes(fresh), self.shape.buckets)
+            self.buckets = np.concatenate([self.buckets, self.shape.first_bucket + bucket]).astype(np.int64)
+            if self.counts:
+                self.shares = np.concatenate([self.shares, self.spelling.shares(fresh, bucket, self.counts)])
+        rare = np.flatnonzero(numbers > self.shape.tokens)
+        tokens = numbers.copy()
+        tokens[rare] = self.buckets[numbers[rare] - self.shape.tokens - 1]
+        return tokens, rare
+
+    def inside(self, numbers: np.ndarray) -> np.ndarray:
+        return self.shares[numbers - self.shape.tokens - 1]
 
     def __reduce__(self):
-        return Vocabulary, (self.words, self.shape)
+        return Vocabulary, (self.words, self.shape, self.spelling)
 
 
 def tokens_of(texts: list[bytes], vocabulary: Vocabulary, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' tokens with PAD pads around each, and the texts' lengths."""
-    out, sizes = [[pad] * PAD], np.empty(len(texts), np.int64)
+    """All texts' numbers with PAD pads around each, and the texts' lengths."""
+    sizes, flat, pads = np.empty(len(texts), np.int64), array("q", [pad] * PAD), [pad] * PAD
     for i, t in enumerate(texts):
         words = t.split()
         sizes[i] = len(words)
-        out.append(list(map(vocabulary.__getitem__, words)))
-        out.append([pad] * PAD)
-    flat = np.fromiter((x for part in out for x in part), np.int64, sum(map(len, out))) if len(texts) < 4 else np.concatenate([np.array(p, np.int64) for p in out])
-    return flat, sizes
+        flat.extend(map(vocabulary.__getitem__, words))
+        flat.extend(pads)
+    return np.frombuffer(flat, np.int64).copy(), sizes
 
 
 def positions_of(sizes: np.ndarray) -> np.ndarray:
@@ -105,6 +193,15 @@ class Network:
 
     NAMES = ("embed", "bias", "to_class", "class_bias", "to_token", "token_bias")
 
+    def copy(self, packed: bytes | None = None) -> Network:
+        """A network with parameters of its own, those of packed() if given, that has not been trained."""
+        sizes = np.cumsum([0, *(getattr(self, k).size for k in self.NAMES)])
+        flat = np.frombuffer(packed if packed is not None else self.packed(), np.float32)
+        return Network(self.shape, *(flat[a:b].reshape(getattr(self, k).shape).copy() for k, a, b in zip(self.NAMES, sizes, sizes[1:])))
+
+    def packed(self) -> bytes:
+        return b"".join(getattr(self, k).tobytes() for k in self.NAMES)
+
     @staticmethod
     def start(shape: Shape, counts: np.ndarray, seed: int = 1) -> Network:
         """Small random weights; the biases give the tokens' corpus frequencies."""
@@ -131,49 +228,66 @@ class Network:
         edges = np.searchsorted(group[order], np.arange(self.shape.classes + 1))
         return near, hidden, group, place, order, edges
 
+    def _token_scores(self, hidden: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Of the tokens of each one's class; hidden in the order of classes, whose rows begin at edges."""
+        scores = np.empty((len(hidden), self.shape.per_class), np.float32)
+        for g in np.flatnonzero(np.diff(edges)).tolist():
+            mine = slice(edges[g], edges[g + 1])
+            np.matmul(hidden[mine], self.to_token[g], out=scores[mine])
+            scores[mine] += self.token_bias[g]
+        return scores
+
+    @staticmethod
+    def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The logarithm of the softmax at one place of each row; x is overwritten."""
+        x -= x.max(1, keepdims=True)
+        own = x[np.arange(len(x)), at]
+        return own - np.log(np.exp(x, out=x).sum(1))
+
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
+    def _softmax_error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The gradient of the mean negative logarithm of the softmax at one place of each row; x is overwritten."""
         x -= x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
+        np.exp(x, out=x)
+        x /= x.sum(1, keepdims=True)
+        x[np.arange(len(x)), at] -= 1
+        x /= len(x)
+        return x
 
     def log_probabilities(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of each token at the given positions, from its neighbours."""
         _, hidden, group, place, order, edges = self._forward(flat, at)
-        rows = np.arange(len(at))
-        out = self._log_softmax(hidden @ self.to_class + self.class_bias)[rows, group]
-        for g in range(self.shape.classes):
-            mine = order[edges[g] : edges[g + 1]]
-            if len(mine):
-                out[mine] += self._log_softmax(hidden[mine] @ self.to_token[g] + self.token_bias[g])[np.arange(len(mine)), place[mine]]
+        out = self._log_softmax_at(hidden @ self.to_class + self.class_bias, group)
+        out[order] += self._log_softmax_at(self._token_scores(hidden[order], edges), place[order])
         return out
 
     def _step(self, name: str, gradient: np.ndarray, rate: float, where=Ellipsis) -> None:
         value = getattr(self, name)
-        seen = self.seen.setdefault(name, np.full_like(value, 1e-6))
-        seen[where] += gradient * gradient
-        value[where] -= rate * gradient / np.sqrt(seen[where])
-
-    def train(self, flat: np.ndarray, at: np.ndarray, rate: float = 0.05) -> None:
+        if name not in self.seen:
+            self.seen[name] = np.full_like(value, 1e-6)
+        seen = self.seen[name]
+        now = seen[where] + gradient * gradient
+        seen[where] = now
+        value[where] -= rate * gradient / np.sqrt(now)
+
+    def train(self, flat: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
         """One Adagrad step on the tokens at the given positions."""
         near, hidden, group, place, order, edges = self._forward(flat, at)
-        rows, n = np.arange(len(at)), len(at)
-        error = np.exp(self._log_softmax(hidden @ self.to_class + self.class_bias))
-        error[rows, group] -= 1
-        error /= n
+        error = self._softmax_error(hidden @ self.to_class + self.class_bias, group)
         back = error @ self.to_class.T
+        own = hidden[order]
+        inner = self._softmax_error(self._token_scores(own, edges), place[order])
+        gradient, inner_back = np.zeros_like(self.to_token), np.empty_like(own)
+        present = np.flatnonzero(np.diff(edges))
+        for g in present.tolist():
+            mine = slice(edges[g], edges[g + 1])
+            np.matmul(own[mine].T, inner[mine], out=gradient[g])
+            np.matmul(inner[mine], self.to_token[g].T, out=inner_back[mine])
         self._step("to_class", hidden.T @ error, rate)
         self._step("class_bias", error.sum(0), rate)
-        for g in range(self.shape.classes):
-            mine = order[edges[g] : edges[g + 1]]
-            if not len(mine):
-                continue
-            h = hidden[mine]
-            e = np.exp(self._log_softmax(h @ self.to_token[g] + self.token_bias[g]))
-            e[np.arange(len(mine)), place[mine]] -= 1
-            e /= n
-            back[mine] += e @ self.to_token[g].T
-            self._step("to_token", h.T @ e, rate, g)
-            self._step("token_bias", e.sum(0), rate, g)
+        self._step("to_token", gradient, rate)
+        self._step("token_bias", np.add.reduceat(inner, edges[present], axis=0), rate, present)
+        back[order] += inner_back
         back *= 1 - hidden * hidden
         self._step("bias", back.sum(0), rate)
         for k in range(len(OFFSETS)):
@@ -201,115 +315,189 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(docs[text_col].alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _batches(texts: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
-    """Texts by so many bytes together."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def bucket_shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """word, share of every counted word that has no token of its own: log P(word | its bucket)."""
-    shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
+def spelling_counts(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all counted words without a token of their own: how often each end code and each place of the tables occurs, and how many
+    different words have each end code."""
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(vocabulary.words))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        known, sums = shared.value, np.zeros(2 * ENDS + CONTEXTS * SYMBOLS)
         for batch in batches:
-            token = pa.array([tokens[w] for w in batch.column(0).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, token], names=["word", "n", "token"])
+            rare = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
+            if not rare:
+                continue
+            codes, places, word = spelled([w for w, _ in rare])
+            n = np.array([n for _, n in rare], np.float64)
+            sums += np.concatenate([np.bincount(codes, n, ENDS), np.bincount(places, n[word], CONTEXTS * SYMBOLS), np.bincount(codes, minlength=ENDS)])
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at].astype(np.int64))], names=["place", "n"])
+
+    rows = counts.select("word", "n").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # a row per place of the tables at most
+    out = np.zeros(2 * ENDS + CONTEXTS * SYMBOLS)
+    out[rows["place"].to_numpy()] = rows["n"].to_numpy()
+    return out[:ENDS], out[ENDS:-ENDS], out[-ENDS:]
+
+
+def averaged(sets: DataFrame, shards: int, fan: int = FAN) -> DataFrame:
+    """part, n and mean (float32) of sets of parameters (part 0..shards - 1): their average weighted by n, at most fan sets in a task."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows, total, n = rows.sort_by("part"), 0.0, sum(rows["n"].to_pylist())
+        for k, x in zip(rows["n"].to_pylist(), rows["mean"], strict=True):
+            total = total + np.frombuffer(x.as_py(), np.float32).astype(np.float64) * (k / n)
+        return pa.table({"part": pa.array([rows["part"][0].as_py() // fan], pa.int64()), "n": pa.array([n], pa.int64()), "mean": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    marked = counts.select("word", "n").mapInArrow(run, "word binary, n long, token int").where(F.col("token") >= vocabulary.shape.first_bucket)
-    totals = marked.groupBy("token").agg(F.sum("n").alias("total"))  # a row per bucket
-    return marked.join(F.broadcast(totals), "token").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+    while True:
+        sets = sets.groupBy(F.expr(f"part div {fan}")).applyInArrow(add, "part long, n long, mean binary")
+        shards = -(-shards // fan)
+        if shards <= 1:
+            return sets
 
 
-def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", seed: int = 1) -> tuple[Vocabulary, Network, DataFrame]:
-    """Vocabulary, averaged network and bucket_shares() of all documents."""
+@dataclass
+class Model:
+    """What fit() made of a corpus. words: shard and word, the different words in buckets of each of its shards."""
+
+    vocabulary: Vocabulary
+    network: Network
+    counts: DataFrame
+    shards: int
+    words: DataFrame
+
+
+def dealt(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The shard of a row, and its hash."""
+    mark = F.xxhash64(docs[id_col], F.coalesce(docs[text_col], F.lit("")))
+    return F.pmod(mark, F.lit(shards).cast("long")), mark
+
+
+def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", id_col: str = "doc_id", seed: int = 1, shard_tokens: int = 2_000_000) -> Model:
+    """The model of all documents."""
     spark = docs.sparkSession
     counts = stage(count_words(docs, text_col), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.tokens - shape.buckets).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(shape.first_bucket).collect()
     vocabulary = Vocabulary([bytes(r["word"]) for r in top], shape)
+    ends, steps, kinds = spelling_counts(counts, vocabulary)
+    vocabulary.spelling = Spelling.of(ends, steps, kinds, shape.buckets)
     known = np.zeros(shape.tokens)
     known[: len(top)] = [r["n"] for r in top]
-    known[shape.tokens - shape.buckets :] = max(0, total - known.sum()) / shape.buckets
+    known[shape.first_bucket :] = vocabulary.spelling.total
     first = Network.start(shape, known, seed)
     shared = spark.sparkContext.broadcast((vocabulary, first))  # of fixed size
+    shards = max(1, total // shard_tokens)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = shared.value
-        net = Network(shape, *(getattr(net, k).copy() for k in Network.NAMES))
-        rng, n = np.random.default_rng(seed), 0
+        words, start = shared.value
+        shard, net, n, texts, room, rare = None, None, 0, [], 0, set()
+
+        def learn() -> None:
+            nonlocal n, texts, room
+            flat, sizes = tokens_of(texts, words, shape.tokens)
+            flat, _ = words.settled(flat)
+            at = positions_of(sizes)
+            np.random.default_rng((seed, n)).shuffle(at)
+            for a in range(0, len(at), STEP):
+                net.train(flat, at[a : a + STEP])
+            n, texts, room = n + len(at), [], 0
+            if len(words.new) > 200_000:
+                rare.update(words.new)
+                words.forget()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if texts:
+                learn()
+            if n:
+                rare.update(words.new)
+                columns = [pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([net.packed()], pa.binary()), pa.array([list(rare)], pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "mean", "words"])
+
         for batch in batches:
-            for texts in _batches(text_bytes(batch)):
-                flat, sizes = tokens_of(texts, words, shape.tokens)
-                at = positions_of(sizes)
-                rng.shuffle(at)
-                n += len(at)
-                for a in range(0, len(at), STEP):
-                    net.train(flat, at[a : a + STEP])
-        if n:
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(Network.NAMES), pa.array([part % 64] * len(Network.NAMES), pa.int32()), pa.array([n] * len(Network.NAMES), pa.int64()),
-                pa.array([(getattr(net, k).astype(np.float64) * n).tobytes() for k in Network.NAMES], pa.binary()),
-            ], names=["name", "part", "n", "total"])
+            for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
+                if key != shard:
+                    yield from done()
+                    shard, net, n, texts, room, rare = key, start.copy(), 0, [], 0, set()
+                    words.forget()
+                texts.append(t)
+                room += len(t)
+                if room >= ROOM:
+                    learn()
+        yield from done()
+
+    shard, mark = dealt(docs, shards, id_col, text_col)
+    placed = docs.select(shard.alias("shard"), mark.alias("mark"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    placed = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "mark", "id", "text").select("shard", "text")
+    trained = stage(placed.mapInArrow(run, "part long, n long, mean binary, words array<binary>"), "trained")
+    rows = averaged(trained.drop("words"), shards).collect()
+    return Model(vocabulary, first.copy(rows[0]["mean"]) if rows else first, counts, shards, trained.select(F.col("part").alias("shard"), F.explode("words").alias("word")))
+
+
+def rare_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """shard, word: the different words in buckets of other documents than the model's, some twice."""
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(model.vocabulary.words))
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(len(rows["total"][0].as_py()) // 8)
-        for x in rows["total"]:
-            total += np.frombuffer(x.as_py())
-        return pa.table({"name": rows["name"][:1], "part": rows["part"][:1], "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list({(k, w) for k, t in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True) for w in t.split() if w not in known.value})
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], names=["shard", "word"])
 
-    schema = "name string, part int, n long, total binary"
-    trained = docs.select(docs[text_col].alias("text")).mapInArrow(run, schema)
-    once = trained.groupBy("name", "part").applyInArrow(add, schema)
-    rows = {r["name"]: r for r in once.groupBy("name").applyInArrow(add, schema).collect()}
-    net = Network(shape, *((np.frombuffer(rows[k]["total"]) / rows[k]["n"]).astype(np.float32).reshape(getattr(first, k).shape) if k in rows else getattr(first, k) for k in Network.NAMES))
-    return vocabulary, net, bucket_shares(counts, vocabulary)
+    return docs.select(dealt(docs, model.shards, id_col, text_col)[0].alias("shard"), docs[text_col].alias("text")).mapInArrow(run, "shard long, word binary").distinct()
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, shares: DataFrame, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """ids, n_tokens, pll (summed log-probability) and pll_mean per row: one narrow pass of the network, then the shares of words in buckets."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
-    picked = docs.select(*ids, docs[text_col].alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]) + ", n_tokens long, __net double, __row long, __words array<binary>"
+def score(docs: DataFrame, model: Model, words: DataFrame | None = None, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """ids, n_tokens, pll (summed log-probability) and pll_mean per row; the first of ids deals the rows. words: the model's own if docs are its corpus."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network))  # of fixed size
+    words = rare_words(docs, model, ids[0], text_col) if words is None else words
+    shard, _ = dealt(docs, model.shards, ids[0], text_col)
+    rows = docs.select(shard.alias("__shard"), F.lit(True).alias("__is_doc"), F.lit(None).cast("binary").alias("__word"), F.lit(None).cast("long").alias("__n"), *ids, docs[text_col].alias("__text"))
+    counted = words.join(model.counts.withColumnRenamed("n", "__n"), "word").select(F.col("shard").alias("__shard"), F.lit(False).alias("__is_doc"), F.col("word").alias("__word"), "__n")
+    both = rows.unionByName(counted, allowMissingColumns=True)
+    both = both.repartitionById(model.shards, F.col("__shard").cast("int")).sortWithinPartitions("__shard", "__is_doc")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids) + ", n_tokens long, pll double, pll_mean double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = shared.value
-        row = TaskContext.get().partitionId() << 33  # staged, so a row's number is settled before it is read
+        (words, net), now = shared.value, None
         for batch in batches:
-            sizes, sums, rare, rare_sizes = [], [], [], []
-            for texts in _batches(text_bytes(batch)):
-                flat, n = tokens_of(texts, words, net.shape.tokens)
-                at = positions_of(n)
-                logs = np.concatenate([net.log_probabilities(flat, at[a : a + 8192]) for a in range(0, len(at), 8192)] or [np.empty(0)])
-                edges = np.concatenate(([0], np.cumsum(n)))
-                sums.append(np.diff(np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))[edges]))
-                sizes.append(n)
-                shares_one = flat[at] >= net.shape.first_bucket
-                every = [w for t in texts for w in t.split()]
-                rare += [every[i] for i in np.flatnonzero(shares_one)]
-                rare_sizes.append(np.diff(np.concatenate(([0], np.cumsum(shares_one)))[edges]))
-            n, pll, k = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (sizes, sums, rare_sizes))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), pa.array(rare, pa.binary()))
-            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(pll, pa.float64()), pa.array(row + np.arange(len(n)), pa.int64()), lists]
-            row += len(n)
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_tokens", "__net", "__row", "__words"])
-
-    rows = stage(picked.mapInArrow(run, schema), "network-scores")
-    each = rows.select("__row", F.explode("__words").alias("word")).join(shares, "word", "left")
-    inside = each.groupBy(F.col("__row").alias("__of")).agg(F.sum(F.coalesce("share", F.lit(float("-inf")))).alias("__inside"))
-    whole = rows.drop("__words").join(inside, F.col("__row") == F.col("__of"), "left").withColumn("pll", F.col("__net") + F.coalesce("__inside", F.lit(0.0)))
-    return whole.select(*ids, "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("pll_mean"))
+            of, is_doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            starts = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (is_doc[1:] != is_doc[:-1])))).tolist() if len(of) else []
+            for a, b in zip(starts, [*starts[1:], len(of)]):
+                if of[a] != now:
+                    now = of[a]
+                    words.forget()
+                    words.counts = {b"": 0}
+                part = batch.slice(a, b - a)
+                if not is_doc[a]:
+                    words.counts.update(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+                    continue
+                n, pll = scored(text_bytes(part, "__text"), words, net)
+                mean = pa.array(pll / np.maximum(n, 1), pa.float64(), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([*part.columns[4:-1], pa.array(n), pa.array(pll), mean], names=[*ids, "n_tokens", "pll", "pll_mean"])
+
+    return both.mapInArrow(run, schema)
+
+
+def scored(texts: list[bytes], words: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and summed log-probability of each text; words.counts holds how often each word in a bucket occurs in the corpus."""
+    sizes, sums, part, room = [np.empty(0, np.int64)], [np.empty(0)], [], 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        room += len(t)
+        if room < ROOM and k + 1 < len(texts):
+            continue
+        numbers, n = tokens_of(part, words, net.shape.tokens)
+        flat, rare = words.settled(numbers)
+        at = positions_of(n)
+        logs = np.zeros(len(flat))
+        for a in range(0, len(at), 8192):
+            logs[at[a : a + 8192]] = net.log_probabilities(flat, at[a : a + 8192])
+        logs[rare] += words.inside(numbers[rare])
+        sums.append(np.bincount(np.repeat(np.arange(len(n)), n), logs[at], len(n)))
+        sizes.append(n)
+        part, room = [], 0
+    return np.concatenate(sizes), np.concatenate(sums)
 
 
 def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, pll, pll_mean of every row, by a network of all rows."""
-    return score(docs, *fit(docs, shape, text_col), text_col=text_col)
+    model = fit(docs, shape, text_col)
+    return score(docs, model, model.words, text_col=text_col)
