@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_ASCII, components, forest, sorted_runs, stage, text_bytes
+from tessera.llm.common import LOWER_ASCII, components, forest, stage, text_bytes
 
 SEED = 42
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -173,7 +173,7 @@ def band_rows(docs: DataFrame, items: Items, bands: int, rows: int) -> DataFrame
                     seen.add(i)
                     held[i] = item
                     room += len(item)
-                    if room > 1 << 20:
+                    if room > 1 << 18:
                         yield pack()
                         room = 0
                 if len(seen) > 2_000_000:
@@ -259,39 +259,84 @@ def line_texts(docs: DataFrame, ids: DataFrame, items: Items = LINES) -> DataFra
     return docs.select("text").mapInArrow(run, "id long, line string").groupBy("id").agg(F.any_value("line").alias("line"))
 
 
+#: Items whose sets are made together, and the bits that their numbers take of a sort key; shingle hashes keep the others.
+TOGETHER = 1 << 14
+
+
+def shingle_sets(items: Items, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles' hashes (50 bits) of at most TOGETHER items, one item after the other and each in order, and how many each has."""
+    h, count = items.hashes(lines, items.size)
+    key = np.sort((np.repeat(np.arange(len(lines), dtype=np.uint64), count) << np.uint64(50)) | (h >> np.uint64(14)))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    return key & np.uint64((1 << 50) - 1), np.bincount((key >> np.uint64(50)).astype(np.int64), minlength=len(lines))
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of runs that begin at start, one run after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def similarities(items: Items, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The Jaccard similarity of the shingle sets of each pair of items, at most TOGETHER / 2 pairs; 0 without shingles."""
+    place: dict[bytes, int] = {}
+    at = np.array([[place.setdefault(x, len(place)) for x in side] for side in (left, right)], np.int64)
+    sets, n = shingle_sets(items, list(place))
+    start = np.cumsum(n) - n
+    pair = np.repeat(np.arange(len(left), dtype=np.uint64), n[at[0]]), np.repeat(np.arange(len(left), dtype=np.uint64), n[at[1]])
+    key = np.sort(np.concatenate([(p << np.uint64(50)) | sets[_spread(start[k], n[k])] for p, k in zip(pair, at, strict=True)]))
+    twice = (key[1:][key[1:] == key[:-1]] >> np.uint64(50)).astype(np.int64)
+    both = np.bincount(twice, minlength=len(left))
+    return both / np.maximum(1, n[at[0]] + n[at[1]] - both)
+
+
+def _chunks(sizes: Iterable[int], most: int, rows: int) -> Iterator[slice]:
+    """Stretches of so many rows and of sizes that add up to about `most`."""
+    start, total, k = 0, 0, -1
+    for k, size in enumerate(sizes):
+        total += size
+        if total >= most or k + 1 - start >= rows:
+            yield slice(start, k + 1)
+            start, total = k + 1, 0
+    if start <= k:
+        yield slice(start, k + 1)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, items: Items, threshold: float) -> DataFrame:
-    """pairs (a, b) with near: whether the exact Jaccard similarity of the shingles' 64-bit hashes reaches the threshold."""
+    """pairs (a, b) with near: whether the exact Jaccard similarity of the sets of the shingles' hashes reaches the threshold."""
     left, right = (texts.select(F.col("id").alias(f"{s}_id"), F.col("line").alias(f"{s}_line")) for s in "ab")
     joined = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id")).select("a", "b", "a_line", "b_line")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
-            near = []
-            for a, b in zip(text_bytes(batch, "a_line"), text_bytes(batch, "b_line"), strict=True):
-                if known[0] != a:
-                    known = (a, np.unique(items.hashes([a], items.size)[0]))
-                one, two = known[1], np.unique(items.hashes([b], items.size)[0])
-                both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
-                near.append(both >= threshold * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
+            one, two = text_bytes(batch, "a_line"), text_bytes(batch, "b_line")
+            near = [np.empty(0, bool)]
+            for c in _chunks((len(x) + len(y) for x, y in zip(one, two, strict=True)), 1 << 19, TOGETHER // 2):
+                near.append(similarities(items, one[c], two[c]) >= threshold - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(near))], names=["a", "b", "near"])
 
     return joined.mapInArrow(run, "a long, b long, near boolean")
 
 
+def sketch_rows(items: Items, lines: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """How many different shingles each of at most TOGETHER items has, and their bit sets."""
+    sets, n = shingle_sets(items, lines)
+    width = np.left_shift(1, np.clip(np.ceil(np.log2(4 * n + 1)).astype(np.int64), 6, 16))
+    start = np.cumsum(width) - width
+    bits = np.zeros(width.sum(), bool)
+    bits[np.repeat(start, n) + (sets.astype(np.int64) & (np.repeat(width, n) - 1))] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return n, [packed[a : a + w] for a, w in zip((start // 8).tolist(), (width // 8).tolist(), strict=True)]
+
+
 def sketches(texts: DataFrame, items: Items) -> DataFrame:
     """id, n (different shingles), bits: a set of 4 to 8 bits a shingle, 64 at least and 65536 at most, with each shingle's bit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, bits = [], []
-            for line in text_bytes(batch, "line"):
-                h = np.unique(items.hashes([line], items.size)[0])
-                out = np.zeros(1 << min(16, max(6, (4 * len(h)).bit_length())), bool)
-                out[(h & np.uint64(len(out) - 1)).astype(np.int64)] = True
-                n.append(len(h))
-                bits.append(np.packbits(out, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+            lines = text_bytes(batch, "line")
+            for c in _chunks(map(len, lines), 1 << 19, TOGETHER):
+                n, bits = sketch_rows(items, lines[c])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.start : c.stop], pa.array(n, pa.int32()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
 
     return texts.mapInArrow(run, "id long, n int, bits binary")
 
@@ -317,45 +362,143 @@ def possible(left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
+#: Lines of a cell whose pairs are listed; larger cells are searched line by block.
+LISTED = 48
+
+
+@dataclass
+class Rows:
+    """Lines in cells: id, root, n, mine (the block) and the bit sets, as words from `first` on, `width` words each."""
+
+    ids: np.ndarray
+    root: np.ndarray
+    n: np.ndarray
+    mine: np.ndarray
+    first: np.ndarray
+    width: np.ndarray
+    words: np.ndarray
+
+    @staticmethod
+    def of(t: pa.RecordBatch) -> Rows:
+        bits = t.column("bits")
+        edges = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        data = np.frombuffer(bits.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+        words = np.frombuffer(data.tobytes(), np.uint64)
+        return Rows(*(t.column(c).to_numpy() for c in ("id", "root", "n", "mine")), (edges[:-1] - edges[0]) // 8, np.diff(edges) // 8, words)
+
+    def bits(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Bit sets of lines of the width, or of twice as many words: then folded."""
+        rows = self.words[self.first[at][:, None] + np.arange(width)]
+        double = self.width[at] == 2 * width
+        rows[double] |= self.words[self.first[at[double]][:, None] + np.arange(width, 2 * width)]
+        return rows
+
+
+def listed_pairs(rows: Rows, starts: np.ndarray, sizes: np.ndarray, same: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Of small cells: the pairs in different components that may reach the threshold, the bound of their similarity, and their cell's
+    place in starts. same: whether a cell is of one block."""
+    one, two, cell = [], [], []
+    for k in np.unique(sizes[sizes > 1]).tolist():
+        at, (p, q) = np.flatnonzero(sizes == k), np.triu_indices(k, 1)
+        one.append((starts[at][:, None] + p).ravel())
+        two.append((starts[at][:, None] + q).ravel())
+        cell.append(np.repeat(at, len(p)))
+    if not one:
+        return (np.empty(0, int),) * 2 + (np.empty(0),) + (np.empty(0, int),)
+    one, two, cell = (np.concatenate(x) for x in (one, two, cell))
+    n, m = rows.n[one].astype(np.int64), rows.n[two].astype(np.int64)
+    ok = (rows.root[one] != rows.root[two]) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+    ok &= same[cell] | (rows.mine[one] != rows.mine[two])
+    one, two, cell = one[ok], two[ok], cell[ok]
+    width, bound = np.minimum(rows.width[one], rows.width[two]), np.zeros(len(one))
+    bound[np.maximum(rows.width[one], rows.width[two]) > 2 * width] = -1  # near sets' sizes are of one width or of two neighbours
+    for w in np.unique(width).tolist():
+        fit = np.flatnonzero((width == w) & (bound >= 0))
+        for at in range(0, len(fit), max(1, (1 << 18) // w)):
+            now = fit[at : at + max(1, (1 << 18) // w)]
+            left, right = rows.bits(one[now], w), rows.bits(two[now], w)
+            n, m = rows.n[one[now]].astype(np.int64), rows.n[two[now]].astype(np.int64)
+            common, a, b = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (left & right, left, right))
+            most = np.minimum(n - a, m - b) + common
+            bound[now] = most / np.maximum(1, n + m - most)
+    ok = bound >= threshold - 1e-9
+    return one[ok], two[ok], bound[ok], cell[ok]
+
+
+def block_pairs(rows: Rows, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As listed_pairs(), of the rows of one cell of any size."""
+    found = []
+    by_width = {w: np.flatnonzero(rows.width == w) for w in np.unique(rows.width).tolist()}
+    for w, at in by_width.items():
+        for v, to in by_width.items():
+            if v != w and v != 2 * w:
+                continue
+            a, b, bound = possible((rows.n[at], rows.root[at], rows.bits(at, w)), (rows.n[to], rows.root[to], rows.bits(to, w)), threshold)
+            a, b = at[a], to[b]
+            ok = (a < b) | (v != w)
+            if not same:
+                ok &= rows.mine[a] != rows.mine[b]
+            found.append((a[ok], b[ok], bound[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def cell_pairs(cells: DataFrame, threshold: float, dense: int | None) -> DataFrame:
     """a, b of the pairs in a cell that may be near. A cell with over `dense` pairs a line gives a forest of them, the likeliest
-    pairs first, and a row of key, i, j; None: all cells give all pairs."""
+    pairs first, and a row of key, i, j; None: all cells give all pairs. Small cells are searched together, a batch at a time."""
     order = ["key", "i", "j"]
+    names = [*order, "mine", "id", "root", "n", "bits"]
+
+    def search(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs of whole cells, which begin at starts."""
+        rows = Rows.of(batch)
+        key, i, j = (batch.column(c).to_numpy() for c in order)
+        sizes, same = np.diff(np.append(starts, batch.num_rows)), i[starts] == j[starts]
+        small = np.flatnonzero(sizes <= LISTED)
+        found = [listed_pairs(rows, starts[small], sizes[small], same[small], threshold)]
+        found = [(*found[0][:3], small[found[0][3]])]
+        for c in np.flatnonzero(sizes > LISTED).tolist():
+            own = slice(starts[c], starts[c] + sizes[c])
+            part = Rows(rows.ids[own], rows.root[own], rows.n[own], rows.mine[own], rows.first[own], rows.width[own], rows.words)
+            a, b, bound = block_pairs(part, bool(same[c]), threshold)
+            found.append((a + starts[c], b + starts[c], bound, np.full(len(a), c)))
+        a, b, bound, cell = (np.concatenate(x) for x in zip(*found, strict=True))
+        marked = np.flatnonzero(np.bincount(cell, minlength=len(starts)) > dense * sizes) if dense is not None else np.empty(0, int)
+        if len(marked):
+            full = np.isin(cell, marked)
+            keep = [np.flatnonzero(~full)]
+            for c in marked.tolist():
+                best = np.flatnonzero(cell == c)
+                best = best[np.argsort(-bound[best], kind="stable")]
+                keep.append(best[forest(rows.root[a[best]], rows.root[b[best]])])
+            keep = np.concatenate(keep)
+            a, b = a[keep], b[keep]
+        none = pa.nulls(len(marked), pa.int64())
+        at = starts[marked]
+        yield pa.RecordBatch.from_arrays([
+            *(pa.concat_arrays([pa.array(rows.ids[x]), none]) for x in (a, b)),
+            *(pa.concat_arrays([pa.nulls(len(a), kind), pa.array(x[at], kind)]) for x, kind in ((key, pa.int64()), (i, pa.int32()), (j, pa.int32()))),
+        ], names=["a", "b", *order])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, i, j), t in sorted_runs(batches, order):
-            ids, root, n, mine = (t[c].to_numpy() for c in ("id", "root", "n", "mine"))
-            bits = t["bits"].to_pylist()
-            width = np.fromiter(map(len, bits), np.int64, len(bits))
-            sides = []
-            for w in np.unique(width).tolist():
-                at = np.flatnonzero(width == w)
-                rows = np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), -1)
-                folded = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
-                sides.append((w, at, rows, folded))
-            pairs = []
-            for w, at, rows, _ in sides:
-                for v, to, other, half in sides:
-                    if v != w and v != 2 * w:  # near sets' sizes are of one width or of two neighbours
-                        continue
-                    a, b, bound = possible((n[at], root[at], rows), (n[to], root[to], other if v == w else half), threshold)
-                    a, b = at[a], to[b]
-                    ok = (ids[a] < ids[b]) | (v != w)
-                    if i != j:
-                        ok &= mine[a] != mine[b]
-                    pairs.append((a[ok], b[ok], bound[ok]))
-            a, b, bound = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            mark = dense is not None and len(a) > dense * len(ids)
-            if mark:
-                best = np.argsort(-bound, kind="stable")
-                keep = best[forest(root[a[best]], root[b[best]])]
-                a, b = a[keep], b[keep]
-            if len(a):
-                a, b = (pa.array(ids[x].tolist() + [None] * mark, pa.int64()) for x in (a, b))
-                cell = [pa.array([None] * (len(a) - mark) + [int(x)] * mark, kind) for x, kind in ((key, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([a, b, *cell], names=["a", "b", *order])
-
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, key long, i int, j int")
+        rest: pa.RecordBatch | None = None  # the last cell, which may go on; two blocks at most
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None and rest.num_rows:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            change = np.zeros(batch.num_rows, bool)
+            change[0] = True
+            for c in order:
+                column = batch.column(c).to_numpy()
+                change[1:] |= column[1:] != column[:-1]
+            starts = np.flatnonzero(change)
+            if len(starts) > 1:
+                yield from search(batch.slice(0, starts[-1]), starts[:-1])
+            rest = batch.slice(starts[-1])
+        if rest is not None:
+            yield from search(rest, np.zeros(1, int))
+
+    return cells.select(*names).repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long, key long, i int, j int")
 
 
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
