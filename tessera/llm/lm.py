@@ -37,9 +37,11 @@ from tessera.llm.common import stage, text_bytes
 OFFSETS = (-2, -1, 1, 2)
 PAD = max(OFFSETS)
 #: Tokens of one training step, at every size.
-STEP = 4096
+STEP = 8192
 #: Bytes of texts whose tokens are shuffled together.
 ROOM = 1_000_000
+#: The largest exponent of a softmax.
+TOP = np.float32(60)
 #: Sets of parameters that one task adds up.
 FAN = 32
 
@@ -209,8 +211,8 @@ class Network:
         draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         by_class = (counts + 1.0).reshape(shape.classes, shape.per_class)
         return Network(
-            shape, draw(len(OFFSETS) * (shape.tokens + 1), shape.hidden), np.zeros(shape.hidden, np.float32), draw(shape.hidden, shape.classes), np.log(by_class.sum(1)).astype(np.float32),
-            draw(shape.classes, shape.hidden, shape.per_class), np.log(by_class).astype(np.float32),
+            shape, draw(len(OFFSETS) * (shape.tokens + 1), shape.hidden), np.zeros(shape.hidden, np.float32), draw(shape.hidden, shape.classes), np.log(by_class.sum(1) / by_class.sum()).astype(np.float32),
+            draw(shape.classes, shape.hidden, shape.per_class), np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32),
         )
 
     def _near(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -238,20 +240,20 @@ class Network:
         return scores
 
     @staticmethod
-    def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _exponentials(x: np.ndarray) -> np.ndarray:
+        """exp(x) in place. tanh bounds what the weights add to the biases, which are logarithms of shares; over TOP counts as TOP."""
+        return np.exp(np.minimum(x, TOP, out=x), out=x)
+
+    def _log_softmax_at(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The logarithm of the softmax at one place of each row; x is overwritten."""
-        x -= x.max(1, keepdims=True)
-        own = x[np.arange(len(x)), at]
-        return own - np.log(np.exp(x, out=x).sum(1))
+        own = np.minimum(x[np.arange(len(x)), at], TOP)
+        return own - np.log(self._exponentials(x) @ np.ones(x.shape[1], x.dtype))
 
-    @staticmethod
-    def _softmax_error(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _softmax_error(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The gradient of the mean negative logarithm of the softmax at one place of each row; x is overwritten."""
-        x -= x.max(1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
-        x[np.arange(len(x)), at] -= 1
-        x /= len(x)
+        self._exponentials(x)
+        x *= (1 / (len(x) * (x @ np.ones(x.shape[1], x.dtype))))[:, None]
+        x[np.arange(len(x)), at] -= x.dtype.type(1 / len(x))
         return x
 
     def log_probabilities(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -371,7 +373,7 @@ def dealt(docs: DataFrame, shards: int, id_col: str, text_col: str) -> tuple[Col
     return F.pmod(mark, F.lit(shards).cast("long")), mark
 
 
-def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", id_col: str = "doc_id", seed: int = 1, shard_tokens: int = 2_000_000) -> Model:
+def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", id_col: str = "doc_id", seed: int = 1, shard_tokens: int = 4_000_000) -> Model:
     """The model of all documents."""
     spark = docs.sparkSession
     counts = stage(count_words(docs, text_col), "word-counts")
