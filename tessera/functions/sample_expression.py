@@ -1,4 +1,4 @@
-"""Postfix sample expressions compiled into one Column.
+"""Postfix sample expressions compiled into one Column, whose size grows with the program and no faster: every intermediate value is bound once.
 
 A program is a list of tokens: ("const", n), ("input", column) or the name of an operator. Every operator's result is clamped to
 the signed intermediate range and the last value to the output depth. All arithmetic is 64-bit and saturates.
@@ -6,9 +6,13 @@ the signed intermediate range and the last value to the output depth. All arithm
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.binding import let
+
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 UNARY = {"neg", "abs", "not", "log2"}
 BINARY = {"add", "sub", "mul", "div", "and", "or", "xor", "pow", "min", "max"}
@@ -71,6 +75,23 @@ def _apply(op: str, args: list[Column]) -> Column:
             return F.greatest(a, b)
 
 
+def _clamped(op: str, low: Column, high: Column) -> Callable[..., Column]:
+    """An operator on values that are bound, clamped; null if one of them is."""
+
+    def run(*args: Column) -> Column:
+        missing = F.lit(False)
+        for x in args:
+            missing = missing | x.isNull()
+        return F.when(~missing, let(_apply(op, list(args)), lambda v: F.least(F.greatest(v, low), high)))
+
+    return run
+
+
+def _second(f: Callable[..., Column], value: Column) -> Callable[[Column], Column]:
+    """f with its second argument bound to value."""
+    return lambda a: let(value, lambda b: f(a, b))
+
+
 def compile_expression(tokens: list, bits: int = 32, depth: int = 8) -> Column:
     """The program's Column. bits: intermediate width (8, 16, 32, 64); depth: bits of the output.
 
@@ -94,10 +115,11 @@ def compile_expression(tokens: list, bits: int = 32, depth: int = 8) -> Column:
             raise ValueError("stack underflow")
         args = stack[-need:]
         del stack[-need:]
-        missing = F.lit(False)
-        for x in args:
-            missing = missing | x.isNull()
-        stack.append(F.when(~missing, F.least(F.greatest(_apply(token, args), low), high)))
+        held = _clamped(token, low, high)
+        if need == 1:
+            stack.append(let(args[0], held))
+        else:
+            stack.append(let(args[0], _second(held, args[1])))
     if len(stack) != 1:
         raise ValueError("a program must leave one value")
-    return F.when(stack[0].isNotNull(), F.least(F.greatest(stack[0], _long(0)), _long((1 << depth) - 1)))
+    return let(stack[0], lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, _long(0)), _long((1 << depth) - 1))))

@@ -22,12 +22,13 @@ def pixels(rows: DataFrame, name: str = "v") -> DataFrame:
 
 
 def crop_box(size: int, n: int, d: int, off_n: int, off_d: int) -> tuple[int, int]:
-    """Start and length of a clean aperture along one axis, from its size and offset fractions. ValueError outside the image."""
+    """Start and length of a clean aperture along one axis: the image's middle, plus the offset, less half the length, each division
+    truncated toward zero on its own. ValueError for zero denominators and outside the image."""
     if d <= 0 or off_d <= 0:
         raise ValueError("zero denominator")
     length = n // d
-    top = (size - 1) * off_d + 2 * off_n - (length - 1) * off_d  # twice the start, in units of off_d
-    start = int(top / (2 * off_d)) if top >= 0 else -1
+    offset = abs(off_n) // off_d * (1 if off_n >= 0 else -1)
+    start = size // 2 + offset - length // 2
     if length < 1 or start < 0 or start + length > size:
         raise ValueError("clean aperture outside the image")
     return start, length
@@ -90,13 +91,6 @@ def yuv_to_rgb(y: Column, u: Column, v: Column, kr: float, kb: float, depth: int
     return {k: F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * top).cast("long") for k, c in (("r", r), ("g", g), ("b", b))}
 
 
-def gain_weight(headroom: float, base: float, alternate: float) -> float:
-    """Share of a gain map to apply at a display headroom; ValueError unless it is finite and not negative."""
-    if not 0 <= headroom < float("inf"):
-        raise ValueError("headroom must be finite and not negative")
-    return 0.0 if alternate == base else max(0.0, min(1.0, (headroom - base) / (alternate - base)))
-
-
 def differences(a: Column, b: Column) -> dict[str, Column]:
     """Mean and largest absolute difference of two arrays and the number of positions that differ."""
     gap = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.staging import settled
+
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column], take: list[str]) -> DataFrame:
     """keys and the columns of the last row by order; partial maxima are combined before the shuffle."""
@@ -48,24 +52,29 @@ def with_fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataF
 def closure(edges: DataFrame, roots: DataFrame, src: str, dst: str, root: str, most: int = 64) -> DataFrame:
     """root, node, depth: what each root reaches, itself included, at its least depth. Cycles end, since no node is entered twice.
 
-    most bounds the depth; an error says that it was not enough, so nothing is lost. Every level is checkpointed.
+    most bounds the depth; an error says that it was not enough, so nothing is lost. Each level is settled once and all are joined
+    up at the end.
     """
     e = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).distinct()
-    seen = roots.select(F.col(root).alias("root"), F.col(root).alias("node"), F.lit(0).alias("depth")).distinct()
-    front = seen
+    levels = [settled(roots.select(F.col(root).alias("root"), F.col(root).alias("node"), F.lit(0).alias("depth")).distinct(), "closure")]
     for depth in range(1, most + 1):
-        step = front.join(e, F.col("node") == F.col("__s")).select("root", F.col("__d").alias("node")).distinct()
-        front = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        step = levels[-1].join(e, F.col("node") == F.col("__s")).select("root", F.col("__d").alias("node")).distinct()
+        for seen in levels:
+            step = step.join(seen, ["root", "node"], "left_anti")
+        front = settled(step.withColumn("depth", F.lit(depth)), "closure")
         if front.isEmpty():
-            return seen
-        seen = seen.union(front).checkpoint()
+            return functools.reduce(DataFrame.unionByName, levels)
+        levels.append(front)
     raise RuntimeError(f"references are deeper than {most}")
 
 
-def first_everywhere(groups: DataFrame, group: str, entity: str, place: str) -> DataFrame:
-    """entity, preferred: whether it is the first of every group that holds it."""
-    firsts = groups.groupBy(F.col(group).alias("__g")).agg(F.min_by(entity, place).alias("__first"))
-    return groups.join(firsts, F.col(group) == F.col("__g")).groupBy(entity).agg(F.bool_and(F.col(entity) == F.col("__first")).alias("preferred"))
+def first_everywhere(groups: DataFrame, group: str, entity: str, place: str, other: str | None = None) -> DataFrame:
+    """entity, preferred: whether it is the first of every group that holds it, or, with the column `other` (the same in all rows of
+    an entity), of every group that holds both. Entities that share no group with theirs are preferred."""
+    firsts = groups.groupBy(F.col(group).alias("__g")).agg(F.min_by(entity, place).alias("__first"), F.collect_set(entity).alias("__all"))
+    first = F.col(entity) == F.col("__first")
+    counts = F.lit(True) if other is None else F.array_contains("__all", F.col(other))
+    return groups.join(firsts, F.col(group) == F.col("__g")).groupBy(entity).agg(F.bool_and(first | ~F.coalesce(counts, F.lit(False))).alias("preferred"))
 
 
 def unpivot_metadata(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -50,13 +50,6 @@ def units(df: DataFrame, keys: list[str], order: list[str], starts: Column, name
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)).cast("long"))
 
 
-def tile_check(tiles: DataFrame, key: str, tile: str) -> DataFrame:
-    """Per key: tiles, duplicates and holes in 1..largest; fault is bitstream (duplicate), unsupported (hole) or null."""
-    each = tiles.groupBy(key).agg(F.count("*").alias("tiles"), F.countDistinct(tile).alias("different"), F.max(tile).cast("long").alias("top"))
-    out = each.select(key, "tiles", (F.col("tiles") - F.col("different")).alias("duplicates"), (F.col("top") - F.col("different")).alias("holes"))
-    return out.withColumn("fault", F.when(F.col("duplicates") > 0, "bitstream").when(F.col("holes") > 0, "unsupported"))
-
-
 def merge_tiles(tiles: DataFrame, key: str, tile: str, size: str, counts: DataFrame, count: str) -> DataFrame:
     """key, fault, tile, offset, size: each key's tiles re-offset in id order (ids 0..count - 1), or one row with its fault.
 

@@ -75,21 +75,12 @@ def chunk_offsets(spark, sf_dir):
     return e.select("event_id", (F.col("user_id") * 1000000 + F.col("before")).alias("sample_offset"))
 
 
-@query("""WITH g AS (SELECT user_id, bool_or(event_id % 2 = 0 AND event_id % 50 = 0) AS endless, bool_and(event_id % 2 >= 0) AS zero, min(event_id % 2) AS lo, max(event_id % 2) AS hi, count(*) AS n FROM events WHERE event_id % 25 = 0 GROUP BY user_id)
-SELECT user_id, CASE WHEN endless THEN 'infinite' WHEN zero AND lo = hi THEN 'finite' ELSE 'unknown' END AS kind, CASE WHEN NOT endless AND zero AND lo = hi THEN n - 1 END AS n, CAST(CASE WHEN endless THEN 0 WHEN zero AND lo = hi THEN n - 1 ELSE 1 END AS BIGINT) AS loops FROM g""")
-def repetition_class(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_id % 25 = 0")
-    d = F.when(F.col("event_id") % 50 == 0, F.lit(S.INFINITE)).otherwise(F.col("event_id") % 2)
-    r = S.repetition(e, "user_id", F.lit(0), d)
-    return r.withColumn("loops", I.loop_count(F.col("kind"), F.col("n")))
-
-
 @query(f"""WITH e AS (SELECT user_id, CASE WHEN user_id % 6 = 5 THEN event_id % 2 ELSE 0 END AS media_time,
 CASE WHEN user_id % 3 = 0 AND event_id % 50 = 0 THEN {S.INFINITE} WHEN user_id % 3 = 1 THEN 7 ELSE event_id % 2 END AS duration FROM events),
 g AS (SELECT user_id, bool_or(media_time = 0 AND duration = {S.INFINITE}) AS endless, bool_and(media_time = 0) AS zero, min(duration) AS lo, max(duration) AS hi, count(*) AS n FROM e GROUP BY user_id)
 SELECT user_id, CASE WHEN endless THEN 'infinite' WHEN zero AND lo = hi THEN 'finite' ELSE 'unknown' END AS kind, CASE WHEN NOT endless AND zero AND lo = hi THEN n - 1 END AS n, CAST(CASE WHEN endless THEN 0 WHEN zero AND lo = hi THEN n - 1 ELSE 1 END AS BIGINT) AS loops FROM g""")
-def repetition_class_all(spark, sf_dir):
-    """repetition_class over all events: edit lists per user, times and durations from user_id and event_id."""
+def repetition_class(spark, sf_dir):
+    """Edit lists per user, over all events: times and durations from user_id and event_id."""
     user, event = F.col("user_id"), F.col("event_id")
     d = F.when((user % 3 == 0) & (event % 50 == 0), F.lit(S.INFINITE)).when(user % 3 == 1, 7).otherwise(event % 2)
     r = S.repetition(_t(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", F.when(user % 6 == 5, event % 2).otherwise(0), d)
@@ -104,17 +95,6 @@ def gaps_islands(spark, sf_dir):
     return S.units(e.crossJoin(F.broadcast(first)), ["user_id"], ["ts", "event_id"], F.col("event_type") == F.col("first_type")).groupBy("user_id", "unit").agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS tiles, count(DISTINCT l_linenumber) AS d, max(l_linenumber) AS top FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, tiles, tiles - d AS duplicates, top - d AS holes, CASE WHEN tiles > d THEN 'bitstream' WHEN top > d THEN 'unsupported' END AS fault FROM g""")
-def tile_merge_check(spark, sf_dir):
-    return S.tile_check(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
-
-
-@query("SELECT user_id, event_type, max_by(event_id, event_id) AS event_id, max_by(props, event_id) AS props FROM events GROUP BY user_id, event_type")
-def property_resolve(spark, sf_dir):
-    return R.last_wins(_t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "props"), ["user_id", "event_type"], [F.col("event_id")], ["event_id", "props"])
-
-
 @query("""SELECT 1 AS rule, concat_ws('/', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS "key", count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 UNION ALL SELECT 2, CAST(c_custkey AS VARCHAR), count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_custkey""")
 def validation_rules(spark, sf_dir):
@@ -129,10 +109,13 @@ def alpha_fallback(spark, sf_dir):
     return R.with_fallback(o.where("o_orderstatus = 'F'").select("k", "item"), o.where("o_orderstatus <> 'F'").select("k", "item"), ["k"])
 
 
-@query("""SELECT l_partkey AS entity, bool_and(l_partkey = f) AS preferred FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l JOIN (SELECT l_orderkey AS g, min(l_partkey) AS f FROM lineitem GROUP BY 1) m ON l.l_orderkey = m.g GROUP BY l_partkey""")
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS e FROM lineitem), f AS (SELECT g, min(e) AS f FROM l GROUP BY g)
+SELECT l.e AS entity, bool_and(l.e = f.f OR NOT EXISTS (SELECT 1 FROM l o WHERE o.g = l.g AND o.e = l.e // 2 + 1)) AS preferred FROM l JOIN f ON l.g = f.g GROUP BY l.e""")
 def alt_group_pref(spark, sf_dir):
-    groups = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("entity"))
-    return R.first_everywhere(groups.withColumn("place", F.col("entity")), "l_orderkey", "entity", "place")
+    """An entity is preferred if it is first wherever it is grouped with its own primary entity, here half its key."""
+    groups = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("entity")).distinct()
+    groups = groups.withColumns({"place": F.col("entity"), "primary": F.call_function("div", F.col("entity"), F.lit(2).cast("long")) + 1})
+    return R.first_everywhere(groups, "l_orderkey", "entity", "place", "primary")
 
 
 @query("""SELECT p_partkey, 'p_brand' AS name, p_brand AS value FROM part WHERE p_brand IS NOT NULL UNION ALL SELECT p_partkey, 'p_type', p_type FROM part WHERE p_type IS NOT NULL UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR) FROM part WHERE p_size IS NOT NULL""")

@@ -7,9 +7,10 @@ import struct
 import duckdb
 import pytest
 
+from tessera.functions import colour
 from tessera.functions.sample_expression import compile_expression
 from tessera.operators import planes, relations, sequence
-from tessera.plans.queries import ORACLE_SQL, QUERIES
+from tessera.plans import ORACLE_SQL, QUERIES
 from tessera.sources.boxes import boxes
 
 
@@ -52,8 +53,7 @@ def test_expressions_saturate_and_refuse(spark):
             value(spark, tokens)
 
 
-def test_closure_survives_cycles(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_closure_survives_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 9)], "s long, d long")
     got = relations.closure(edges, spark.createDataFrame([(1,), (9,), (7,)], "r long"), "s", "d", "r")
     assert sorted(map(tuple, got.collect())) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (7, 7, 0), (9, 9, 0)]
@@ -73,15 +73,61 @@ def test_boxes_of_good_and_damaged_files(spark):
 
 def test_clean_aperture_and_gain_weight():
     assert planes.crop_box(10, 4, 1, 0, 1) == (3, 4)
-    with pytest.raises(ValueError):
-        planes.crop_box(10, 11, 1, 0, 1)
-    assert planes.gain_weight(1.0, 0.0, 4.0) == 0.25
-    with pytest.raises(ValueError):
-        planes.gain_weight(float("nan"), 0.0, 1.0)
+    assert planes.crop_box(10, 5, 1, 0, 1) == (3, 5)  # halves are cut off one by one: 5 + 0 - 2
+    assert planes.crop_box(11, 5, 1, -3, 2) == (2, 5)  # 5 - 1 - 2
+    for bad in ((10, 11, 1, 0, 1), (10, 4, 0, 0, 1), (10, 4, 1, 0, 0), (10, 4, 1, 9, 1)):
+        with pytest.raises(ValueError):
+            planes.crop_box(*bad)
+    assert colour.gain_weight(1.0, 0.0, 4.0) == 0.25 and colour.gain_weight(9.0, 0.0, 4.0) == 1.0 and colour.gain_weight(1.0, 2.0, 2.0) == 0.0
+    assert colour.gain_weight(1.0, 0.0, 4.0, backward=True) == -0.25
+    for bad in (float("nan"), float("inf"), -1.0):
+        with pytest.raises(ValueError):
+            colour.gain_weight(bad, 0.0, 1.0)
+
+
+def test_long_programs_compile_and_run(spark):
+    for n in (11, 60):
+        assert value(spark, [("const", 5), *["neg"] * n], bits=32) == (0 if n % 2 else 5)
+    series = [("const", 1)]
+    for k in range(40):
+        series += [("const", k), "add", ("const", 3), "mul", ("const", 1000), "min"]
+    want = 1
+    for k in range(40):
+        want = min((want + k) * 3, 1000)
+    assert value(spark, series, bits=32, depth=16) == want
+
+
+def test_primaries_and_derived_weights():
+    import numpy as np
+
+    for code in colour.PRIMARIES:
+        m = np.array([[float(v) for v in row] for row in colour.rgb_to_xyz(code)])
+        xyz = [np.array([x / y, 1, (1 - x - y) / y]) for x, y in colour.PRIMARIES[code]]
+        assert m @ np.ones(3) == pytest.approx(xyz[3])  # white
+        for i in range(3):
+            assert m[:, i] / m[1, i] == pytest.approx(xyz[i])
+        back = np.array(colour.primaries_matrix(1, code)) @ np.array(colour.primaries_matrix(code, 1))
+        assert back == pytest.approx(np.eye(3), abs=1e-12)
+    assert colour.luma_weights(1) == pytest.approx((0.2126, 0.0722), abs=1e-4) and colour.luma_weights(9) == pytest.approx((0.2627, 0.0593), abs=1e-4)
+    assert colour.shared_primaries(2, 9) == (9, 9) and colour.shared_primaries(1, 2) == (1, 1) and colour.shared_primaries(1, 9) == (1, 9) and colour.shared_primaries(9, None) == (9, 9)
+    for f in (lambda: colour.transfer_curve(3), lambda: colour.rgb_to_xyz(2), lambda: colour.sample_range(7, True)):
+        with pytest.raises(ValueError):
+            f()
+    assert [colour.matrix_code(*x) for x in ((None, True), (None, False), (9, True))] == [6, 2, 9]
+
+
+def test_negative_channels_move_to_their_luminance(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([([0.5, -0.25, 1.0],), ([0.2, 0.3, 0.4],), ([-1.0, -1.0, -1.0],)], "c array<double>").select(colour.in_gamut(F.col("c")).alias("c")).collect()
+    light = 0.5 * 0.2126 - 0.25 * 0.7152 + 0.0722
+    share = max(light, 0) / (max(light, 0) + 0.25)
+    assert rows[0].c == pytest.approx([max(light, 0) + share * (v - max(light, 0)) for v in (0.5, -0.25, 1.0)])
+    assert rows[1].c == [0.2, 0.3, 0.4] and rows[2].c == pytest.approx([0, 0, 0])
 
 
 def test_every_user_has_a_repetition(spark, sf_dir, duck):
-    got = QUERIES["repetition_class_all"](spark, sf_dir).collect()
+    got = QUERIES["repetition_class"](spark, sf_dir).collect()
     assert {r.kind for r in got} == {"infinite", "finite", "unknown"}
     assert {r.user_id for r in got} == {x for (x,) in duck.execute("SELECT DISTINCT user_id FROM events").fetchall()}
     assert sum(r.n + 1 for r in got if r.kind == "finite") == duck.execute("SELECT count(*) FROM events WHERE user_id % 3 = 1").fetchone()[0]
