@@ -6,6 +6,7 @@ the signed intermediate range and the last value to the output depth. All arithm
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from tessera.functions.binding import let
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
+#: Operators of a program that is nested into one expression; longer ones are folded token by token.
+NESTED = 12
 UNARY = {"neg", "abs", "not", "log2"}
 BINARY = {"add", "sub", "mul", "div", "and", "or", "xor", "pow", "min", "max"}
 
@@ -92,6 +95,31 @@ def _second(f: Callable[..., Column], value: Column) -> Callable[[Column], Colum
     return lambda a: let(value, lambda b: f(a, b))
 
 
+def _stack_machine(tokens: list, low: Column, high: Column) -> Column:
+    """The program's value by a fold over its tokens with an array as the stack: one expression of fixed size, for programs too long to nest."""
+    names = sorted({v for t in tokens if isinstance(t, tuple) for k, v in [t] if k == "input"})
+    ops = [None, "input", *sorted(UNARY), *sorted(BINARY)]
+    rows = []
+    for t in tokens:
+        kind, value = t if isinstance(t, tuple) else (t, 0)
+        op = 0 if kind == "const" else ops.index(kind)
+        rows.append(F.struct(F.lit(op).alias("op"), (_long(value) if kind == "const" else _long(names.index(value)) if kind == "input" else _long(0)).alias("value")))
+    inputs = F.array(*(F.col(n).cast("long") for n in names)) if names else F.expr("cast(array() as array<bigint>)")
+
+    def step(stack: Column, token: Column) -> Column:
+        def on_top(top: Column) -> Column:
+            under = F.get(stack, F.size(stack) - 2)
+            one = functools.reduce(lambda c, op: c.when(token["op"] == ops.index(op), _clamped(op, low, high)(top)), sorted(UNARY), F.when(F.lit(False), top))
+            two = let(under, lambda a: functools.reduce(lambda c, op: c.when(token["op"] == ops.index(op), _clamped(op, low, high)(a, top)), sorted(BINARY), F.when(F.lit(False), top)))
+            binary = token["op"] >= ops.index(sorted(BINARY)[0])
+            return F.when(binary, F.concat(F.slice(stack, F.lit(1), F.size(stack) - 2), F.array(two))).otherwise(F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(one)))
+
+        pushed = F.when(token["op"] == 0, token["value"]).otherwise(F.get(inputs, token["value"].cast("int")))
+        return F.when(token["op"] < 2, F.concat(stack, F.array(pushed))).otherwise(let(F.get(stack, F.size(stack) - 1), on_top))
+
+    return F.get(F.aggregate(F.array(*rows), F.expr("cast(array() as array<bigint>)"), step), F.lit(0))
+
+
 def compile_expression(tokens: list, bits: int = 32, depth: int = 8) -> Column:
     """The program's Column. bits: intermediate width (8, 16, 32, 64); depth: bits of the output.
 
@@ -101,6 +129,7 @@ def compile_expression(tokens: list, bits: int = 32, depth: int = 8) -> Column:
         raise ValueError("intermediate width must be 8, 16, 32 or 64")
     low, high = _long(-(1 << (bits - 1))), _long((1 << (bits - 1)) - 1)
     stack: list[Column] = []
+    nested = sum(not isinstance(t, tuple) for t in tokens) <= NESTED
     for token in tokens:
         if isinstance(token, tuple):
             kind, value = token
@@ -115,6 +144,9 @@ def compile_expression(tokens: list, bits: int = 32, depth: int = 8) -> Column:
             raise ValueError("stack underflow")
         args = stack[-need:]
         del stack[-need:]
+        if not nested:  # checked only
+            stack.append(args[0])
+            continue
         held = _clamped(token, low, high)
         if need == 1:
             stack.append(let(args[0], held))
@@ -122,4 +154,5 @@ def compile_expression(tokens: list, bits: int = 32, depth: int = 8) -> Column:
             stack.append(let(args[0], _second(held, args[1])))
     if len(stack) != 1:
         raise ValueError("a program must leave one value")
-    return let(stack[0], lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, _long(0)), _long((1 << depth) - 1))))
+    last = stack[0] if nested else _stack_machine(tokens, low, high)
+    return let(last, lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, _long(0)), _long((1 << depth) - 1))))
