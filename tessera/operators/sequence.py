@@ -50,6 +50,14 @@ def units(df: DataFrame, keys: list[str], order: list[str], starts: Column, name
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)).cast("long"))
 
 
+def slots(samples: DataFrame, key: str, order: str, mask: str, count: int = 8) -> DataFrame:
+    """Adds slots: what each of the reference slots holds when a sample begins, the order value of the last earlier sample whose mask has
+    the slot's bit (null: none). streaming.playback keeps the same state sample by sample."""
+    earlier = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    taken = [F.last(F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, F.col(order)), ignorenulls=True).over(earlier) for i in range(count)]
+    return samples.withColumn("slots", F.array(*taken))
+
+
 def merge_tiles(tiles: DataFrame, key: str, tile: str, size: str, counts: DataFrame, count: str) -> DataFrame:
     """key, fault, tile, offset, size: each key's tiles re-offset in id order (ids 0..count - 1), or one row with its fault.
 

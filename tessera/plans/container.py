@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import items as I
+from tessera.operators import sequence as S
 from tessera.plans.queries import query
 from tessera.sources import bodies as B
 from tessera.sources import payloads as P
@@ -342,6 +343,101 @@ def codec_records(spark, sf_dir):
     return found.select(key(), "fault", "value.profile", "value.depth", "value.sub_x", "value.sub_y", "value.delay")
 
 
+# --- sequence headers: bits per part
+
+
+def header_bits(k: int) -> bytes:
+    """A sequence header whose fields follow the key; reduced for one key in four."""
+    out: list[tuple[int, int]] = []
+    put = lambda *fields: out.extend(fields)  # noqa: E731  (value, bits)
+    profile, reduced = k % 3, k % 4 == 1
+    put((profile, 3), (int(reduced), 1), (int(reduced), 1))
+    if reduced:
+        put((k % 32, 5))
+    else:
+        put((1, 1), (30, 32), (1000, 32), (1, 1), (0b00101, 5), (1, 1), (4, 5), (90, 32), (9, 5), (9, 5))  # timing with a uvlc of 4, decoder model
+        put((1, 1), (1, 5))
+        for level in (k % 32, 9):
+            put((0, 12), (level, 5), *([(1, 1)] if level > 7 else []), (1, 1), (0, 11), (1, 1), (3, 4))
+    put((11, 4), (10, 4), (15 + k % 2000, 12), (7 + k % 1000, 11))
+    if not reduced:
+        put((1, 1), (3, 4), (2, 3))
+    put((k % 2, 1), (1, 1), (0, 1))
+    if not reduced:
+        put((0b1010, 4), (k // 2 % 2, 1), *([(3, 2)] if k // 2 % 2 else []), (0, 1), (1, 1), (0, 1), (1, 1), *([(k % 8, 3)] if k // 2 % 2 else []))
+    put((0, 1), (1, 1), (k // 3 % 2, 1))
+    high, twelve, mono, described = k // 4 % 2, k // 8 % 2, int(k % 7 == 0), int(k % 5 < 3)
+    srgb = k % 5 == 1
+    put((high, 1), *([(twelve, 1)] if profile == 2 and high else []), *([(mono, 1)] if profile != 1 else []), (described, 1))
+    if described:
+        put(*((1, 8), (13, 8), (0, 8)) if srgb else ((9, 8), (16, 8), (9, 8)))
+    if mono and profile != 1:
+        put((k // 5 % 2, 1))
+    else:
+        if not srgb:
+            put((k // 5 % 2, 1))
+            if profile == 2 and high and twelve:
+                put((k // 16 % 2, 1), *([(k // 32 % 2, 1)] if k // 16 % 2 else []))
+            if profile == 0 or (profile == 2 and high and twelve and k // 16 % 2 and k // 32 % 2):
+                put((k % 3 % 2 + k // 9 % 2, 2))
+        put((0, 1))
+    put((k // 6 % 2, 1))
+    text = "".join(f"{v:0{n}b}" for v, n in out) + "1"
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+HEADERS = """h AS (SELECT p_partkey AS k, p_partkey % 3 AS profile, p_partkey % 4 = 1 AS reduced, p_partkey // 4 % 2 = 1 AS high, p_partkey // 8 % 2 = 1 AS twelve, p_partkey % 7 = 0 AND p_partkey % 3 <> 1 AS mono, p_partkey % 5 < 3 AS described, p_partkey % 5 = 1 AS srgb FROM part),
+d AS (SELECT *, CASE WHEN profile = 2 AND high AND twelve THEN 12 WHEN high THEN 10 ELSE 8 END AS depth FROM h),
+x AS (SELECT *, CASE WHEN mono THEN true WHEN srgb THEN false WHEN profile = 0 THEN true WHEN profile = 1 THEN false WHEN depth = 12 THEN k // 16 % 2 = 1 ELSE true END AS sub_x,
+CASE WHEN mono THEN true WHEN srgb THEN false WHEN profile = 0 THEN true WHEN profile = 1 THEN false ELSE depth = 12 AND k // 16 % 2 = 1 AND k // 32 % 2 = 1 END AS sub_y, CASE WHEN NOT mono AND srgb THEN true ELSE k // 5 % 2 = 1 END AS "full" FROM d)"""
+
+
+@query(f"""WITH {HEADERS} SELECT k AS file_id, profile::INT AS profile, reduced, (k % 32)::INT AS level, 16 + k % 2000 AS width, 8 + k % 1000 AS height, CASE WHEN NOT reduced AND k // 2 % 2 = 1 THEN k % 8 + 1 ELSE 0 END::INT AS order_bits, depth, mono,
+CASE WHEN srgb THEN '1,13,0' WHEN described THEN '9,16,9' ELSE '2,2,2' END AS codes, sub_x, sub_y, "full", CASE WHEN NOT mono AND sub_x AND sub_y THEN k % 3 % 2 + k // 9 % 2 END::INT AS position, k // 6 % 2 = 1 AS grain FROM x""")
+def sequence_headers(spark, sf_dir):
+    found = P.parsed(made(spark, sf_dir, "part", "p_partkey", header_bits), "content", P.sequence_header)
+    v = lambda n: F.col(f"value.{n}")
+    codes = F.concat_ws(",", *(v(n).cast("string") for n in ("primaries", "transfer", "matrix")))
+    return found.select(key(), *(v(n).alias(n) for n in ("profile", "reduced", "level", "width", "height", "order_bits", "depth", "mono", "sub_x", "sub_y", "full", "position", "grain")), codes.alias("codes"))
+
+
+@query(f"""WITH {HEADERS} SELECT k AS file_id, CASE WHEN k % 11 = 0 THEN 'bitstream' WHEN k % 13 = 0 AND described THEN 'bitstream' WHEN k % 17 = 0 THEN 'bitstream' WHEN k % 19 = 0 THEN 'bitstream' END AS fault FROM x""")
+def header_faults(spark, sf_dir):
+    """One part in 11 has another level, in 13 other primaries, in 17 the other range, in 19 another width than its header."""
+    found = P.parsed(made(spark, sf_dir, "part", "p_partkey", header_bits), "content", P.sequence_header)
+    v, k = (lambda n: F.col(f"value.{n}")), F.col("path").cast("long")
+    record = F.struct(v("profile").alias("profile"), (v("level") + (k % 11 == 0).cast("int")).alias("level"), *(v(n).alias(n) for n in ("depth", "mono", "sub_x", "sub_y", "position")))
+    primaries = F.when(k % 13 == 0, 5).otherwise(v("primaries"))
+    # primaries 1, not 2, where the range is to differ: a description that says nothing may have any range
+    nclx = F.array(F.when((k % 17 == 0) & ~v("described"), 1).otherwise(primaries).cast("long"), v("transfer").cast("long"), v("matrix").cast("long"), (v("full") != (k % 17 == 0)).cast("long"))
+    size = F.array(v("width") + (k % 19 == 0).cast("int"), v("height"))
+    return found.select(key(), P.header_faults(record, F.col("value"), nclx, size).alias("fault"))
+
+
+# --- playback: samples per user, a slot mask and a frame kind by event
+
+
+PLAY = """e AS (SELECT user_id, event_id, event_id % 4 = 3 AS shows, event_id % 8 AS idx, CASE WHEN event_id % 4 = 3 THEN 0 WHEN event_id % 16 = 0 THEN 255 ELSE (event_id * 37) % 256 END AS mask FROM events)"""
+
+
+@query(f"""WITH {PLAY}, w AS (SELECT user_id, event_id, shows, idx, {", ".join(f"last_value(CASE WHEN (mask >> {i}) & 1 = 1 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s{i}" for i in range(8))} FROM e),
+s AS (SELECT *, [s0, s1, s2, s3, s4, s5, s6, s7][idx + 1] AS slot FROM w) SELECT user_id, event_id, CASE WHEN shows THEN slot ELSE event_id END AS frame, CASE WHEN shows AND slot IS NULL THEN 'bitstream' END AS fault FROM s""")
+def playback(spark, sf_dir):
+    return played(S.slots(samples_of(spark.read.parquet(f"{sf_dir}/events.parquet")), "user_id", "event_id", "mask"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
+    """user_id, event_id, shows, idx (the slot that is shown) and mask (the slots that the sample's frame takes)."""
+    e = F.col("event_id")
+    shows = e % 4 == 3
+    return events.select("user_id", "event_id", shows.alias("shows"), (e % 8).cast("int").alias("idx"), F.when(shows, 0).when(e % 16 == 0, 255).otherwise(e * 37 % 256).cast("int").alias("mask"))
+
+
+def played(slotted: DataFrame) -> DataFrame:
+    slot = F.get("slots", F.col("idx"))
+    return slotted.select("user_id", "event_id", F.when(F.col("shows"), slot).otherwise(F.col("event_id")).alias("frame"), F.when(F.col("shows") & slot.isNull(), "bitstream").alias("fault"))
+
+
 # --- tracks: a file per customer
 
 

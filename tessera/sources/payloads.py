@@ -6,13 +6,14 @@ fault beside the values. Null payloads are short.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.bodies import Cursor, Fault
+from tessera.sources.bodies import Bits, Cursor, Fault
 
 #: Unit types of the stream.
 UNIT_TYPES = {1: "sequence_header", 2: "temporal_delimiter", 3: "frame_header", 4: "tile_group", 5: "metadata", 6: "frame", 7: "redundant_frame_header", 8: "tile_list", 15: "padding"}
@@ -190,3 +191,99 @@ def sample_kind(found: Column, payload: Column) -> dict[str, Column]:
     names = F.array(*map(F.lit, ("key", "inter", "intra_only", "switch")))
     kind = F.when(frame.isNotNull() & byte.isNull(), F.lit("short")).when(byte >= 128, F.lit("show_existing")).otherwise(F.get(names, F.shiftright(byte, 5).bitwiseAND(F.lit(3))))
     return {"kind": kind, "show_idx": F.when(byte >= 128, F.shiftright(byte, 4).bitwiseAND(F.lit(7))), "has_header": F.exists(found, lambda u: u["type"] == 1)}
+
+
+def sequence_header(data: bytes | None) -> dict:
+    """What the header of a coded sequence says of size, depth, layout, colour and tools."""
+    b = Bits(data or b"")
+    profile, still, reduced = b.read(3), b.flag(), b.flag()
+    if profile > 2:
+        raise Fault("bitstream", f"profile {profile}")
+    level, points = (b.read(5), 1) if reduced else _operating_points(b)
+    wide, high = b.read(4) + 1, b.read(4) + 1
+    out = {"profile": profile, "still": still, "reduced": reduced, "level": level, "points": points, "width": b.read(wide) + 1, "height": b.read(high) + 1}
+    if not reduced and b.flag() and b.read(4) + 2 + b.read(3) + 1 > 16:
+        raise Fault("bitstream", "frame ids of more than 16 bits")
+    out["large_blocks"], out["filter_intra"], out["intra_edge"] = b.flag(), b.flag(), b.flag()
+    out["order_bits"] = 0 if reduced else _inter_tools(b)
+    out["superres"], out["cdef"], out["restoration"] = b.flag(), b.flag(), b.flag()
+    return out | _colour(b, profile) | {"grain": b.flag()}
+
+
+def _operating_points(b: Bits) -> tuple[int, int]:
+    """Level of the first operating point, and how many there are."""
+    delay_bits = None
+    if b.flag():  # timing
+        b.read(64)
+        if b.flag():
+            b.uvlc()
+        if b.flag():  # decoder model
+            delay_bits = b.read(5) + 1
+            b.read(42)
+    display = b.flag()
+    points, levels = b.read(5) + 1, []
+    for _ in range(points):
+        b.read(12)
+        levels.append(b.read(5))
+        if levels[-1] > 7:
+            b.flag()
+        if delay_bits is not None and b.flag():
+            b.read(2 * delay_bits + 1)
+        if display and b.flag():
+            b.read(4)
+    return levels[0], points
+
+
+def _inter_tools(b: Bits) -> int:
+    """Bits of an order hint."""
+    b.read(4)
+    ordered = b.flag()
+    if ordered:
+        b.read(2)
+    screen = 2 if b.flag() else b.read(1)
+    if screen and not b.flag():
+        b.read(1)
+    return b.read(3) + 1 if ordered else 0
+
+
+def _colour(b: Bits, profile: int) -> dict:
+    high = b.flag()
+    depth = 12 if profile == 2 and high and b.flag() else 10 if high else 8
+    mono = profile != 1 and b.flag()
+    described = b.flag()
+    codes = [b.read(8) for _ in range(3)] if described else [2, 2, 2]
+    out = {"depth": depth, "mono": mono, "described": described, "primaries": codes[0], "transfer": codes[1], "matrix": codes[2], "position": None}
+    if mono:
+        return out | {"full": b.flag(), "sub_x": True, "sub_y": True}
+    if codes == [1, 13, 0]:
+        full, sub_x, sub_y = True, False, False
+    else:
+        full = b.flag()
+        sub_x = profile == 0 or (profile == 2 and (depth < 12 or b.flag()))
+        sub_y = profile == 0 or (profile == 2 and depth == 12 and sub_x and b.flag())
+        if sub_x and sub_y:
+            out["position"] = b.read(2)
+    b.flag()
+    return out | {"full": full, "sub_x": sub_x, "sub_y": sub_y}
+
+
+TYPES[sequence_header] = (
+    "struct<profile: int, still: boolean, reduced: boolean, level: int, points: int, width: bigint, height: bigint, large_blocks: boolean, filter_intra: boolean, intra_edge: boolean, order_bits: int, "
+    "superres: boolean, cdef: boolean, restoration: boolean, depth: int, mono: boolean, described: boolean, primaries: int, transfer: int, matrix: int, position: int, full: boolean, sub_x: boolean, sub_y: boolean, grain: boolean>"
+)
+
+
+def header_faults(record: Column, header: Column, nclx: Column, size: Column) -> Column:
+    """bitstream where a file's boxes contradict its sequence header: codec record, colour description (2 matches anything), size; else null.
+
+    record and header: structs of codec_record() and sequence_header(); nclx: array of primaries, transfer, matrix and range, or null;
+    size: array of width and height.
+    """
+    differs = lambda *names: functools.reduce(lambda a, b: a | b, (record[n] != header[n] for n in names))
+    layout = differs("profile", "level", "depth", "mono", "sub_x", "sub_y") | (header["position"].isNotNull() & (record["position"] != header["position"]))
+    code = lambda i, name: (F.get(nclx, F.lit(i)) != 2) & (F.get(nclx, F.lit(i)) != header[name])
+    colour = header["described"] & (code(0, "primaries") | code(1, "transfer") | code(2, "matrix"))
+    unspecified = (F.get(nclx, F.lit(0)) == 2) & (F.get(nclx, F.lit(1)) == 2) & (F.get(nclx, F.lit(2)) == 2)
+    ranged = ((F.get(nclx, F.lit(3)) == 1) != header["full"]) & ~unspecified
+    sized = (F.get(size, F.lit(0)) != header["width"]) | (F.get(size, F.lit(1)) != header["height"])
+    return F.when(layout | (nclx.isNotNull() & (colour | ranged)) | sized, "bitstream")

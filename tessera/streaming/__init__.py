@@ -1 +1 @@
-"""Part of the image-container analytics engine."""
+"""Stateful operators of Structured Streaming."""
