@@ -22,13 +22,13 @@ scored each; an empty corpus gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ OFFSETS = (-2, -1, 1, 2)
 PAD = max(OFFSETS)
 #: Tokens of one training step, at every size.
 STEP = 8192
+#: Tokens scored at once.
+CHUNK = 4096
 #: Bytes of texts whose tokens are shuffled together.
 ROOM = 1_000_000
 #: The largest exponent of a softmax.
@@ -130,12 +132,13 @@ class Vocabulary(dict):
     def __init__(self, words: list[bytes], shape: Shape, spelling: Spelling | None = None):
         super().__init__(zip(words, range(len(words)), strict=True))
         self.words, self.shape, self.spelling = words, shape, spelling
+        self.base = shape.tokens + 1
         self.counts: dict[bytes, int] = {}
         self.new: list[bytes] = []
         self.buckets = self.shares = np.empty(0)
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.shape.tokens + 1 + len(self.new)
+        number = self[word] = self.base + len(self.new)
         self.new.append(word)
         return number
 
@@ -165,15 +168,25 @@ class Vocabulary(dict):
         return Vocabulary, (self.words, self.shape, self.spelling)
 
 
+def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' words, one after the other, as an index into the different ones, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.large_string()))
+    words, edges = lists.flatten(), lists.offsets.to_numpy()
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # what leading and trailing separators leave
+        edges = np.concatenate(([0], np.cumsum(~empty)))[edges]
+        words = words.filter(pa.array(~empty))
+    return words.cast(pa.large_binary()).dictionary_encode(), np.diff(edges).astype(np.int64)
+
+
 def tokens_of(texts: list[bytes], vocabulary: Vocabulary, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' numbers with PAD pads around each, and the texts' lengths."""
-    sizes, flat, pads = np.empty(len(texts), np.int64), array("q", [pad] * PAD), [pad] * PAD
-    for i, t in enumerate(texts):
-        words = t.split()
-        sizes[i] = len(words)
-        flat.extend(map(vocabulary.__getitem__, words))
-        flat.extend(pads)
-    return np.frombuffer(flat, np.int64).copy(), sizes
+    words, sizes = words_of(texts)
+    different = words.dictionary.to_pylist()
+    numbers = np.fromiter(map(vocabulary.__getitem__, different), np.int64, len(different))
+    flat = np.full(sizes.sum() + PAD * (len(texts) + 1), pad, np.int64)
+    flat[positions_of(sizes)] = numbers[words.indices.to_numpy()]
+    return flat, sizes
 
 
 def positions_of(sizes: np.ndarray) -> np.ndarray:
@@ -300,6 +313,19 @@ class Network:
             self._step("embed", np.add.reduceat(back[by], first, axis=0), rate, ordered[first])
 
 
+def batches_of(texts: list[bytes], most: int = ROOM) -> Iterator[list[bytes]]:
+    """Texts by so many bytes together."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word (binary), n over all documents. Partitions send a row per distinct word, about."""
 
@@ -307,9 +333,11 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         seen: Counter = Counter()
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
-            for text in text_bytes(batch):
-                seen.update(text.split())
-                if len(seen) > 100_000:
+            for texts in batches_of(text_bytes(batch)):
+                words, _ = words_of(texts)
+                for w, n in zip(words.dictionary.to_pylist(), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).tolist(), strict=True):
+                    seen[w] += n
+                if len(seen) > 200_000:
                     yield pack()
                     seen.clear()
         yield pack()
@@ -480,22 +508,17 @@ def score(docs: DataFrame, model: Model, words: DataFrame | None = None, ids: tu
 
 def scored(texts: list[bytes], words: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and summed log-probability of each text; words.counts holds how often each word in a bucket occurs in the corpus."""
-    sizes, sums, part, room = [np.empty(0, np.int64)], [np.empty(0)], [], 0
-    for k, t in enumerate(texts):
-        part.append(t)
-        room += len(t)
-        if room < ROOM and k + 1 < len(texts):
-            continue
+    sizes, sums = [np.empty(0, np.int64)], [np.empty(0)]
+    for part in batches_of(texts):
         numbers, n = tokens_of(part, words, net.shape.tokens)
         flat, rare = words.settled(numbers)
         at = positions_of(n)
         logs = np.zeros(len(flat))
-        for a in range(0, len(at), 8192):
-            logs[at[a : a + 8192]] = net.log_probabilities(flat, at[a : a + 8192])
+        for a in range(0, len(at), CHUNK):
+            logs[at[a : a + CHUNK]] = net.log_probabilities(flat, at[a : a + CHUNK])
         logs[rare] += words.inside(numbers[rare])
         sums.append(np.bincount(np.repeat(np.arange(len(n)), n), logs[at], len(n)))
         sizes.append(n)
-        part, room = [], 0
     return np.concatenate(sizes), np.concatenate(sums)
 
 
