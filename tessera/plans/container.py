@@ -414,6 +414,41 @@ def header_faults(spark, sf_dir):
     return found.select(key(), P.header_faults(record, F.col("value"), nclx, size).alias("fault"))
 
 
+TILES = """p AS (SELECT p_partkey AS k, 100 + p_partkey * 37 % 8000 AS w, 80 + p_partkey * 53 % 5000 AS h, CASE WHEN p_partkey % 2 = 1 THEN 5 ELSE 4 END AS s FROM part), m AS (SELECT *, 2 * ((w + 7) // 8) AS mw, 2 * ((h + 7) // 8) AS mh FROM p),
+b AS (SELECT *, (mw + (1 << s) - 1) >> s AS sw, (mh + (1 << s) - 1) >> s AS sh, 4096 >> (s + 2) AS widest, 9437184 >> (2 * (s + 2)) AS area FROM m),
+n AS (SELECT *, (SELECT min(range) FROM range(20) WHERE widest << range >= sw) AS lc, (SELECT min(range) FROM range(20) WHERE area << range >= sw * sh) AS la, (SELECT min(range) FROM range(20) WHERE greatest(area // sw, 1) << range >= sh) AS lr, (SELECT min(range) FROM range(20) WHERE 1 << range >= sw) AS hc, (SELECT min(range) FROM range(20) WHERE 1 << range >= sh) AS hr FROM b),
+c AS (SELECT *, least(lc + k % 3, greatest(hc, lc)) AS cl FROM n), r AS (SELECT *, least(greatest(lr, greatest(lc, la) - cl) + k // 3 % 2, greatest(hr, greatest(lr, greatest(lc, la) - cl))) AS rl FROM c),
+t AS (SELECT *, (sw + (1 << cl) - 1) >> cl AS tw, (sh + (1 << rl) - 1) >> rl AS th FROM r), g AS (SELECT *, (sw + tw - 1) // tw AS nc, (sh + th - 1) // th AS nr FROM t)"""
+
+
+@query(f"""WITH {TILES} SELECT k AS frame_id, r.range * nc + c.range AS tile, c.range * tw AS sb_col_start, least((c.range + 1) * tw, sw) AS sb_col_end, r.range * th AS sb_row_start, least((r.range + 1) * th, sh) AS sb_row_end, c.range * tw * (4 << s) AS x, r.range * th * (4 << s) AS y,
+least((c.range + 1) * tw * (4 << s), w) - c.range * tw * (4 << s) AS tile_width, least((r.range + 1) * th * (4 << s), h) - r.range * th * (4 << s) AS tile_height FROM g, range(64) c, range(64) r WHERE c.range < nc AND r.range < nr""")
+def tile_plans(spark, sf_dir):
+    """Uniform tiles of a frame per part, from bits that ask for up to two more columns and one more row of tiles than the least."""
+    def layouts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in batch.column(0).to_pylist():
+                width, height, large = 100 + k * 37 % 8000, 80 + k * 53 % 5000, k % 2 == 1
+                columns = [-(-(2 * -(-n // 8)) // (32 if large else 16)) for n in (width, height)]
+                low = P._log2(P.TILE_WIDTH >> (7 if large else 6), columns[0])
+                more = min(k % 3, max(P._log2(1, columns[0]) - low, 0))
+                bits = "1" + "1" * more + ("0" if low + more < P._log2(1, columns[0]) else "") + "1" * (k // 3 % 2) + "0" * 40
+                found = P.tile_layout(B.Bits(int(bits.ljust(64, "0"), 2).to_bytes(8, "big")), width, height, large)
+                out.append({"frame_id": k, "width": width, "height": height, "shift": 5 if large else 4, "columns": found["columns"], "rows": found["rows"]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("frame_id", pa.int64()), ("width", pa.int64()), ("height", pa.int64()), ("shift", pa.int32()), ("columns", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))]))
+
+    layout = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long")).mapInArrow(layouts, "frame_id long, width long, height long, shift int, columns array<bigint>, rows array<bigint>")
+    return P.tile_rectangles(layout).drop("width", "height", "shift")
+
+
+@query("""WITH s AS (SELECT event_id AS k, event_id % 3 AS form, event_id % 2 = 1 AS has_header, CASE WHEN event_id % 2 = 1 THEN 2 + 3 + event_id % 4 ELSE 0 END AS prefix, 1 + event_id % 300 AS body, event_id % 50 AS tiles FROM events WHERE event_id % 3 = 0 OR event_id % 17 > 0)
+SELECT k AS sample_id, 0::INT AS unit, has_header, prefix + 1 + CASE WHEN body > 127 THEN 2 ELSE 1 END + body + CASE WHEN form = 0 THEN 2 + tiles ELSE 0 END AS bytes FROM s""")
+def frame_units(spark, sf_dir):
+    found = P.parsed(made(spark, sf_dir, "events", "event_id", sample), "content", P.frame_units).where("fault is null")
+    return found.select(F.col("path").cast("long").alias("sample_id"), F.posexplode("value").alias("unit", "u")).select("sample_id", "unit", "u.has_header", F.length("u.payload").cast("long").alias("bytes"))
+
+
 # --- playback: samples per user, a slot mask and a frame kind by event
 
 

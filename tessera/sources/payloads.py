@@ -287,3 +287,121 @@ def header_faults(record: Column, header: Column, nclx: Column, size: Column) ->
     ranged = ((F.get(nclx, F.lit(3)) == 1) != header["full"]) & ~unspecified
     sized = (F.get(size, F.lit(0)) != header["width"]) | (F.get(size, F.lit(1)) != header["height"])
     return F.when(layout | (nclx.isNotNull() & (colour | ranged)) | sized, "bitstream")
+
+
+# --- frames of a sample, tiles of a frame
+
+
+def encoded_unit(kind: int, payload: bytes) -> bytes:
+    """A unit with its size and without an extension."""
+    size, n = bytearray(), len(payload)
+    while n > 127:
+        size.append(n & 127 | 128)
+        n >>= 7
+    return bytes([kind << 3 | 2, *size, n]) + payload
+
+
+def frame_units(data: bytes | None) -> list[dict]:
+    """The frames of a sample as streams of their own: a frame, or a frame header with the tile groups after it up to the next frame or
+    delimiter; the sample's first sequence header stands before each."""
+    found = units(data)
+    body = lambda u: data[u["offset"] : u["offset"] + u["size"]]
+    prefix = next((encoded_unit(1, body(u)) for u in found if u["type"] == 1), b"")
+    out, headed = [], False
+    for u in found:
+        if u["type"] in (3, 6):
+            out.append(prefix + encoded_unit(u["type"], body(u)))
+            headed = u["type"] == 3
+        elif u["type"] == 4 and headed:
+            out[-1] += encoded_unit(4, body(u))
+        elif u["type"] == 2:
+            headed = False
+    return [{"payload": p, "has_header": bool(prefix)} for p in out]
+
+
+TYPES[frame_units] = "array<struct<payload: binary, has_header: boolean>>"
+
+#: The widest tile in samples, and the largest in area.
+TILE_WIDTH, TILE_AREA = 4096, 4096 * 2304
+
+
+def _log2(unit: int, whole: int) -> int:
+    """The least n with unit * 2^n >= whole."""
+    return max(0, (-(-whole // unit) - 1).bit_length())
+
+
+def tile_layout(b: Bits, width: int, height: int, large_blocks: bool, reduced: bool = False) -> dict:
+    """Starts of tile columns and rows in units of 4 samples, the end last, and the bytes of a tile's size."""
+    shift = 5 if large_blocks else 4
+    mi = [2 * -(-n // 8) for n in (width, height)]
+    sb = [-(-n // (1 << shift)) for n in mi]
+    widest, area = TILE_WIDTH >> (shift + 2), TILE_AREA >> 2 * (shift + 2)
+    least = _log2(widest, sb[0])
+    least_all = max(least, _log2(area, sb[0] * sb[1]))
+    starts: list[list[int]] = []
+    logs: list[int] = []
+    if b.flag():  # uniform
+        for axis in (0, 1):
+            low = least if axis == 0 else max(_log2(max(area // max(sb[0], 1), 1), sb[1]), least_all - logs[0])
+            most = _log2(1, sb[axis])
+            while low < most and b.flag():
+                low += 1
+            step = -(-sb[axis] // (1 << low))
+            starts.append([at << shift for at in range(0, sb[axis], step)] + [mi[axis]])
+            logs.append(low)
+    else:
+        largest = 0
+        for axis in (0, 1):
+            limit, at, own = (widest if axis == 0 else max(area // max(largest, 1), 1)), 0, []
+            while at < sb[axis]:
+                own.append(at << shift)
+                size = b.below(min(limit, sb[axis] - at)) + 1
+                largest = max(largest, size) if axis == 0 else largest
+                at += size
+            starts.append([*own, mi[axis]])
+            logs.append(_log2(1, len(own)))
+    columns, rows = (len(s) - 1 for s in starts)
+    context = b.read(sum(logs)) if columns * rows > 1 else 0
+    dependent = not reduced and logs[1] > 0 and b.flag()
+    across = b.flag() if not reduced and sum(logs) > 0 else columns * rows > 1
+    return {"columns": starts[0], "rows": starts[1], "logs": sum(logs), "context": context, "dependent": dependent, "across": across, "size_bytes": b.read(2) + 1 if columns * rows > 1 else 0}
+
+
+def tile_group(data: bytes, b: Bits, tiles: int, logs: int, size_bytes: int) -> list[dict]:
+    """tile, offset and size of each payload in a tile group; b stands where the group begins."""
+    first, last = 0, tiles - 1
+    if tiles > 1 and b.flag():
+        first, last = b.read(logs), b.read(logs)
+    if first > last or last >= tiles:
+        raise Fault("bitstream", f"tiles {first} to {last} of {tiles}")
+    b.align()
+    at, out = b.at // 8, []
+    for tile in range(first, last + 1):
+        size = len(data) - at
+        if tile < last:
+            if at + size_bytes > len(data):
+                raise Fault("short", "tile size")
+            size = int.from_bytes(data[at : at + size_bytes], "little") + 1
+            at += size_bytes
+        if at + size > len(data):
+            raise Fault("short", "tile payload")
+        out.append({"tile": tile, "offset": at, "size": size})
+        at += size
+    return out
+
+
+def tile_rectangles(layout: DataFrame) -> DataFrame:
+    """layout (columns width, height, shift of a block, columns and rows as tile_layout() gives them) with a row per tile: tile, its place, its blocks
+    and its samples. No shuffle."""
+    spans = lambda c, size: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.struct(i.cast("long").alias("at"), a.alias("start"), F.get(c, i + 1).alias("stop"), F.col(size).alias("size")))
+    keys = [c for c in layout.columns if c not in ("columns", "rows")]
+    n = (F.size("columns") - 1).alias("n")
+    rows = layout.select(*keys, "columns", n, F.explode(spans("rows", "height")).alias("r"))
+    each = rows.select(*keys, "n", "r", F.explode(spans("columns", "width")).alias("c"))
+    block = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("shift"))
+    whole = lambda x: F.call_function("div", x, block)
+    pixel = lambda s, k: F.least(F.col(f"{s}.{k}") * 4, F.col(f"{s}.size"))
+    return each.select(
+        *keys, (F.col("r.at") * F.col("n") + F.col("c.at")).alias("tile"), whole(F.col("c.start")).alias("sb_col_start"), whole(F.col("c.stop") + block - 1).alias("sb_col_end"), whole(F.col("r.start")).alias("sb_row_start"), whole(F.col("r.stop") + block - 1).alias("sb_row_end"),
+        pixel("c", "start").alias("x"), pixel("r", "start").alias("y"), (pixel("c", "stop") - pixel("c", "start")).alias("tile_width"), (pixel("r", "stop") - pixel("r", "start")).alias("tile_height"),
+    )

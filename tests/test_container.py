@@ -126,3 +126,26 @@ def test_roles_counts_and_descriptions(spark):
     samples = spark.createDataFrame([("a", 0, n, d) for n, d in enumerate((2, 3, 3, 4))], "path string, track_no int, sample_no long, description long")
     headers = spark.createDataFrame([("a", 0, 1, True), ("a", 0, 2, False)], "path string, track_no int, sample_no long, has_header boolean")
     assert [r.sample_no for r in items.description_faults(samples, described, headers).collect()] == [2]
+
+
+def test_frames_of_a_sample():
+    unit = payloads.encoded_unit
+    data = unit(2, b"") + unit(1, b"sh") + unit(3, b"a") + unit(4, b"t1") + unit(4, b"t2") + unit(2, b"") + unit(4, b"lost") + unit(6, b"f") + unit(4, b"lost") + unit(3, b"b") + unit(6, b"g" * 200)
+    prefix = unit(1, b"sh")
+    assert [u["payload"] for u in payloads.frame_units(data)] == [prefix + unit(3, b"a") + unit(4, b"t1") + unit(4, b"t2"), prefix + unit(6, b"f"), prefix + unit(3, b"b"), prefix + unit(6, b"g" * 200)]
+    assert payloads.frame_units(unit(6, b"x")) == [{"payload": unit(6, b"x"), "has_header": False}] and payloads.frame_units(None) == []
+
+
+def test_tiles_of_unequal_sizes_and_their_payloads():
+    # 20 blocks of 64 across, 3 down: columns of 4, 15 and 1 blocks, rows of 1 and 2
+    text = "0" + "0011" + "1110" + "0" + "1"  # widths 4 and 15 (the last is 1 without a bit), heights 1 and 2
+    layout = payloads.tile_layout(Bits(int((text + "0" * 64)[:64], 2).to_bytes(8, "big")), 1280, 190, False)
+    assert layout["columns"] == [0, 64, 304, 320] and layout["rows"] == [0, 16, 48]
+    group = bytes([0b10111000]) + bytes([2, 0]) + b"abc" + b"rest"  # tiles 1 to 2 of 4, sizes of two bytes
+    assert payloads.tile_group(bytes([0b10110000]) + group[1:], Bits(bytes([0b10110000]) + group[1:]), 4, 2, 2) == [{"tile": 1, "offset": 3, "size": 3}, {"tile": 2, "offset": 6, "size": 4}]
+    one = payloads.tile_group(b"whole", Bits(b"whole"), 1, 0, 0)
+    assert one == [{"tile": 0, "offset": 0, "size": 5}]
+    with pytest.raises(Fault):
+        payloads.tile_group(bytes([0b11010000]), Bits(bytes([0b11010000])), 4, 2, 1)  # from 2 to 1
+    with pytest.raises(Fault):
+        payloads.tile_group(bytes([0, 9, 9]), Bits(bytes([0, 9, 9])), 2, 1, 1)  # a size outside
