@@ -146,6 +146,6 @@ def test_tiles_of_unequal_sizes_and_their_payloads():
     one = payloads.tile_group(b"whole", Bits(b"whole"), 1, 0, 0)
     assert one == [{"tile": 0, "offset": 0, "size": 5}]
     with pytest.raises(Fault):
-        payloads.tile_group(bytes([0b11010000]), Bits(bytes([0b11010000])), 4, 2, 1)  # from 2 to 1
+        payloads.tile_group(bytes([0b11001000]), Bits(bytes([0b11001000])), 4, 2, 1)  # from 2 to 1
     with pytest.raises(Fault):
         payloads.tile_group(bytes([0, 9, 9]), Bits(bytes([0, 9, 9])), 2, 1, 1)  # a size outside
