@@ -256,3 +256,29 @@ def gain_applied(base16: Column, map16: Column, channels: list[dict[str, float]]
     else:
         toned = let(linear, gained)
     return F.transform(toned, lambda v: to_16(srgb_encoded(F.greatest(v, F.lit(0.0)))))
+
+
+def scaled_16(v: Column, depth: int) -> Column:
+    """A sample as 16 bits, as it is: 8-bit samples are replicated, others scaled and rounded."""
+    top = (1 << depth) - 1
+    return v * 257 if depth == 8 else F.call_function("div", v * 65535 + top // 2, F.lit(top).cast("long"))
+
+
+def alpha_8(v: Column, depth: int) -> Column:
+    """An alpha sample as 8 bits."""
+    top = (1 << depth) - 1
+    return F.call_function("div", v * 255 + top // 2, F.lit(top).cast("long"))
+
+
+def rgba_16(luma: Column, u: Column, v: Column, alpha: Column, depth: int, matrix: int | None, full: bool, transfer: int | None = None, primaries: int = 1) -> Column:
+    """array(r, g, b, a) of 16-bit values: monochrome (u is null) and identity (matrix 0 or 3, planes G, B, R) samples as they are, others by
+    their matrix, then the transfer; alpha is opaque where it is null."""
+    code = matrix_code(matrix, full)
+    grey = F.array(*[scaled_16(luma, depth)] * 3)
+    coloured = F.array(*(scaled_16(c, depth) for c in (v, luma, u))) if code in (0, 3) else decoded(luma, u, v, code, depth, full, primaries)
+    shown = displayed(F.when(u.isNull(), grey).otherwise(coloured), transfer, primaries)
+    return F.concat(shown, F.array(F.coalesce(scaled_16(alpha, depth), F.lit(65535).cast("long"))))
+
+
+def rgba_8(rgba16: Column) -> Column:
+    return F.transform(rgba16, lambda c: F.call_function("div", c * 255 + 32767, F.lit(65535).cast("long")))

@@ -325,22 +325,22 @@ SAMPLES = """e AS (SELECT event_id AS k, event_id % 3 <> 0 AND event_id % 17 = 0
 
 
 @query(f"""WITH {SAMPLES} SELECT k AS sample_id, CASE WHEN bad THEN 'bitstream' END AS fault, CASE WHEN NOT bad THEN 2 + k % 2 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END END AS units, CASE WHEN NOT bad THEN CASE WHEN k % 5 = 0 THEN 'show_existing' ELSE (['key','inter','intra_only','switch'])[k % 4 + 1] END END AS kind,
-CASE WHEN NOT bad AND k % 5 = 0 THEN (k % 8)::INT END AS show_idx, CASE WHEN NOT bad THEN k % 2 = 1 END AS has_header, CASE WHEN NOT bad AND k % 2 = 1 THEN 3 + k % 4 END AS header_bytes, CASE WHEN NOT bad AND k % 3 = 0 THEN k % 50 END AS tile_bytes FROM e""")
+CASE WHEN NOT bad AND k % 5 = 0 THEN (k % 8)::INT END AS show_idx, CASE WHEN NOT bad THEN (k % 2)::INT END AS has_header, CASE WHEN NOT bad AND k % 2 = 1 THEN 3 + k % 4 END AS header_bytes, CASE WHEN NOT bad AND k % 3 = 0 THEN k % 50 END AS tile_bytes FROM e""")
 def sample_units(spark, sf_dir):
     found = P.parsed(made(spark, sf_dir, "events", "event_id", sample), "content", P.units)
     units, payload = F.col("value"), F.col("content")
     size = lambda kind: F.length(P.first_unit(units, payload, kind)).cast("long")
     n = F.when(F.col("fault").isNull(), F.size(units).cast("long"))
-    return found.select(F.col("path").cast("long").alias("sample_id"), "fault", n.alias("units"), *(c.alias(k) for k, c in P.sample_kind(units, payload).items()), size(1).alias("header_bytes"), size(4).alias("tile_bytes"))
+    return found.select(F.col("path").cast("long").alias("sample_id"), "fault", n.alias("units"), *((c.cast("int") if k == "has_header" else c).alias(k) for k, c in P.sample_kind(units, payload).items()), size(1).alias("header_bytes"), size(4).alias("tile_bytes"))
 
 
 @query("""SELECT p_partkey AS file_id, CASE WHEN p_partkey % 6 = 0 THEN 'bitstream' WHEN p_partkey % 7 = 0 THEN 'unsupported' END AS fault, CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 THEN (p_partkey % 3)::INT END AS profile,
-CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 THEN CASE WHEN p_partkey // 3 % 2 = 0 THEN 8 ELSE 10 END END AS depth, CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 THEN (p_partkey % 3 = 2 AND p_partkey // 3 % 2 = 0) OR p_partkey // 6 % 2 = 1 END AS sub_x,
-CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 THEN NOT (p_partkey % 3 = 2 AND p_partkey // 3 % 2 = 0) AND p_partkey // 12 % 2 = 1 END AS sub_y, CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 AND p_partkey % 5 = 0 THEN (p_partkey % 16)::INT END AS delay FROM part""")
+CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 THEN CASE WHEN p_partkey // 3 % 2 = 0 THEN 8 ELSE 10 END END AS depth, CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 THEN ((p_partkey % 3 = 2 AND p_partkey // 3 % 2 = 0) OR p_partkey // 6 % 2 = 1)::INT END AS sub_x,
+CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 THEN (NOT (p_partkey % 3 = 2 AND p_partkey // 3 % 2 = 0) AND p_partkey // 12 % 2 = 1)::INT END AS sub_y, CASE WHEN p_partkey % 6 > 0 AND p_partkey % 7 > 0 AND p_partkey % 5 = 0 THEN (p_partkey % 16)::INT END AS delay FROM part""")
 def codec_records(spark, sf_dir):
     make = lambda k: bytes([0x81 if k % 7 else 0x82, k % 3 << 5 | k % 32, (k // 3 % 2) << 6 | (k // 6 % 2) << 3 | (k // 12 % 2) << 2, (0x20 if k % 6 == 0 else 0) | (0x10 | k % 16 if k % 5 == 0 else 0)]) if k % 6 or k % 7 else bytes([1, 0, 0, 0])
     found = P.parsed(made(spark, sf_dir, "part", "p_partkey", make), "content", P.codec_record)
-    return found.select(key(), "fault", "value.profile", "value.depth", "value.sub_x", "value.sub_y", "value.delay")
+    return found.select(key(), "fault", "value.profile", "value.depth", F.col("value.sub_x").cast("int").alias("sub_x"), F.col("value.sub_y").cast("int").alias("sub_y"), "value.delay")
 
 
 # --- sequence headers: bits per part

@@ -232,3 +232,29 @@ def gain_map_resampled(spark, sf_dir):
     sizes = frames(spark, sf_dir).select("frame_id", (3 + F.col("frame_id") % 8).alias("new_width"), (2 + F.col("frame_id") % 7).alias("new_height"))
     out = P.resampled(planes(spark, sf_dir).where("plane = 0"), sizes)
     return out.select("frame_id", "y", F.posexplode("samples").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+
+
+def _rgb_sql(name: str) -> str:
+    y, cb, cr = "(l / top::DOUBLE)", "((u - (top + 1) // 2) / top::DOUBLE)", "((w - (top + 1) // 2) / top::DOUBLE)"
+    red, blue = f"({y} + 2 * (1 - 0.299::DOUBLE) * {cr})", f"({y} + 2 * (1 - 0.114::DOUBLE) * {cb})"
+    green = f"(({y} - 0.299::DOUBLE * {red} - 0.114::DOUBLE * {blue}) / (1 - 0.299::DOUBLE - 0.114::DOUBLE))"
+    own = {"r": ("w", red), "g": ("l", green), "b": ("u", blue)}[name]
+    as_is = lambda c: f"CASE WHEN d = 8 THEN {c} * 257 ELSE ({c} * 65535 + top // 2) // top END"
+    return f"CASE WHEN u IS NULL THEN {as_is('l')} WHEN k % 4 = 1 THEN {as_is(own[0])} ELSE CAST(round(least(greatest({own[1]}, 0), 1) * 65535) AS BIGINT) END"
+
+
+@query(f"""WITH {F_SQL}, o AS (SELECT k, d, CAST(2 ** d AS BIGINT) - 1 AS top, x, y, v, sx, sy, (h + sy) // (1 + sy) AS ch FROM s WHERE p = 0),
+j AS (SELECT o.k, o.d, o.top, o.x, o.y, o.v AS l, CASE WHEN o.sy = 1 AND o.y % 2 = 1 THEN (a.v + b.v + 1) // 2 ELSE a.v END AS u, CASE WHEN o.sy = 1 AND o.y % 2 = 1 THEN (c.v + e.v + 1) // 2 ELSE c.v END AS w, q.v AS a FROM o
+LEFT JOIN s a ON a.k = o.k AND a.p = 1 AND a.x = o.x // (1 + o.sx) AND a.y = o.y // (1 + o.sy) LEFT JOIN s b ON b.k = o.k AND b.p = 1 AND b.x = a.x AND b.y = least(a.y + 1, o.ch - 1)
+LEFT JOIN s c ON c.k = o.k AND c.p = 2 AND c.x = o.x // (1 + o.sx) AND c.y = o.y // (1 + o.sy) LEFT JOIN s e ON e.k = o.k AND e.p = 2 AND e.x = c.x AND e.y = least(c.y + 1, o.ch - 1) LEFT JOIN s q ON q.k = o.k AND q.p = 3 AND q.x = o.x AND q.y = o.y),
+r AS (SELECT k, y, x, d, a, top, {_rgb_sql("r")} AS r, {_rgb_sql("g")} AS g, {_rgb_sql("b")} AS b FROM j)
+SELECT k AS frame_id, y, x, r, g, b, (r * 255 + 32767) // 65535 AS r8, CASE WHEN a IS NULL THEN 65535 WHEN d = 8 THEN a * 257 ELSE (a * 65535 + top // 2) // top END AS a, CASE WHEN a IS NULL THEN 255 ELSE (a * 255 + top // 2) // top END AS a8 FROM r""")
+def frames_rgba(spark, sf_dir):
+    """Full-range frames without a colour description; those with full chroma are identity ones."""
+    depth, columns = F.col("depth"), [F.col(c) for c in ("luma", "u", "v", "alpha")]
+    per = lambda f: F.when(depth == 8, f(8)).when(depth == 10, f(10)).otherwise(f(12))
+    identity = F.col("frame_id") % 4 == 1
+    pixels = P.pixels_of(P.luma_lines(planes(spark, sf_dir)))
+    rgba = F.when(identity, per(lambda d: C.rgba_16(*columns, d, 0, True))).otherwise(per(lambda d: C.rgba_16(*columns, d, None, True)))
+    out = pixels.select("frame_id", "y", "x", rgba.alias("c"), F.coalesce(per(lambda d: C.alpha_8(F.col("alpha"), d)), F.lit(255).cast("long")).alias("a8"))
+    return out.select("frame_id", "y", "x", *(F.get("c", F.lit(i)).alias(n) for i, n in enumerate("rgba")), F.get(C.rgba_8(F.col("c")), F.lit(0)).alias("r8"), "a8")
