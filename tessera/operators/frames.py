@@ -154,6 +154,11 @@ def append_alpha(rows: DataFrame, alpha: DataFrame) -> DataFrame:
     return rows.unionByName(ready.withColumn("plane", F.lit(3)).select(*rows.columns))
 
 
+def append_alpha_grid(rows: DataFrame, lines: DataFrame, cells: DataFrame, grids: DataFrame) -> DataFrame:
+    """rows with each frame's alpha put together from a grid of monochrome cells; grid_id is the owner's frame_id (see mosaic())."""
+    return append_alpha(rows, mosaic(lines.where("plane = 0"), cells, grids))
+
+
 def alpha_faults(frames: DataFrame, alphas: DataFrame) -> DataFrame:
     """frame_id, fault of alpha images that don't fit: another size (bitstream), more planes than one (unsupported), a frame with alpha of its own
     (bitstream). frames: frame_id, width, height, planes (their numbers); alphas likewise, frame_id the owner's."""

@@ -91,6 +91,26 @@ def first_faults(violations: DataFrame) -> DataFrame:
     return violations.groupBy("path").agg(F.min(F.struct("rule", "subject")).alias("v")).select("path", "v.*")
 
 
+def container_info(tables: DataFrame) -> DataFrame:
+    """path, major, primary_item, item (the effective primary), n_items, width, height, depth (of the first channel) and fault of every file, all rules in one call.
+
+    fault: the file's own, else that of its first broken rule: unsupported for an essential property or a layer that isn't handled and for a
+    gain map without a base, bitstream for the others. Files with a fault have no size.
+    """
+    items, locations, refs, assoc, props = (tables.select("path", F.inline(t)) for t in ("items", "locations", "refs", "assoc", "props"))
+    whole = tables.where("fault is null")
+    primary = effective_primary(whole, items, refs)
+    broken = first_faults(item_violations(whole, items, locations, refs, assoc, props)).select("path", "rule")
+    own = primary.join(properties_of(assoc, props), ["path", "item"]).join(props.select("path", "place", "numbers"), ["path", "place"])
+    number = lambda kind, i: F.max(F.when(F.col("kind") == kind, F.get("numbers", F.lit(i))))
+    size = own.groupBy("path").agg(number("ispe", 0).alias("width"), number("ispe", 1).alias("height"), number("pixi", 0).alias("depth"))
+    rows = tables.select("path", F.col("fault").alias("own_fault"), "major", F.size("items").alias("n_items"), "primary_item")
+    joined = rows.join(primary.select("path", "item"), "path", "left").join(broken, "path", "left").join(size, "path", "left")
+    late = F.when(F.col("rule").isin(5, 6) | ((F.col("rule") == 0) & F.col("primary_item").isNotNull()), "unsupported").when(F.col("rule").isNotNull(), "bitstream")
+    fault = F.coalesce("own_fault", late)
+    return joined.select("path", "major", "primary_item", "item", "n_items", *(F.when(fault.isNull(), F.col(c)).alias(c) for c in ("width", "height", "depth")), fault.alias("fault"))
+
+
 def payloads(files: DataFrame, parsed: DataFrame, deepest: int = 16) -> DataFrame:
     """path, item, payload, fault: every located item's bytes, its extents one after the other.
 

@@ -200,6 +200,13 @@ def effective_primary(spark, sf_dir):
     return I.effective_primary(files, B.table(files, "items"), B.table(files, "refs")).select(key(), "primary_item", "item")
 
 
+@query("""SELECT p_partkey AS file_id, 'avif' AS major, 1::BIGINT AS primary_item, CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 12 THEN 2 ELSE 1 END::BIGINT AS item, CASE WHEN p_partkey % 13 = 1 THEN 1 ELSE 2 END AS n_items, CASE WHEN p_partkey % 13 > 10 THEN 4 END::BIGINT AS width, CASE WHEN p_partkey % 13 > 10 THEN 4 END::BIGINT AS height,
+CASE WHEN p_partkey % 13 > 10 THEN 8 END::BIGINT AS depth, CASE WHEN p_partkey % 13 IN (0, 5, 6) THEN 'unsupported' WHEN p_partkey % 13 < 11 THEN 'bitstream' END AS fault FROM part""")
+def container_info(spark, sf_dir):
+    found = I.container_info(B.file_tables(made(spark, sf_dir, "part", "p_partkey", broken)))
+    return found.select(key(), "major", "primary_item", "item", "n_items", "width", "height", "depth", "fault")
+
+
 DAMAGE = ("none", "bitstream", "short", "unsupported", "unsupported", "short", "bitstream", "bitstream", "unsupported", "short")
 
 

@@ -3,10 +3,13 @@ layout; the SQL works on single samples."""
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import colour as C
+from tessera.functions import icc
 from tessera.operators import frames as P
 from tessera.plans.queries import query
 
@@ -258,3 +261,24 @@ def frames_rgba(spark, sf_dir):
     rgba = F.when(identity, per(lambda d: C.rgba_16(*columns, d, 0, True))).otherwise(per(lambda d: C.rgba_16(*columns, d, None, True)))
     out = pixels.select("frame_id", "y", "x", rgba.alias("c"), F.coalesce(per(lambda d: C.alpha_8(F.col("alpha"), d)), F.lit(255).cast("long")).alias("a8"))
     return out.select("frame_id", "y", "x", *(F.get("c", F.lit(i)).alias(n) for i, n in enumerate("rgba")), F.get(C.rgba_8(F.col("c")), F.lit(0)).alias("r8"), "a8")
+
+
+#: Columns of a matrix profile, in 65536ths, and a gamma of 563 / 256.
+ICC_XYZ = {b"rXYZ": (28580, 14582, 911), b"gXYZ": (25238, 46983, 6363), b"bXYZ": (9378, 3972, 46799)}
+
+
+def _icc_sql(row: int) -> str:
+    linear = [f"({' + '.join(f'({ICC_XYZ[n][k]} / 65536::DOUBLE) * l{i}' for i, n in enumerate(ICC_XYZ))})" for k in range(3)]
+    return "(" + " + ".join(f"({m}::DOUBLE) * {x}" for m, x in zip(icc.D50_TO_SRGB[row], linear, strict=True)) + ")"
+
+
+@query(f"""WITH v AS (SELECT event_id, {", ".join(f"pow((event_id * {m} % 65536) / 65535::DOUBLE, 563 / 256::DOUBLE) AS l{i}" for i, m in enumerate((641, 257, 7919)))} FROM events),
+x AS (SELECT event_id, {", ".join(f"least(greatest({_icc_sql(i)}, 0), 1) AS x{i}" for i in range(3))} FROM v)
+SELECT event_id, {", ".join(f"CAST(floor((CASE WHEN x{i} <= 0.0031308::DOUBLE THEN x{i} * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow(x{i}, 1 / 2.4::DOUBLE) - 0.055::DOUBLE END) * 65535 + 0.5) AS BIGINT) AS {n}" for i, n in enumerate("rgb"))} FROM x""")
+def icc_matrix_profile(spark, sf_dir):
+    long = lambda *v: b"XYZ \0\0\0\0" + struct.pack(">3i", *v)
+    curve = b"curv\0\0\0\0" + struct.pack(">IH", 1, 563)
+    profile = icc.profile_bytes({b"wtpt": long(63190, 65536, 54061), **{k: long(*v) for k, v in ICC_XYZ.items()}, **{k: curve for k in (b"rTRC", b"gTRC", b"bTRC")}})
+    e = F.col("event_id")
+    pixels = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (e * 641 % 65536).alias("r"), (e * 257 % 65536).alias("g"), (e * 7919 % 65536).alias("b"))
+    return icc.converted(pixels, profile)

@@ -9,7 +9,7 @@ import pytest
 
 from tessera.functions import colour
 from tessera.functions.sample_expression import compile_expression
-from tessera.operators import planes, relations, sequence
+from tessera.operators import frames, planes, relations, sequence
 from tessera.plans import ORACLE_SQL, QUERIES
 from tessera.sources.boxes import boxes
 
@@ -145,3 +145,14 @@ def test_first_association_record_counts(spark):
     own = spark.createDataFrame([(1, 9, 0, 0, 1), (1, 9, 0, 1, 3), (1, 9, 1, 0, 2)], "file long, item long, record long, pos long, index long")
     properties = spark.createDataFrame([(1, 1, "ispe", "a"), (1, 2, "irot", "b"), (1, 3, "ispe", "c")], "file long, place long, kind string, value string")
     assert [tuple(r) for r in relations.item_properties(own, properties).collect()] == [(1, 9, "ispe", "c")]
+
+
+def test_alpha_of_a_grid(spark):
+    line = "frame_id long, plane int, width long, height long, sub_x int, sub_y int, depth int, y long, samples array<long>"
+    rows = spark.createDataFrame([(7, 0, 3, 2, 0, 0, 10, y, [1, 2, 3]) for y in range(2)], line)
+    lines = spark.createDataFrame([(i, 0, 2, 1, 0, 0, 8, 0, [i, 255]) for i in range(4)], line)
+    cells = spark.createDataFrame([(7, i, i, 2, 1) for i in range(4)], "grid_id long, frame_id long, pos long, width long, height long")
+    grids = spark.createDataFrame([(7, 2, 2, 3, 2)], "grid_id long, rows long, columns long, width long, height long")
+    got = frames.append_alpha_grid(rows, lines, cells, grids).where("plane = 3").orderBy("y").collect()
+    scale = lambda v: (v * 1023 + 127) // 255
+    assert [r.samples for r in got] == [[scale(v) for v in own] for own in ([0, 255, 1], [2, 255, 3])] and {(r.frame_id, r.depth) for r in got} == {(7, 10)}
