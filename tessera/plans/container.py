@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.integers import loop_count
 from tessera.operators import items as I
 from tessera.operators import sequence as S
 from tessera.plans.queries import query
@@ -529,3 +530,16 @@ def track_samples(spark, sf_dir):
 def track_repetition(spark, sf_dir):
     found = I.track_repetition(_tracks(spark, sf_dir).where("role = 'colour'"))
     return found.select(key(), "kind", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""WITH {CHUNKS}, n AS (SELECT DISTINCT k, n, scale FROM t), d AS (SELECT *, CASE WHEN k % 7 = 0 THEN 0 ELSE 40 + k % 5 + 33 * (n - 1) END AS duration FROM n)
+SELECT k AS file_id, n AS colour, CASE WHEN k % 2 = 1 THEN n ELSE 0 END AS alpha, duration, (duration * 1000 + scale // 2) // scale AS duration_ms, CASE WHEN k % 5 > 0 AND k % 4 = 0 THEN k % 3 WHEN k % 5 > 0 AND k % 4 = 1 THEN 0 ELSE 1 END AS loops FROM d""")
+def animations(spark, sf_dir):
+    """Sample counts, duration and loops of every movie whose alpha track, if any, fits its colour track."""
+    tracks = _tracks(spark, sf_dir)
+    counts = tracks.groupBy("path").agg(*(F.coalesce(F.max(F.when(F.col("role") == r, F.size("sizes"))), F.lit(0)).cast("long").alias(r) for r in ("colour", "alpha")))
+    good = counts.join(I.alpha_count_faults(tracks).select("path"), "path", "left_anti")
+    colour = tracks.where("role = 'colour'")
+    total = colour.select("path", "timescale", F.coalesce(F.aggregate("durations", F.lit(0).cast("long"), lambda s, d: s + d["count"] * d["duration"]), F.lit(0).cast("long")).alias("duration"))
+    loops = I.track_repetition(colour).select("path", loop_count(F.col("kind"), F.col("n")).alias("loops"))
+    return good.join(total, "path").join(loops, "path").select(key(), "colour", "alpha", "duration", F.expr("(duration * 1000 + timescale div 2) div timescale").alias("duration_ms"), "loops")

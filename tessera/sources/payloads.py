@@ -289,6 +289,29 @@ def header_faults(record: Column, header: Column, nclx: Column, size: Column) ->
     return F.when(layout | (nclx.isNotNull() & (colour | ranged)) | sized, "bitstream")
 
 
+def layout_faults(header: Column, layout: Column) -> Column:
+    """bitstream where extended pixel information (its text: type:location or - per channel) contradicts the sequence header; null without it.
+
+    Types: 0 full, 1 half as wide, 2 half in both, 4 half as high; locations count for chroma only: 0 vertical, 2 colocated.
+    """
+    channels = F.split(layout, ",")
+    chroma = F.when(header["sub_x"] & header["sub_y"], 2).when(header["sub_x"], 1).when(header["sub_y"], 4).otherwise(0)
+    place = F.when(header["position"] == 1, 0).when(header["position"] == 2, 2)
+
+    def bad(text: Column, i: Column) -> Column:
+        kind, location = (F.split_part(text, F.lit(":"), F.lit(k)).try_cast("int") for k in (1, 2))
+        wrong = (kind != F.when(i == 0, 0).otherwise(chroma)) | ((i > 0) & ((header["position"] == 3) | F.coalesce(location != place, F.lit(False))))
+        return F.when(text == "-", False).otherwise(F.coalesce(wrong, F.lit(False)))
+
+    count = F.size(channels) != F.when(header["mono"], 1).otherwise(3)
+    return F.when(layout.isNotNull() & (count | F.exists(F.transform(channels, bad), lambda b: b)), "bitstream")
+
+
+def preflight_fault(depth: Column) -> Column:
+    """unsupported for depths that aren't decoded."""
+    return F.when(~depth.isin(8, 10, 12), "unsupported")
+
+
 # --- frames of a sample, tiles of a frame
 
 

@@ -43,3 +43,58 @@ def play(samples: DataFrame, track: str, sample: str) -> DataFrame:
     picked = samples.select(samples[track].alias("track"), sample, "shows", "idx", "mask")
     fields = "cursor bigint, " + ", ".join(f"slot_{i} bigint" for i in range(SLOTS))
     return picked.groupBy("track").applyInPandasWithState(run, OUT, fields, "append", GroupStateTimeout.NoTimeout)
+
+
+def pair_step(state: tuple, sample: int, colour: tuple, alpha: tuple | None) -> tuple[tuple, tuple]:
+    """Output (frame, alpha frame, fault) and state (cursor, colour slots, alpha slots, static alpha) after a colour sample and its alpha.
+
+    Both are stepped on copies and kept only if both succeed. A sample without alpha of its own shows the alpha of the first that had one.
+    """
+    cursor, slots, alpha_slots, static = state
+    (frame, fault), _, new = step(cursor, slots, sample, *colour)
+    if alpha is None:
+        own, alpha_fault, alpha_new = static, None, alpha_slots
+    else:
+        (own, alpha_fault), _, alpha_new = step(cursor, alpha_slots, sample, *alpha)
+    if fault or alpha_fault:
+        return (None, None, "bitstream"), (sample, slots, alpha_slots, static)
+    return (frame, own, None), (sample, new, alpha_new, static if static is not None else own)
+
+
+PAIR_OUT = "track bigint, sample bigint, frame bigint, alpha bigint, fault string"
+
+
+def play_pairs(samples: DataFrame, track: str, sample: str, streaming: bool | None = None) -> DataFrame:
+    """track, sample, frame, alpha and fault of colour samples with alpha: columns shows, idx, mask and alpha_shows, alpha_idx, alpha_mask (null: no
+    alpha of its own). The states of colour and alpha are one and change together. Streams keep it from batch to batch; batch tables take a
+    track's samples in order, one track a group, since each depends on all before it."""
+    names = [sample, "shows", "idx", "mask", "alpha_shows", "alpha_idx", "alpha_mask"]
+    picked = samples.select(samples[track].alias("track"), *names)
+    fresh = (-1, [None] * SLOTS, [None] * SLOTS, None)
+
+    def fold(key: int, rows: pd.DataFrame, state: tuple) -> tuple[list, tuple]:
+        out = []
+        for n, shows, idx, mask, a_shows, a_idx, a_mask in rows.sort_values(sample)[names].astype(object).itertuples(index=False):
+            if n > state[0]:
+                shown, state = pair_step(state, n, (shows, idx, mask), None if pd.isna(a_shows) else (bool(a_shows), int(a_idx), int(a_mask)))
+                out.append((key, n, *shown))
+        return out, state
+
+    def frame_of(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["track", "sample", "frame", "alpha", "fault"]).astype({"frame": "Int64", "alpha": "Int64"})
+
+    if not (samples.isStreaming if streaming is None else streaming):
+        return picked.groupBy("track").applyInPandas(lambda key, rows: frame_of(fold(key[0], rows, fresh)[0]), PAIR_OUT)
+
+    def run(key: tuple, batches: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = fresh
+        if held.exists:
+            cursor, *rest = held.get
+            rest = [None if v < 0 else v for v in rest]
+            state = (cursor, rest[:SLOTS], rest[SLOTS : 2 * SLOTS], rest[-1])
+        out, (cursor, slots, alpha_slots, static) = fold(key[0], pd.concat(list(batches)), state)
+        held.update((cursor, *(-1 if v is None else v for v in (*slots, *alpha_slots, static))))
+        yield frame_of(out)
+
+    fields = "cursor bigint, " + ", ".join(f"{k}_{i} bigint" for k in ("slot", "alpha") for i in range(SLOTS)) + ", static_alpha bigint"
+    return picked.groupBy("track").applyInPandasWithState(run, PAIR_OUT, fields, "append", GroupStateTimeout.NoTimeout)

@@ -149,3 +149,16 @@ def test_tiles_of_unequal_sizes_and_their_payloads():
         payloads.tile_group(bytes([0b11001000]), Bits(bytes([0b11001000])), 4, 2, 1)  # from 2 to 1
     with pytest.raises(Fault):
         payloads.tile_group(bytes([0, 9, 9]), Bits(bytes([0, 9, 9])), 2, 1, 1)  # a size outside
+
+
+def test_pixel_layouts_against_headers(spark):
+    from pyspark.sql import functions as F
+
+    cases = [
+        (False, True, True, 1, "0:0,2:0,2:0", None), (False, True, True, 1, "0:0,2:2,2:0", "bitstream"), (False, True, True, 0, "-,2:4,-", None), (False, True, True, 3, "-,2:0,-", "bitstream"), (False, True, True, 2, "-,2:2,2:2", None),
+        (False, True, False, None, "-,1:0,1:0", None), (False, True, False, None, "-,2:0,1:0", "bitstream"), (False, False, False, None, "0:0,0:0,0:0", None), (False, False, False, None, "0:0", "bitstream"), (True, True, True, None, "0:0", None), (True, True, True, None, "-,-,-", "bitstream"), (False, True, True, 1, None, None),
+    ]
+    df = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "i int, mono boolean, sub_x boolean, sub_y boolean, position int, layout string")
+    header = F.struct("mono", "sub_x", "sub_y", "position")
+    assert {r.i: r.fault for r in df.select("i", payloads.layout_faults(header, F.col("layout")).alias("fault")).collect()} == {i: c[5] for i, c in enumerate(cases)}
+    assert [r[0] for r in spark.createDataFrame([(8,), (9,), (12,)], "d int").select(payloads.preflight_fault(F.col("d"))).collect()] == [None, "unsupported", None]
