@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ PAD = max(OFFSETS)
 #: Tokens of one training step, at every size.
 STEP = 8192
 #: Tokens scored at once.
-CHUNK = 4096
+CHUNK = 8192
 #: Bytes of texts whose tokens are shuffled together.
 ROOM = 1_000_000
 #: The largest exponent of a softmax.
@@ -74,18 +75,19 @@ def end_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def end_codes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((w[-2] * 256 + w[-1] if len(w) > 1 else 65536 + w[-1] for w in words), np.int64, len(words))
-
-
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words of a byte or more: the code of each one's end, and for each byte that is read after it and each start the place in the
-    table (context * SYMBOLS + symbol) and whose word it is."""
+def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words of a byte or more: all bytes, each word's length and where it ends, and the code of its end."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
     stop = np.cumsum(n)
     last = flat[stop - 1]
-    codes = np.where(n > 1, flat[np.maximum(stop - 2, 0)] * 256 + last, 65536 + last)
+    return flat, n, stop, np.where(n > 1, flat[np.maximum(stop - 2, 0)] * 256 + last, 65536 + last)
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of the words' ends, and for each byte that is read after an end and each start the place in the table (context *
+    SYMBOLS + symbol) and whose word it is."""
+    flat, n, stop, codes = letters(words)
     steps = np.maximum(n - 1, 0)  # the bytes before the last two, and the start; a word of one byte has nothing to add
     word = np.repeat(np.arange(len(words)), steps)
     at = (stop - n)[word] + np.arange(len(word)) - np.repeat(np.cumsum(steps) - steps, steps)  # the first of the two that are known
@@ -121,7 +123,7 @@ class Spelling:
 
     def shares(self, words: list[bytes], bucket: np.ndarray, counts: dict[bytes, int]) -> np.ndarray:
         """log P(word | its bucket)."""
-        n = np.fromiter((counts.get(w, 0) for w in words), np.float64, len(words))
+        n = np.fromiter(map(counts.get, words, repeat(0)), np.float64, len(words))
         return np.log(n + self.different[bucket] * np.exp(self.log_probabilities(words))) - np.log(self.total + self.different)[bucket]
 
 
@@ -152,7 +154,7 @@ class Vocabulary(dict):
         """Tokens of the numbers, and the positions of those over the pad's."""
         if len(self.new) > len(self.buckets):
             fresh = self.new[len(self.buckets) :]
-            bucket = end_bucket(end_codes(fresh), self.shape.buckets)
+            bucket = end_bucket(letters(fresh)[-1], self.shape.buckets)
             self.buckets = np.concatenate([self.buckets, self.shape.first_bucket + bucket]).astype(np.int64)
             if self.counts:
                 self.shares = np.concatenate([self.shares, self.spelling.shares(fresh, bucket, self.counts)])
@@ -233,10 +235,9 @@ class Network:
 
     def _forward(self, flat: np.ndarray, at: np.ndarray):
         near, target = self._near(flat, at), flat[at]
-        hidden = self.embed[near[:, 0]]
-        for k in range(1, len(OFFSETS)):
-            hidden += self.embed[near[:, k]]
-        hidden += self.bias
+        hidden, one = np.tile(self.bias, (len(at), 1)), np.empty((len(at), self.shape.hidden), self.embed.dtype)
+        for k in range(len(OFFSETS)):
+            hidden += np.take(self.embed, near[:, k], axis=0, out=one, mode="clip")
         np.tanh(hidden, out=hidden)
         group, place = np.divmod(target, self.shape.per_class)
         order = np.argsort(group.astype(np.uint16), kind="stable")
@@ -305,12 +306,11 @@ class Network:
         back[order] += inner_back
         back *= 1 - hidden * hidden
         self._step("bias", back.sum(0), rate)
-        for k in range(len(OFFSETS)):
-            ids = near[:, k]
-            by = np.argsort(ids.astype(np.uint16), kind="stable")
-            ordered = ids[by]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            self._step("embed", np.add.reduceat(back[by], first, axis=0), rate, ordered[first])
+        wide, size = np.ascontiguousarray(back.T, np.float64), self.shape.tokens + 1
+        for k in range(len(OFFSETS)):  # the sum of the gradients of each token at each position
+            ids = near[:, k] - k * size
+            sums = np.stack([np.bincount(ids, column, size) for column in wide], 1).astype(self.embed.dtype)
+            self._step("embed", sums, rate, slice(k * size, (k + 1) * size))
 
 
 def batches_of(texts: list[bytes], most: int = ROOM) -> Iterator[list[bytes]]:
@@ -333,10 +333,8 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         seen: Counter = Counter()
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
-            for texts in batches_of(text_bytes(batch)):
-                words, _ = words_of(texts)
-                for w, n in zip(words.dictionary.to_pylist(), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)).tolist(), strict=True):
-                    seen[w] += n
+            for text in text_bytes(batch):
+                seen.update(text.split())
                 if len(seen) > 200_000:
                     yield pack()
                     seen.clear()
