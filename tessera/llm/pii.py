@@ -306,11 +306,12 @@ def assign(found: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
         shared = now.withColumn("family", family)
         # of those that share a surrogate the one with the fewest attempts, then the first, keeps it
         first = shared.groupBy("family", "surrogate").agg(F.min(F.struct("attempt", "kind", "entity")).alias("first"), F.count("*").alias("n"))
-        clash = shared.join(first.where("n > 1"), ["family", "surrogate"]).where((F.col("first.kind") != F.col("kind")) | (F.col("first.entity") != F.col("entity"))).select("kind", "entity")
-        real = shared.join(taken, (F.col("family") == F.col("t_family")) & (F.col("surrogate") == F.col("t_name")), "left_semi").select("kind", "entity")
+        clash = shared.join(first.where("n > 1").hint("merge"), ["family", "surrogate"]).where((F.col("first.kind") != F.col("kind")) | (F.col("first.entity") != F.col("entity"))).select("kind", "entity")
+        real = shared.join(taken.hint("merge"), (F.col("family") == F.col("t_family")) & (F.col("surrogate") == F.col("t_name")), "left_semi").select("kind", "entity")
         again = stage(clash.union(real).distinct(), "collisions")
         if again.isEmpty():
             return now
+        again = again.hint("merge")  # entities grow with the corpus
         redrawn = now.join(again, ["kind", "entity"], "left_semi").select("kind", "entity", (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(draw, schema)
         now = stage(now.join(again, ["kind", "entity"], "left_anti").select("kind", "entity", "attempt", "surrogate").union(redrawn), "surrogates")
     raise RuntimeError(f"surrogates still collide after {rounds} rounds: more different entities than the forms hold")
