@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.integers import loop_count
@@ -15,6 +16,7 @@ from tessera.operators import items as I
 from tessera.operators import sequence as S
 from tessera.plans.queries import query
 from tessera.sources import bodies as B
+from tessera.sources import frame_header as H
 from tessera.sources import payloads as P
 from tessera.sources.bodies import box, full_box
 
@@ -481,6 +483,52 @@ def played(slotted: DataFrame) -> DataFrame:
     return slotted.select("user_id", "event_id", F.when(F.col("shows"), slot).otherwise(F.col("event_id")).alias("frame"), F.when(F.col("shows") & slot.isNull(), "bitstream").alias("fault"))
 
 
+def _bits(*fields: tuple[int, int]) -> bytes:
+    """Fields (value, bits) as bytes, with a closing one."""
+    text = "".join(f"{v & (1 << n) - 1:0{n}b}" for v, n in fields if n) + "1"
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def coded_sequence(user: int) -> bytes:
+    """A sequence header with order hints of 6 bits and a size by user."""
+    head = [(0, 3), (0, 2), (0, 1), (0, 1), (0, 5), (0, 12), (4, 5), (8, 4), (8, 4), (64 + user % 100, 9), (40 + user % 50, 9), (0, 1), (0, 1), (1, 1), (1, 1)]
+    return _bits(*head, (1, 4), (1, 1), (1, 1), (1, 1), (1, 1), (1, 1), (5, 3), (0, 1), (1, 1), (0, 1), (0, 1), (0, 1), (0, 1), (1, 1), (0, 2), (0, 1), (0, 1))
+
+
+def coded_frame(event: int, n: int, user: int) -> bytes:
+    """The n-th frame header of a user: each sixth a key frame, one in eleven of the others cut short, one in seven showing a slot."""
+    wide, high = (-(-(2 * -(-size // 8)) // 16) for size in (65 + user % 100, 41 + user % 50))
+    tiles = [(1, 1), *[(0, 1)] * ((wide > 1) + (high > 1))]
+    tail = [*tiles, (1 + event % 255, 8), *[(0, 1)] * 6, (10, 6), (20, 6), (3, 6), (4, 6), (2, 3), (0, 1), (1, 2), (0, 2), (5, 4), (3, 2), (6, 4), (0, 2), (1, 1)]
+    if n % 6 == 0:
+        return _bits((0, 1), (0, 2), (1, 1), (0, 1), (0, 1), (0, 1), (n % 64, 6), (0, 1), (0, 1), *tail, (0, 1))
+    if n % 7 == 0:
+        return _bits((1, 1), (event % 8, 3))
+    whole = _bits((0, 1), (1, 2), (1, 1), (0, 1), (0, 1), (0, 1), (0, 1), (n % 64, 6), (0, 3), (event * 37 % 256, 8), (0, 1), *[(i, 3) for i in range(7)], (0, 1), (1, 1), (1, 1), (0, 1), (0, 1), (0, 1), *tail, (0, 1), (0, 1), (0, 1), *[(0, 1)] * 7)
+    return whole[:4] if n % 11 == 0 else whole
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
+f AS (SELECT *, n % 6 = 0 AS key, n % 6 > 0 AND n % 7 = 0 AS shows, n % 6 > 0 AND n % 7 > 0 AND n % 11 = 0 AS short FROM n),
+m AS (SELECT *, CASE WHEN shows OR short THEN 0 WHEN key THEN 255 ELSE event_id * 37 % 256 END AS mask FROM f),
+w AS (SELECT *, [""" + ", ".join(f"last_value(CASE WHEN (mask >> {i}) & 1 = 1 THEN n END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for i in range(8)) + """][event_id % 8 + 1] AS slot FROM m)
+SELECT user_id, event_id, CASE WHEN short THEN 'short' WHEN shows AND slot % 6 = 0 THEN 'bitstream' END AS fault, CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL WHEN key THEN 0 ELSE 1 END AS kind, CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL ELSE mask END AS refresh,
+CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL WHEN shows THEN slot % 64 ELSE n % 64 END AS order_hint, CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL ELSE 65 + user_id % 100 END AS width, CASE WHEN short OR shows THEN NULL ELSE 1 + event_id % 255 END AS base_q FROM w""")
+def frame_headers(spark, sf_dir):
+    """Headers of a user's frames with the slots between them; a shown key frame may not be shown again."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id")
+    numbered = e.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1)
+
+    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([coded_frame(i, n, u) for u, i, n in rows], pa.binary()), pa.array([coded_sequence(u) if n == 0 else None for u, _, n in rows], pa.binary())], names=["user_id", "event_id", "payload", "sequence"])
+
+    made_of = numbered.mapInArrow(coded, "user_id long, event_id long, payload binary, sequence binary")
+    found = H.track_headers(made_of, "user_id", "event_id", "payload", "sequence")
+    return found.select("user_id", "event_id", "fault", "kind", "refresh", "order_hint", "width", "base_q")
+
+
 # --- tracks: a file per customer
 
 

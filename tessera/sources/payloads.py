@@ -194,55 +194,70 @@ def sample_kind(found: Column, payload: Column) -> dict[str, Column]:
 
 
 def sequence_header(data: bytes | None) -> dict:
-    """What the header of a coded sequence says of size, depth, layout, colour and tools."""
+    """What the header of a coded sequence says of size, depth, layout, colour and tools; `more` is what frame headers need besides."""
     b = Bits(data or b"")
     profile, still, reduced = b.read(3), b.flag(), b.flag()
     if profile > 2:
         raise Fault("bitstream", f"profile {profile}")
-    level, points = (b.read(5), 1) if reduced else _operating_points(b)
-    wide, high = b.read(4) + 1, b.read(4) + 1
-    out = {"profile": profile, "still": still, "reduced": reduced, "level": level, "points": points, "width": b.read(wide) + 1, "height": b.read(high) + 1}
-    if not reduced and b.flag() and b.read(4) + 2 + b.read(3) + 1 > 16:
-        raise Fault("bitstream", "frame ids of more than 16 bits")
+    more = {"model": False, "equal_interval": False, "presentation_bits": 0, "removal_bits": 0, "points": [(0, False)], "id_bits": 0, "delta_id_bits": 0, "screen": 2, "integer_mv": 2, "warped": False, "ref_mvs": False, "separate_uv": False}
+    level = b.read(5) if reduced else _operating_points(b, more)
+    more["wide"], more["high"] = b.read(4) + 1, b.read(4) + 1
+    out = {"profile": profile, "still": still, "reduced": reduced, "level": level, "points": len(more["points"]), "width": b.read(more["wide"]) + 1, "height": b.read(more["high"]) + 1}
+    if not reduced and b.flag():
+        more["delta_id_bits"] = b.read(4) + 2
+        more["id_bits"] = b.read(3) + more["delta_id_bits"] + 1
+        if more["id_bits"] > 16:
+            raise Fault("bitstream", "frame ids of more than 16 bits")
     out["large_blocks"], out["filter_intra"], out["intra_edge"] = b.flag(), b.flag(), b.flag()
-    out["order_bits"] = 0 if reduced else _inter_tools(b)
+    out["order_bits"] = 0 if reduced else _inter_tools(b, more)
     out["superres"], out["cdef"], out["restoration"] = b.flag(), b.flag(), b.flag()
-    return out | _colour(b, profile) | {"grain": b.flag()}
+    colour = _colour(b, profile)
+    more["separate_uv"] = colour.pop("separate_uv")
+    return out | colour | {"grain": b.flag(), "more": more}
 
 
-def _operating_points(b: Bits) -> tuple[int, int]:
-    """Level of the first operating point, and how many there are."""
-    delay_bits = None
+def _operating_points(b: Bits, more: dict) -> int:
+    """Level of the first operating point."""
+    delay_bits = 0
     if b.flag():  # timing
         b.read(64)
-        if b.flag():
+        more["equal_interval"] = b.flag()
+        if more["equal_interval"]:
             b.uvlc()
-        if b.flag():  # decoder model
+        more["model"] = b.flag()
+        if more["model"]:
             delay_bits = b.read(5) + 1
-            b.read(42)
+            b.read(32)
+            more["removal_bits"], more["presentation_bits"] = b.read(5) + 1, b.read(5) + 1
     display = b.flag()
-    points, levels = b.read(5) + 1, []
-    for _ in range(points):
-        b.read(12)
+    points, levels = [], []
+    for _ in range(b.read(5) + 1):
+        idc = b.read(12)
         levels.append(b.read(5))
         if levels[-1] > 7:
             b.flag()
-        if delay_bits is not None and b.flag():
+        modelled = more["model"] and b.flag()
+        if modelled:
             b.read(2 * delay_bits + 1)
         if display and b.flag():
             b.read(4)
-    return levels[0], points
+        points.append((idc, modelled))
+    more["points"] = points
+    return levels[0]
 
 
-def _inter_tools(b: Bits) -> int:
+def _inter_tools(b: Bits, more: dict) -> int:
     """Bits of an order hint."""
-    b.read(4)
+    b.read(2)
+    more["warped"] = b.flag()
+    b.flag()
     ordered = b.flag()
     if ordered:
-        b.read(2)
-    screen = 2 if b.flag() else b.read(1)
-    if screen and not b.flag():
-        b.read(1)
+        b.flag()
+        more["ref_mvs"] = b.flag()
+    more["screen"] = 2 if b.flag() else b.read(1)
+    if more["screen"]:
+        more["integer_mv"] = 2 if b.flag() else b.read(1)
     return b.read(3) + 1 if ordered else 0
 
 
@@ -254,7 +269,7 @@ def _colour(b: Bits, profile: int) -> dict:
     codes = [b.read(8) for _ in range(3)] if described else [2, 2, 2]
     out = {"depth": depth, "mono": mono, "described": described, "primaries": codes[0], "transfer": codes[1], "matrix": codes[2], "position": None}
     if mono:
-        return out | {"full": b.flag(), "sub_x": True, "sub_y": True}
+        return out | {"full": b.flag(), "sub_x": True, "sub_y": True, "separate_uv": False}
     if codes == [1, 13, 0]:
         full, sub_x, sub_y = True, False, False
     else:
@@ -263,8 +278,7 @@ def _colour(b: Bits, profile: int) -> dict:
         sub_y = profile == 0 or (profile == 2 and depth == 12 and sub_x and b.flag())
         if sub_x and sub_y:
             out["position"] = b.read(2)
-    b.flag()
-    return out | {"full": full, "sub_x": sub_x, "sub_y": sub_y}
+    return out | {"full": full, "sub_x": sub_x, "sub_y": sub_y, "separate_uv": b.flag()}
 
 
 TYPES[sequence_header] = (
