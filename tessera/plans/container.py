@@ -466,7 +466,7 @@ PLAY = """e AS (SELECT user_id, event_id, event_id % 4 = 3 AS shows, event_id %
 
 
 @query(f"""WITH {PLAY}, w AS (SELECT user_id, event_id, shows, idx, {", ".join(f"last_value(CASE WHEN (mask >> {i}) & 1 = 1 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s{i}" for i in range(8))} FROM e),
-s AS (SELECT *, [s0, s1, s2, s3, s4, s5, s6, s7][idx + 1] AS slot FROM w) SELECT user_id, event_id, CASE WHEN shows THEN slot ELSE event_id END AS frame, CASE WHEN shows AND slot IS NULL THEN 'bitstream' END AS fault FROM s""")
+s AS (SELECT *, [s0, s1, s2, s3, s4, s5, s6, s7][idx + 1] AS slot FROM w) SELECT user_id, event_id, CASE WHEN shows THEN slot ELSE event_id END AS frame, CASE WHEN shows AND slot IS NULL THEN 'unsupported' END AS fault FROM s""")
 def playback(spark, sf_dir):
     return played(S.slots(samples_of(spark.read.parquet(f"{sf_dir}/events.parquet")), "user_id", "event_id", "mask"))
 
@@ -480,7 +480,7 @@ def samples_of(events: DataFrame) -> DataFrame:
 
 def played(slotted: DataFrame) -> DataFrame:
     slot = F.get("slots", F.col("idx"))
-    return slotted.select("user_id", "event_id", F.when(F.col("shows"), slot).otherwise(F.col("event_id")).alias("frame"), F.when(F.col("shows") & slot.isNull(), "bitstream").alias("fault"))
+    return slotted.select("user_id", "event_id", F.when(F.col("shows"), slot).otherwise(F.col("event_id")).alias("frame"), F.when(F.col("shows") & slot.isNull(), "unsupported").alias("fault"))
 
 
 def _bits(*fields: tuple[int, int]) -> bytes:
@@ -512,10 +512,10 @@ def coded_frame(event: int, n: int, user: int) -> bytes:
 f AS (SELECT *, n % 6 = 0 AS key, n % 6 > 0 AND n % 7 = 0 AS shows, n % 6 > 0 AND n % 7 > 0 AND n % 11 = 0 AS short FROM n),
 m AS (SELECT *, CASE WHEN shows OR short THEN 0 WHEN key THEN 255 ELSE event_id * 37 % 256 END AS mask FROM f),
 w AS (SELECT *, [""" + ", ".join(f"last_value(CASE WHEN (mask >> {i}) & 1 = 1 THEN n END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for i in range(8)) + """][event_id % 8 + 1] AS slot FROM m)
-SELECT user_id, event_id, CASE WHEN short THEN 'short' WHEN shows AND slot % 6 = 0 THEN 'bitstream' END AS fault, CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL WHEN key THEN 0 ELSE 1 END AS kind, CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL ELSE mask END AS refresh,
-CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL WHEN shows THEN slot % 64 ELSE n % 64 END AS order_hint, CASE WHEN short OR (shows AND slot % 6 = 0) THEN NULL ELSE 65 + user_id % 100 END AS width, CASE WHEN short OR shows THEN NULL ELSE 1 + event_id % 255 END AS base_q FROM w""")
+SELECT user_id, event_id, CASE WHEN short THEN 'short' END AS fault, CASE WHEN short THEN NULL WHEN key OR (shows AND slot % 6 = 0) THEN 0 ELSE 1 END AS kind, CASE WHEN NOT short THEN mask END AS refresh,
+CASE WHEN short THEN NULL WHEN shows THEN slot % 64 ELSE n % 64 END AS order_hint, CASE WHEN NOT short THEN 65 + user_id % 100 END AS width, CASE WHEN short OR shows THEN NULL ELSE 1 + event_id % 255 END AS base_q FROM w""")
 def frame_headers(spark, sf_dir):
-    """Headers of a user's frames with the slots between them; a shown key frame may not be shown again."""
+    """Headers of a user's frames with the slots between them; a header that is cut short leaves them as they are."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id")
     numbered = e.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1)
 

@@ -1,12 +1,12 @@
 """Frame headers of a coded sequence, bit by bit, with the eight reference slots that they depend on.
 
 Decoder keeps the slots from frame to frame: a header is read against a copy of the state and the state changes only if all of it
-could be read. Sequences are read in order, one track a group (operators and streams see streaming.playback for how that is dealt).
+could be read. Showing a slot changes none, whatever it holds. Sequences are read in order, one track a group (operators and streams see streaming.playback for how that is dealt).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,7 +50,6 @@ class Slot:
     deltas: tuple = (LF_REF_DELTAS, (0, 0))
     segments: tuple = ()
     grain: dict | None = None
-    showable: bool = True
 
 
 @dataclass
@@ -135,7 +134,7 @@ class Decoder:
         f["motion"] = [list(IDENTITY) for _ in range(REFS)] if intra else self._motion(b, f, past)
         f["grain"] = self._grain(b, f, slots)
         render = f["render"]
-        slot = Slot(kind, f["order"], f["upscaled"], f["width"], f["height"], render, tuple(map(tuple, f["motion"])), deltas, f["segments"], f["grain"], f["showable"])
+        slot = Slot(kind, f["order"], f["upscaled"], f["width"], f["height"], render, tuple(map(tuple, f["motion"])), deltas, f["segments"], f["grain"])
         return f, slot
 
     def _existing(self, b: Bits) -> tuple[dict, Slot]:
@@ -144,11 +143,10 @@ class Decoder:
             b.read(more["presentation_bits"])
         if more["id_bits"]:
             b.read(more["id_bits"])
-        slot = self._slot(i)
-        if not slot.showable:
-            raise Fault("bitstream", f"slot {i} may not be shown")
-        shown = replace(slot, showable=False) if slot.kind == KEY else slot
-        return {"show_existing": True, "slot": i, "kind": slot.kind, "show": True, "order": slot.order, "refresh": ALL if slot.kind == KEY else 0, "width": slot.width, "height": slot.height, "upscaled": slot.upscaled, "render": slot.render, "grain": slot.grain}, shown
+        slot = self.slots[i]
+        if slot is None:
+            raise Fault("unsupported", f"slot {i} holds nothing to show")
+        return {"show_existing": True, "slot": i, "kind": slot.kind, "show": True, "order": slot.order, "refresh": 0, "width": slot.width, "height": slot.height, "upscaled": slot.upscaled, "render": slot.render, "grain": slot.grain}, slot
 
     def _removal_times(self, b: Bits, temporal: int, spatial: int) -> None:
         more = self.sequence["more"]

@@ -21,7 +21,7 @@ def step(cursor: int, slots: list[int | None], sample: int, shows: bool, idx: in
     """The output of one sample (frame, fault), and the state after it."""
     if shows:
         frame = slots[idx]
-        return (frame, None if frame is not None else "bitstream"), sample, slots
+        return (frame, None if frame is not None else "unsupported"), sample, slots
     return (sample, None), sample, [sample if mask >> i & 1 else held for i, held in enumerate(slots)]
 
 
@@ -57,7 +57,7 @@ def pair_step(state: tuple, sample: int, colour: tuple, alpha: tuple | None) ->
     else:
         (own, alpha_fault), _, alpha_new = step(cursor, alpha_slots, sample, *alpha)
     if fault or alpha_fault:
-        return (None, None, "bitstream"), (sample, slots, alpha_slots, static)
+        return (None, None, fault or alpha_fault), (sample, slots, alpha_slots, static)
     return (frame, own, None), (sample, new, alpha_new, static if static is not None else own)
 
 

@@ -29,7 +29,7 @@ def test_colour_and_alpha_change_together(spark, tmp_path):
         (2, 0, True, 0, 0, None, None, None), (2, 1, False, 0, 1, None, None, None), (2, 2, True, 0, 0, False, 0, 255), (2, 3, True, 0, 0, None, None, None),
     ]
     # 1: slot 5 of alpha is empty, so nothing is shown; 4 fails by its alpha, so colour slot 3 still holds frame 0 at 5
-    want = {(1, 0): (0, 0, None), (1, 1): (None, None, "bitstream"), (1, 2): (2, 0, None), (1, 3): (2, 0, None), (1, 4): (None, None, "bitstream"), (1, 5): (0, 0, None), (2, 0): (None, None, "bitstream"), (2, 1): (1, None, None), (2, 2): (1, 2, None), (2, 3): (1, 2, None)}
+    want = {(1, 0): (0, 0, None), (1, 1): (None, None, "unsupported"), (1, 2): (2, 0, None), (1, 3): (2, 0, None), (1, 4): (None, None, "unsupported"), (1, 5): (0, 0, None), (2, 0): (None, None, "unsupported"), (2, 1): (1, None, None), (2, 2): (1, 2, None), (2, 3): (1, 2, None)}
     schema = "track long, sample long, shows boolean, idx int, mask int, alpha_shows boolean, alpha_idx int, alpha_mask int"
     table = spark.createDataFrame(rows, schema)
     assert {(r.track, r["sample"]): (r.frame, r.alpha, r.fault) for r in play_pairs(table, "track", "sample").collect()} == want
