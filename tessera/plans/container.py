@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.integers import loop_count
 from tessera.operators import items as I
 from tessera.operators import sequence as S
+from tessera.operators.staging import settled
 from tessera.plans.queries import query
 from tessera.sources import bodies as B
 from tessera.sources import frame_header as H
@@ -33,6 +34,11 @@ def made(spark: SparkSession, sf_dir: str, table: str, key: str, make: Callable[
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long")).mapInArrow(run, "path string, content binary")
 
 
+def tables_of(files: DataFrame) -> DataFrame:
+    """The files' tables, parsed once and written, for queries that join several of them."""
+    return settled(B.file_tables(files), "file-tables")
+
+
 def u16(n: int) -> bytes:
     return struct.pack(">H", n)
 
@@ -138,7 +144,7 @@ def box_associations(spark, sf_dir):
 
 @query(f"""WITH f AS (SELECT p_partkey AS k, 2 + p_partkey % 4 AS n FROM part) SELECT k AS file_id, i AS item, kind, place FROM f, LATERAL (VALUES (1::BIGINT,'ispe',1),(1,'pixi',2),(1,'av1C',3),(1,'irot',14),(1,'colr',6),(n,'ispe',1),(n,'auxC',8)) t(i, kind, place)""")
 def item_metadata(spark, sf_dir):
-    files = stills(spark, sf_dir)
+    files = tables_of(made(spark, sf_dir, "part", "p_partkey", still))
     return I.properties_of(B.table(files, "assoc"), B.table(files, "props")).select(key(), "item", "kind", "place")
 
 
@@ -148,7 +154,7 @@ SELECT x.k AS file_id, x.i AS item, count(p.b) AS bytes, CAST(sum(CASE WHEN x.me
 FROM x LEFT JOIN p ON x.k = p.k AND x.i = p.i GROUP BY x.k, x.i, x.method""")
 def item_payloads(spark, sf_dir):
     files = made(spark, sf_dir, "part", "p_partkey", still)
-    tables = B.file_tables(files)
+    tables = tables_of(files)
     found = I.payloads(files, tables).join(B.table(tables, "locations").select("path", "item", "method"), ["path", "item"])
     digits = F.transform(F.sequence(F.lit(1), F.length("payload")), lambda j: F.conv(F.hex(F.substring("payload", j, F.lit(1))), 16, 10).cast("long"))
     total = F.when((F.col("method") == 1) & (F.length("payload") > 0), F.aggregate(digits, F.lit(0).cast("long"), lambda s, x: s + x))
@@ -157,7 +163,7 @@ def item_payloads(spark, sf_dir):
 
 @query("""SELECT p_partkey AS file_id, 2 + p_partkey % 4 AS item FROM part""")
 def alpha_items(spark, sf_dir):
-    files = stills(spark, sf_dir)
+    files = tables_of(made(spark, sf_dir, "part", "p_partkey", still))
     refs, assoc, props = (B.table(files, t) for t in ("refs", "assoc", "props"))
     return I.alpha_items(files.select("path", F.col("primary_item").alias("item")), refs, assoc, props).select(key(), "item")
 
@@ -192,21 +198,21 @@ def broken(k: int) -> bytes:
 
 @query("""SELECT p_partkey AS file_id, (p_partkey % 13)::INT AS rule FROM part WHERE p_partkey % 13 < 11""")
 def first_item_fault(spark, sf_dir):
-    files = B.file_tables(made(spark, sf_dir, "part", "p_partkey", broken))
+    files = tables_of(made(spark, sf_dir, "part", "p_partkey", broken))
     found = I.item_violations(files, *(B.table(files, t) for t in ("items", "locations", "refs", "assoc", "props")))
     return I.first_faults(found).select(key(), "rule")
 
 
 @query("""SELECT p_partkey AS file_id, 1::BIGINT AS primary_item, CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 12 THEN 2 ELSE 1 END::BIGINT AS item FROM part""")
 def effective_primary(spark, sf_dir):
-    files = B.file_tables(made(spark, sf_dir, "part", "p_partkey", broken))
+    files = tables_of(made(spark, sf_dir, "part", "p_partkey", broken))
     return I.effective_primary(files, B.table(files, "items"), B.table(files, "refs")).select(key(), "primary_item", "item")
 
 
 @query("""SELECT p_partkey AS file_id, 'avif' AS major, 1::BIGINT AS primary_item, CASE p_partkey % 13 WHEN 0 THEN NULL WHEN 12 THEN 2 ELSE 1 END::BIGINT AS item, CASE WHEN p_partkey % 13 = 1 THEN 1 ELSE 2 END AS n_items, CASE WHEN p_partkey % 13 > 10 THEN 4 END::BIGINT AS width, CASE WHEN p_partkey % 13 > 10 THEN 4 END::BIGINT AS height,
 CASE WHEN p_partkey % 13 > 10 THEN 8 END::BIGINT AS depth, CASE WHEN p_partkey % 13 IN (0, 5, 6) THEN 'unsupported' WHEN p_partkey % 13 < 11 THEN 'bitstream' END AS fault FROM part""")
 def container_info(spark, sf_dir):
-    found = I.container_info(B.file_tables(made(spark, sf_dir, "part", "p_partkey", broken)))
+    found = I.container_info(tables_of(made(spark, sf_dir, "part", "p_partkey", broken)))
     return found.select(key(), "major", "primary_item", "item", "n_items", "width", "height", "depth", "fault")
 
 
@@ -269,7 +275,7 @@ SELECT k AS file_id, r AS rows, c AS columns, 640 + k % 10 AS width, 480::BIGINT
 UNION ALL SELECT k, r, c, 640 + k % 10, 480, NULL, NULL, NULL, NULL, fault FROM j WHERE fault IS NOT NULL""")
 def grid_cells(spark, sf_dir):
     files = made(spark, sf_dir, "part", "p_partkey", derived)
-    tables = B.file_tables(files)
+    tables = tables_of(files)
     bodies = I.payloads(files, tables).join(B.table(tables, "items").where("type = 'grid'").select("path", "item"), ["path", "item"])
     grids = P.parsed(bodies.select("path", "item", "payload"), "payload", P.grid).select("path", "item", "value.*")
     cells = I.grid_cells(grids.select("path", "item", "rows", "columns"), *(B.table(tables, t) for t in ("items", "refs", "assoc", "props")))
@@ -280,7 +286,7 @@ def grid_cells(spark, sf_dir):
 @query("""SELECT p_partkey AS file_id, p_partkey % 4 <> 0 AS preferred, 1::BIGINT AS base, CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE 2 END::BIGINT AS map,
 CASE WHEN p_partkey % 5 = 0 THEN 'bitstream' WHEN p_partkey % 7 = 0 THEN 'unsupported' END AS fault FROM part WHERE p_partkey % 3 = 1""")
 def gain_map_inputs(spark, sf_dir):
-    tables = B.file_tables(made(spark, sf_dir, "part", "p_partkey", derived))
+    tables = tables_of(made(spark, sf_dir, "part", "p_partkey", derived))
     items, refs = _numbered(tables), B.table(tables, "refs")
     maps = I.gain_map_preferred(tables, items, B.table(tables, "groups"))
     return maps.join(I.gain_map_inputs(maps, items, refs), ["path", "item"]).select(key(), "preferred", "base", "map", "fault")
@@ -288,7 +294,7 @@ def gain_map_inputs(spark, sf_dir):
 
 @query("""SELECT p_partkey AS file_id, '1,2' AS inputs, CASE WHEN p_partkey % 8 <> 7 THEN 8 END::BIGINT AS depth, CASE WHEN p_partkey % 8 = 7 OR p_partkey % 7 = 0 THEN 'unsupported' END AS fault FROM part WHERE p_partkey % 3 = 2 AND p_partkey % 5 <> 0""")
 def sample_program_inputs(spark, sf_dir):
-    tables = B.file_tables(made(spark, sf_dir, "part", "p_partkey", derived))
+    tables = tables_of(made(spark, sf_dir, "part", "p_partkey", derived))
     found = I.sample_program_inputs(tables, _numbered(tables), *(B.table(tables, t) for t in ("refs", "assoc", "props")))
     return found.select(key(), F.array_join(F.col("inputs").cast("array<string>"), ",").alias("inputs"), "depth", "fault")
 
@@ -557,7 +563,7 @@ def movie(k: int) -> bytes:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = B.file_tables(made(spark, sf_dir, "customer", "c_custkey", movie))
+    tables = tables_of(made(spark, sf_dir, "customer", "c_custkey", movie))
     return I.track_roles(B.table(tables, "tracks"))
 
 
