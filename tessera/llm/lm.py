@@ -235,22 +235,25 @@ class Network:
 
     def _forward(self, flat: np.ndarray, at: np.ndarray):
         near, target = self._near(flat, at), flat[at]
-        hidden, one = np.tile(self.bias, (len(at), 1)), np.empty((len(at), self.shape.hidden), self.embed.dtype)
+        total, one = np.tile(self.bias, (len(at), 1)), np.empty((len(at), self.shape.hidden), self.embed.dtype)
         for k in range(len(OFFSETS)):
-            hidden += np.take(self.embed, near[:, k], axis=0, out=one, mode="clip")
-        np.tanh(hidden, out=hidden)
+            total += np.take(self.embed, near[:, k], axis=0, out=one, mode="clip")
+        hidden = np.ones((len(at), self.shape.hidden + 1), self.embed.dtype)  # the last unit is always on: biases are its weights
+        np.tanh(total, out=hidden[:, :-1])
         group, place = np.divmod(target, self.shape.per_class)
         order = np.argsort(group.astype(np.uint16), kind="stable")
         edges = np.searchsorted(group[order], np.arange(self.shape.classes + 1))
         return near, hidden, group, place, order, edges
 
-    def _token_scores(self, hidden: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of classes and of tokens in their classes, with the biases as the last unit's."""
+        return np.vstack([self.to_class, self.class_bias]), np.concatenate([self.to_token, self.token_bias[:, None]], 1)
+
+    def _token_scores(self, hidden: np.ndarray, weights: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Of the tokens of each one's class; hidden in the order of classes, whose rows begin at edges."""
-        scores = np.empty((len(hidden), self.shape.per_class), np.float32)
+        scores = np.empty((len(hidden), self.shape.per_class), self.embed.dtype)
         for g in np.flatnonzero(np.diff(edges)).tolist():
-            mine = slice(edges[g], edges[g + 1])
-            np.matmul(hidden[mine], self.to_token[g], out=scores[mine])
-            scores[mine] += self.token_bias[g]
+            np.matmul(hidden[edges[g] : edges[g + 1]], weights[g], out=scores[edges[g] : edges[g + 1]])
         return scores
 
     @staticmethod
@@ -273,8 +276,9 @@ class Network:
     def log_probabilities(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of each token at the given positions, from its neighbours."""
         _, hidden, group, place, order, edges = self._forward(flat, at)
-        out = self._log_softmax_at(hidden @ self.to_class + self.class_bias, group)
-        out[order] += self._log_softmax_at(self._token_scores(hidden[order], edges), place[order])
+        classes, tokens = self._weights()
+        out = self._log_softmax_at(hidden @ classes, group)
+        out[order] += self._log_softmax_at(self._token_scores(hidden[order], tokens, edges), place[order])
         return out
 
     def _step(self, name: str, gradient: np.ndarray, rate: float, where=Ellipsis) -> None:
@@ -289,22 +293,24 @@ class Network:
     def train(self, flat: np.ndarray, at: np.ndarray, rate: float = 0.1) -> None:
         """One Adagrad step on the tokens at the given positions."""
         near, hidden, group, place, order, edges = self._forward(flat, at)
-        error = self._softmax_error(hidden @ self.to_class + self.class_bias, group)
+        classes, tokens = self._weights()
+        error = self._softmax_error(hidden @ classes, group)
         back = error @ self.to_class.T
         own = hidden[order]
-        inner = self._softmax_error(self._token_scores(own, edges), place[order])
-        gradient, inner_back = np.zeros_like(self.to_token), np.empty_like(own)
-        present = np.flatnonzero(np.diff(edges))
-        for g in present.tolist():
+        inner = self._softmax_error(self._token_scores(own, tokens, edges), place[order])
+        gradient, inner_back = np.zeros_like(tokens), np.empty_like(back)
+        for g in np.flatnonzero(np.diff(edges)).tolist():
             mine = slice(edges[g], edges[g + 1])
             np.matmul(own[mine].T, inner[mine], out=gradient[g])
             np.matmul(inner[mine], self.to_token[g].T, out=inner_back[mine])
-        self._step("to_class", hidden.T @ error, rate)
-        self._step("class_bias", error.sum(0), rate)
-        self._step("to_token", gradient, rate)
-        self._step("token_bias", np.add.reduceat(inner, edges[present], axis=0), rate, present)
+        by_class = hidden.T @ error
+        self._step("to_class", by_class[:-1], rate)
+        self._step("class_bias", by_class[-1], rate)
+        self._step("to_token", gradient[:, :-1], rate)
+        self._step("token_bias", gradient[:, -1], rate)
         back[order] += inner_back
-        back *= 1 - hidden * hidden
+        on = hidden[:, :-1]
+        back *= 1 - on * on
         self._step("bias", back.sum(0), rate)
         wide, size = np.ascontiguousarray(back.T, np.float64), self.shape.tokens + 1
         for k in range(len(OFFSETS)):  # the sum of the gradients of each token at each position
