@@ -31,7 +31,8 @@ def made(spark: SparkSession, sf_dir: str, table: str, key: str, make: Callable[
                 keys = batch.column(0)[at : at + 1024].to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array(map(str, keys), pa.string()), pa.array(map(make, keys), pa.binary())], names=["path", "content"])
 
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long")).mapInArrow(run, "path string, content binary")
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long"))
+    return keys.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, content binary")  # keys are small, files are not
 
 
 def tables_of(files: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ s AS (SELECT l.*, x.range AS x, y.range AS y, (x.range * 7 + y.range * 13 + p *
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("frame_id")
     third = lambda a, b: F.call_function("div", k, F.lit(a).cast("long")) % b
-    f = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("frame_id"))
+    f = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("frame_id")).repartition(spark.sparkContext.defaultParallelism)
     return f.select("frame_id", (4 + third(3, 5)).alias("w"), (3 + third(4, 4)).alias("h"), (8 + 2 * (k % 3)).cast("int").alias("depth"), (k % 4 >= 2).cast("int").alias("sx"), (k % 4 == 3).cast("int").alias("sy"))
 
 

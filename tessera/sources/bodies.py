@@ -503,8 +503,10 @@ def file_tables(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_pylist([{"path": path} | parse(content.as_py())], schema=schema)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [{"path": path} | parse(content.as_py()) for path, content in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, ", ".join(f"`{k}` {v}" for k, v in FIELDS.items()))
 
