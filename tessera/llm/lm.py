@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,10 @@ ROOM = 1_000_000
 TOP = np.float32(60)
 #: Sets of parameters that one task adds up.
 FAN = 32
+#: Words whose spelling is read at once.
+SPELL = 65536
+#: Words in buckets, besides those a shard is known to have, that wait to be told apart.
+WAIT = 200_000
 
 
 @dataclass(frozen=True)
@@ -75,13 +78,23 @@ def end_bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
+def end_codes(flat: np.ndarray, n: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Codes of the ends of words of n bytes (one or more) that end at stop in the bytes."""
+    last = flat[stop - 1].astype(np.int64)
+    return np.where(n > 1, flat[np.maximum(stop - 2, 0)].astype(np.int64) * 256 + last, 65536 + last)
+
+
 def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of words of a byte or more: all bytes, each word's length and where it ends, and the code of its end."""
     n = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
     stop = np.cumsum(n)
-    last = flat[stop - 1]
-    return flat, n, stop, np.where(n > 1, flat[np.maximum(stop - 2, 0)] * 256 + last, 65536 + last)
+    return flat, n, stop, end_codes(flat, n, stop)
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The column's values; to_pylist() makes a scalar of each first, which takes some fifteen times as long."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,49 +134,71 @@ class Spelling:
         codes, places, word = spelled(words)
         return self.ends[codes] + np.bincount(word, self.steps[places], len(words))
 
-    def shares(self, words: list[bytes], bucket: np.ndarray, counts: dict[bytes, int]) -> np.ndarray:
-        """log P(word | its bucket)."""
-        n = np.fromiter(map(counts.get, words, repeat(0)), np.float64, len(words))
+    def shares(self, words: list[bytes], bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log P(word | its bucket) of words that occur n times in the corpus."""
         return np.log(n + self.different[bucket] * np.exp(self.log_probabilities(words))) - np.log(self.total + self.different)[bucket]
 
 
 class Vocabulary(dict):
-    """Word -> token. A word that isn't known gets a number over the pad's, remembered for a while: token() tells its bucket, inside()
-    the logarithm of its spelling's share of it."""
+    """Word -> token. A word that isn't known gets a number over the pad's, remembered for a while: settled() tells its bucket, inside()
+    the logarithm of its share of it, by its spelling and the count that learn() was told."""
 
     def __init__(self, words: list[bytes], shape: Shape, spelling: Spelling | None = None):
         super().__init__(zip(words, range(len(words)), strict=True))
         self.words, self.shape, self.spelling = words, shape, spelling
-        self.base = shape.tokens + 1
-        self.counts: dict[bytes, int] = {}
+        self.base, self.known = shape.tokens + 1, pa.array(words, pa.large_binary())
         self.new: list[bytes] = []
-        self.buckets = self.shares = np.empty(0)
+        self.n: list[int] = []
+        self.buckets, self.shares = np.empty(0, np.int64), np.empty(0)
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = self.base + len(self.new)
         self.new.append(word)
+        self.n.append(0)
         return number
 
+    def learn(self, words: list[bytes], n: list[int]) -> None:
+        """Gives words in buckets their numbers; n: how often each occurs in the corpus."""
+        at = self.base + len(self.new)
+        self.update(zip(words, range(at, at + len(words))))
+        self.new += words
+        self.n += n
+
     def forget(self) -> None:
         """Between shards: starts anew."""
         self.clear()
         self.update(zip(self.words, range(len(self.words)), strict=True))
-        self.new, self.buckets, self.shares = [], np.empty(0), np.empty(0)
+        self.new, self.n, self.buckets, self.shares = [], [], np.empty(0, np.int64), np.empty(0)
+
+    def tokens(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Tokens of different words (large binary), and those among them that are in buckets; nothing is remembered."""
+        tokens = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        rare = np.flatnonzero(tokens < 0)
+        new = words.take(pa.array(rare))
+        if len(rare):
+            _, edges, flat = new.buffers()
+            edges = np.frombuffer(edges, np.int64)[new.offset : new.offset + len(new) + 1]
+            codes = end_codes(np.frombuffer(flat, np.uint8), np.diff(edges), edges[1:])
+            tokens[rare] = self.shape.first_bucket + end_bucket(codes, self.shape.buckets)
+        return tokens, new
 
     def settled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the numbers, and the positions of those over the pad's."""
         if len(self.new) > len(self.buckets):
-            fresh = self.new[len(self.buckets) :]
-            bucket = end_bucket(letters(fresh)[-1], self.shape.buckets)
-            self.buckets = np.concatenate([self.buckets, self.shape.first_bucket + bucket]).astype(np.int64)
-            if self.counts:
-                self.shares = np.concatenate([self.shares, self.spelling.shares(fresh, bucket, self.counts)])
+            bucket = end_bucket(letters(self.new[len(self.buckets) :])[-1], self.shape.buckets)
+            self.buckets = np.concatenate([self.buckets, self.shape.first_bucket + bucket])
         rare = np.flatnonzero(numbers > self.shape.tokens)
         tokens = numbers.copy()
         tokens[rare] = self.buckets[numbers[rare] - self.shape.tokens - 1]
         return tokens, rare
 
     def inside(self, numbers: np.ndarray) -> np.ndarray:
+        """Of numbers that settled() has seen."""
+        shares = [self.shares]
+        for a in range(len(self.shares), len(self.new), SPELL):
+            some = slice(a, a + SPELL)
+            shares.append(self.spelling.shares(self.new[some], self.buckets[some] - self.shape.first_bucket, np.array(self.n[some], np.float64)))
+        self.shares = np.concatenate(shares)
         return self.shares[numbers - self.shape.tokens - 1]
 
     def __reduce__(self):
@@ -184,11 +219,16 @@ def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
 def tokens_of(texts: list[bytes], vocabulary: Vocabulary, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' numbers with PAD pads around each, and the texts' lengths."""
     words, sizes = words_of(texts)
-    different = words.dictionary.to_pylist()
+    different = bytes_of(words.dictionary)
     numbers = np.fromiter(map(vocabulary.__getitem__, different), np.int64, len(different))
-    flat = np.full(sizes.sum() + PAD * (len(texts) + 1), pad, np.int64)
-    flat[positions_of(sizes)] = numbers[words.indices.to_numpy()]
-    return flat, sizes
+    return padded(numbers[words.indices.to_numpy()], sizes, pad), sizes
+
+
+def padded(numbers: np.ndarray, sizes: np.ndarray, pad: int) -> np.ndarray:
+    """Numbers of all texts' words with PAD pads around each text."""
+    flat = np.full(len(numbers) + PAD * (len(sizes) + 1), pad, np.int64)
+    flat[positions_of(sizes)] = numbers
+    return flat
 
 
 def positions_of(sizes: np.ndarray) -> np.ndarray:
@@ -357,7 +397,7 @@ def spelling_counts(counts: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = shared.value, np.zeros(2 * ENDS + CONTEXTS * SYMBOLS)
         for batch in batches:
-            rare = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in known]
+            rare = [(w, n) for w, n in zip(bytes_of(batch.column(0)), batch.column(1).to_numpy().tolist(), strict=True) if w not in known]
             if not rare:
                 continue
             codes, places, word = spelled([w for w, _ in rare])
@@ -423,35 +463,42 @@ def fit(docs: DataFrame, shape: Shape = Shape(), text_col: str = "text", id_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = shared.value
-        shard, net, n, texts, room, rare = None, None, 0, [], 0, set()
+        shard, net, n, texts, room = None, None, 0, [], 0
+        rare, fresh, most = pa.array([], pa.large_binary()), [], 0  # different words in buckets, and those of texts since
+
+        def distinct() -> None:
+            nonlocal rare, fresh, most
+            rare = pc.unique(pa.chunked_array([rare, *fresh]))
+            fresh, most = [], 2 * len(rare) + WAIT
 
         def learn() -> None:
             nonlocal n, texts, room
-            flat, sizes = tokens_of(texts, words, shape.tokens)
-            flat, _ = words.settled(flat)
+            found, sizes = words_of(texts)
+            tokens, new = words.tokens(found.dictionary)
+            flat = padded(tokens[found.indices.to_numpy()], sizes, shape.tokens)
             at = positions_of(sizes)
             np.random.default_rng((seed, n)).shuffle(at)
             for a in range(0, len(at), STEP):
                 net.train(flat, at[a : a + STEP])
             n, texts, room = n + len(at), [], 0
-            if len(words.new) > 200_000:
-                rare.update(words.new)
-                words.forget()
+            fresh.append(new)
+            if len(rare) + sum(map(len, fresh)) > most:
+                distinct()
 
         def done() -> Iterator[pa.RecordBatch]:
             if texts:
                 learn()
             if n:
-                rare.update(words.new)
-                columns = [pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([net.packed()], pa.binary()), pa.array([list(rare)], pa.list_(pa.binary()))]
+                distinct()
+                columns = [pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([net.packed()], pa.binary()), pa.ListArray.from_arrays([0, len(rare)], rare.cast(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "n", "mean", "words"])
 
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch), strict=True):
                 if key != shard:
                     yield from done()
-                    shard, net, n, texts, room, rare = key, start.copy(), 0, [], 0, set()
-                    words.forget()
+                    shard, net, n, texts, room = key, start.copy(), 0, [], 0
+                    rare, fresh, most = rare[:0], [], 0
                 texts.append(t)
                 room += len(t)
                 if room >= ROOM:
@@ -498,10 +545,9 @@ def score(docs: DataFrame, model: Model, words: DataFrame | None = None, ids: tu
                 if of[a] != now:
                     now = of[a]
                     words.forget()
-                    words.counts = {b"": 0}
                 part = batch.slice(a, b - a)
                 if not is_doc[a]:
-                    words.counts.update(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True))
+                    words.learn(bytes_of(part.column(2)), part.column(3).to_numpy().tolist())
                     continue
                 n, pll = scored(text_bytes(part, "__text"), words, net)
                 mean = pa.array(pll / np.maximum(n, 1), pa.float64(), mask=n == 0)
@@ -511,7 +557,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame | None = None, ids: tu
 
 
 def scored(texts: list[bytes], words: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and summed log-probability of each text; words.counts holds how often each word in a bucket occurs in the corpus."""
+    """Tokens and summed log-probability of each text; words in buckets that words.learn() wasn't told count as not in the corpus."""
     sizes, sums = [np.empty(0, np.int64)], [np.empty(0)]
     for part in batches_of(texts):
         numbers, n = tokens_of(part, words, net.shape.tokens)

@@ -1,9 +1,11 @@
 """Pseudo-likelihood: sums against naive terms, gradients against differences, spelling, held-out text, file splits, odd cases."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import lm, queries
@@ -169,3 +171,47 @@ def test_pseudo_likelihood_odd_cases(make_docs, odd_texts):
 def test_query_scores_every_row(spark, sf_dir):
     rows = queries.op1_pseudo_likelihood(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count() and all(r.pll <= 0 for r in rows)
+
+
+def test_words_are_looked_up_at_the_cost_of_counting_them():
+    text = " ".join(f"w{i}" for i in range(200_000)).encode()
+    vocabulary = lm.Vocabulary([b"w1", b"w2"], SMALL)
+    rare = [w for w in text.split() if w not in vocabulary.words]
+
+    def least(run, first=lambda: None):
+        took = []
+        for _ in range(3):
+            vocabulary.forget()
+            first()
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    counting = least(lambda: Counter(text.split()))
+    assert least(lambda: vocabulary.tokens(lm.words_of([text])[0].dictionary)) < 4 * counting  # in training
+    assert least(lambda: lm.tokens_of([text], vocabulary, SMALL.tokens), lambda: vocabulary.learn(rare, [1] * len(rare))) < 4 * counting  # in scoring
+
+
+def test_tokens_in_batch_are_those_word_by_word():
+    words = [b"aa", b"q", "é漢".encode(), b"zz", b"x" * 3000, b"bq", b"b"]
+    vocabulary = lm.Vocabulary([b"zz", b"aa"], SMALL)
+    numbers, _ = lm.tokens_of([b" ".join(words)], vocabulary, SMALL.tokens)
+    flat, _ = vocabulary.settled(numbers)
+    for part in (slice(0, 7), slice(2, 6), slice(3, 4), slice(0, 0)):
+        tokens, rare = vocabulary.tokens(pa.array(words, pa.large_binary())[part])
+        assert tokens.tolist() == flat[lm.PAD : -lm.PAD][part].tolist()
+        assert lm.bytes_of(rare) == [w for w in words[part] if w not in vocabulary.words]
+    assert lm.Vocabulary([], SMALL).tokens(pa.array(words[:1], pa.large_binary()))[0][0] >= SMALL.first_bucket
+
+
+def test_shards_tell_each_of_their_words_once(spark, sf_dir, monkeypatch):
+    for name, least in (("ROOM", 3000), ("WAIT", 50), ("SPELL", 70)):  # so that all three run out many times
+        monkeypatch.setattr(lm, name, least)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = lm.fit(docs, SMALL, shard_tokens=20_000)
+    rows = docs.select(lm.dealt(docs, model.shards, "doc_id", "text")[0].alias("shard"), "text").collect()
+    want = {(r.shard, w) for r in rows for w in (r.text or "").encode().split()} - {(k, w) for k in range(model.shards) for w in model.vocabulary.words}
+    assert model.shards > 1 and Counter((r.shard, bytes(r.word)) for r in model.words.collect()) == dict.fromkeys(want, 1)
+    told, untold = ({r.doc_id: r.pll for r in lm.score(docs, model, words).collect()} for words in (model.words, None))
+    assert told == pytest.approx(untold, rel=1e-6)
