@@ -3,6 +3,7 @@
 A row is one line of one plane: frame_id, plane (0 luma, 1 and 2 chroma, 3 alpha), y and samples (array of long), with the plane's width, height,
 sub_x, sub_y (1: half as many samples) and the frame's depth beside them. Frames of all sizes stand in one table; what is done to
 them comes from columns, so one plan serves them all. Lines are shuffled by frame and line; only rotation by odd turns moves blocks.
+Both sides of every join grow with the frames, and lines that are made from small keys look small to the planner: joins are merge joins.
 """
 
 from __future__ import annotations
@@ -96,9 +97,9 @@ def whole_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """The cells' lines, completed: if a cell of a grid has colour, monochrome ones get neutral chroma as the first coloured cell has it; if one has
     alpha, the others get an opaque plane. cells: grid_id, frame_id, pos, width, height, depth."""
     planes = rows.groupBy("frame_id").agg(F.bool_or(F.col("plane") == 1).alias("coloured"), F.bool_or(F.col("plane") == 3).alias("alpha"), F.max(F.when(F.col("plane") == 1, F.col("sub_x"))).alias("cx"), F.max(F.when(F.col("plane") == 1, F.col("sub_y"))).alias("cy"))
-    own = cells.join(planes, "frame_id")
+    own = cells.join(planes.hint("merge"), "frame_id")
     of_grid = own.groupBy("grid_id").agg(F.bool_or("coloured").alias("any_colour"), F.bool_or("alpha").alias("any_alpha"), F.min_by(F.struct("cx", "cy", "depth"), F.when(F.col("coloured"), F.col("pos"))).alias("like"))
-    judged = own.join(of_grid, "grid_id").where("any_colour")
+    judged = own.join(of_grid.hint("merge"), "grid_id").where("any_colour")
     line = lambda w, v: F.transform(F.sequence(_long(1), w), lambda _: v)
     neutral = power_of_two(F.col("like.depth") - 1)
     chroma = judged.where("not coloured").select("frame_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("plane"), F.col("like.cx").alias("sub_x"), F.col("like.cy").alias("sub_y"), F.col("like.depth").alias("depth"), F.col("width").alias("w"), F.col("height").alias("h"), neutral.alias("v"))
@@ -114,9 +115,9 @@ def mosaic(rows: DataFrame, cells: DataFrame, grids: DataFrame) -> DataFrame:
     rows: the cells' lines; cells: grid_id, frame_id, pos, width, height; grids: grid_id, rows, columns, width, height. A grid whose cells
     don't share their column's width and row's height, or don't cover the output, has no lines (see mosaic_faults()).
     """
-    good = grids.join(mosaic_faults(cells, grids), "grid_id", "left_anti").select("grid_id", "columns", F.col("width").alias("out_w"), F.col("height").alias("out_h"))
+    good = grids.join(mosaic_faults(cells, grids).hint("merge"), "grid_id", "left_anti").select("grid_id", "columns", F.col("width").alias("out_w"), F.col("height").alias("out_h"))
     placed = _placed(cells, good)
-    lines = rows.join(placed.select("grid_id", "frame_id", "column", "top", "out_w", "out_h"), "frame_id")
+    lines = rows.join(placed.select("grid_id", "frame_id", "column", "top", "out_w", "out_h").hint("merge"), "frame_id")
     w, h = ceil_shift(F.col("out_w"), F.col("sub_x")), ceil_shift(F.col("out_h"), F.col("sub_y"))
     at = (_right(F.col("top"), F.col("sub_y")) + F.col("y")).alias("y")
     keys = ["grid_id", "plane", "sub_x", "sub_y", "depth"]
@@ -127,17 +128,17 @@ def mosaic(rows: DataFrame, cells: DataFrame, grids: DataFrame) -> DataFrame:
 
 def _placed(cells: DataFrame, grids: DataFrame) -> DataFrame:
     """cells with row, column, left and top: sums of the sizes of the first row and column, one small array per grid."""
-    own = cells.join(grids, "grid_id").withColumns({"row": F.expr("pos div columns"), "column": F.expr("pos % columns")})
+    own = cells.join(grids.hint("merge"), "grid_id").withColumns({"row": F.expr("pos div columns"), "column": F.expr("pos % columns")})
     sizes = own.groupBy("grid_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("row") == 0, F.struct("column", "width"))))["width"].alias("widths"), F.array_sort(F.collect_list(F.when(F.col("column") == 0, F.struct("row", "height"))))["height"].alias("heights"),
     )
     before = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n.cast("int")), _long(0), lambda s, x: s + x)
-    return own.join(sizes, "grid_id").withColumns({"left": before("widths", F.col("column")), "top": before("heights", F.col("row"))}).drop("widths", "heights")
+    return own.join(sizes.hint("merge"), "grid_id").withColumns({"left": before("widths", F.col("column")), "top": before("heights", F.col("row"))}).drop("widths", "heights")
 
 
 def mosaic_faults(cells: DataFrame, grids: DataFrame) -> DataFrame:
     """grid_id, fault (bitstream) of grids whose cells differ within a row or column, or leave a part of the output uncovered."""
-    own = cells.join(grids.select("grid_id", "columns", F.col("width").alias("out_w"), F.col("height").alias("out_h")), "grid_id").withColumns({"row": F.expr("pos div columns"), "column": F.expr("pos % columns")})
+    own = cells.join(grids.select("grid_id", "columns", F.col("width").alias("out_w"), F.col("height").alias("out_h")).hint("merge"), "grid_id").withColumns({"row": F.expr("pos div columns"), "column": F.expr("pos % columns")})
     lines = own.groupBy("grid_id", "out_w", "out_h", "row").agg(F.sum("width").alias("w"), F.countDistinct("height").alias("n"), F.max("height").alias("h"))
     by_row = lines.groupBy("grid_id").agg(F.bool_or((F.col("n") > 1) | (F.col("w") < F.col("out_w"))).alias("bad"), F.sum("h").alias("h"), F.max("out_h").alias("out_h")).select("grid_id", (F.col("bad") | (F.col("h") < F.col("out_h"))).alias("bad"))
     by_column = own.groupBy("grid_id", "column").agg((F.countDistinct("width") > 1).alias("bad")).select("grid_id", "bad")
@@ -147,7 +148,7 @@ def mosaic_faults(cells: DataFrame, grids: DataFrame) -> DataFrame:
 def append_alpha(rows: DataFrame, alpha: DataFrame) -> DataFrame:
     """rows and the lines of each frame's alpha (a plane 0 of its own frame, with frame_id the owner's) as plane 3 at the owner's depth."""
     depth = rows.where("plane = 0 and y = 0").select("frame_id", F.col("depth").alias("to_depth"))
-    scaled = alpha.join(depth, "frame_id")
+    scaled = alpha.join(depth.hint("merge"), "frame_id")
     top = lambda d: power_of_two(F.col(d)) - 1
     value = F.transform("samples", lambda s: F.when(F.col("depth") == F.col("to_depth"), s).otherwise(F.call_function("div", s * top("to_depth") + F.shiftright(top("depth"), 1), top("depth"))))
     ready = scaled.withColumn("samples", value).drop("depth", "plane").withColumnRenamed("to_depth", "depth")  # a step each: in one, the lambda would see the new depth
@@ -162,7 +163,7 @@ def append_alpha_grid(rows: DataFrame, lines: DataFrame, cells: DataFrame, grids
 def alpha_faults(frames: DataFrame, alphas: DataFrame) -> DataFrame:
     """frame_id, fault of alpha images that don't fit: another size (bitstream), more planes than one (unsupported), a frame with alpha of its own
     (bitstream). frames: frame_id, width, height, planes (their numbers); alphas likewise, frame_id the owner's."""
-    both = frames.alias("f").join(alphas.alias("a"), "frame_id")
+    both = frames.alias("f").join(alphas.alias("a").hint("merge"), "frame_id")
     size = (F.col("a.width") != F.col("f.width")) | (F.col("a.height") != F.col("f.height"))
     fault = F.when(size, "bitstream").when(F.size("a.planes") != 1, "unsupported").when(F.array_contains("f.planes", 3), "bitstream")
     return both.select("frame_id", fault.alias("fault")).where("fault is not null")

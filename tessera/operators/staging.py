@@ -1,4 +1,4 @@
-"""Results of a step as tables in the cluster's shared folder, so that lineage ends there."""
+"""Results of a step as tables in the cluster's shared folder, so that lineage ends there; keys dealt over tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Keys that one task makes files or frames of.
+TASK_KEYS = 1 << 15
+
+
+def spread(keys: DataFrame) -> DataFrame:
+    """keys over a task per core, or over more where these would hold over TASK_KEYS each: what a task holds doesn't grow with the input."""
+    return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, -(-keys.count() // TASK_KEYS)))
+
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Writes df below spark.checkpoint.dir and reads it back; a lost executor costs no earlier step.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import colour as C
 from tessera.functions import icc
 from tessera.operators import frames as P
+from tessera.operators.staging import spread
 from tessera.plans.queries import query
 
 #: The frames' rule: size, depth, chroma layout (mono, 4:4:4, 4:2:2, 4:2:0) and alpha by key; a sample by its place.
@@ -22,7 +23,7 @@ s AS (SELECT l.*, x.range AS x, y.range AS y, (x.range * 7 + y.range * 13 + p *
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("frame_id")
     third = lambda a, b: F.call_function("div", k, F.lit(a).cast("long")) % b
-    f = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("frame_id")).repartition(spark.sparkContext.defaultParallelism)
+    f = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("frame_id")))
     return f.select("frame_id", (4 + third(3, 5)).alias("w"), (3 + third(4, 4)).alias("h"), (8 + 2 * (k % 3)).cast("int").alias("depth"), (k % 4 >= 2).cast("int").alias("sx"), (k % 4 == 3).cast("int").alias("sy"))
 
 
@@ -65,7 +66,7 @@ def planes_transformed(spark, sf_dir):
     k = F.col("frame_id")
     size = frames(spark, sf_dir).select("frame_id", "w", "h")
     six, zero = k % 6, F.lit(0).cast("long")
-    lines = planes(spark, sf_dir).join(size, "frame_id").withColumns({
+    lines = planes(spark, sf_dir).join(size.hint("merge"), "frame_id").withColumns({
         "crop_x": F.when(six == 0, k % 3).when(six == 1, zero + 2), "crop_y": F.when(six == 0, zero).when(six == 1, F.call_function("div", k, F.lit(6).cast("long")) % 2),
         "crop_width": F.when(six < 2, F.col("w") - 2), "crop_height": F.when(six < 2, F.col("h") - 1),
         "axis": F.when(k % 3 < 2, k % 3), "turns": F.call_function("div", k, F.lit(2).cast("long")) % 4,
@@ -86,7 +87,7 @@ s AS (SELECT g, ow, oh, i, p, z, x.range AS x, y.range AS y, coalesce(fill, (x.r
 @query(f"""WITH {CELLS}, t AS (SELECT g, ow, p, (CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 10 END) // z + x AS x, (i // 3 * 4) // z + y AS y, (ow + z - 1) // z AS pw, (oh + z - 1) // z AS ph, v FROM s)
 SELECT g AS frame_id, p AS plane, y, x, v::BIGINT AS v FROM t WHERE x < pw AND y < ph AND g % 10 <> 0 AND ow <= 18""")
 def mosaic_planes(spark, sf_dir):
-    g = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("grid_id"))
+    g = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("grid_id")))
     long = lambda n: F.lit(n).cast("long")
     grids = g.select("grid_id", long(2).alias("rows"), long(3).alias("columns"), (14 + F.col("grid_id") % 6).alias("width"), (7 + F.col("grid_id") % 3).alias("height"))
     i, grid = F.col("pos"), F.col("grid_id")
@@ -102,7 +103,7 @@ def mosaic_planes(spark, sf_dir):
 
 @query(f"""WITH {CELLS} SELECT g AS grid_id, 'bitstream' AS fault FROM g WHERE g % 10 = 0 OR ow > 18""")
 def mosaic_faults(spark, sf_dir):
-    g = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("grid_id"))
+    g = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("grid_id")))
     long = lambda n: F.lit(n).cast("long")
     cells = g.withColumn("pos", F.explode(F.sequence(long(0), long(5)))).withColumns({"width": 4 + 2 * (F.col("pos") % 3) + F.when((F.col("grid_id") % 10 == 0) & (F.col("pos") == 4), 2).otherwise(0), "height": 4 + 2 * F.expr("pos div 3")})
     return P.mosaic_faults(cells, g.select("grid_id", long(3).alias("columns"), (14 + F.col("grid_id") % 6).alias("width"), (7 + F.col("grid_id") % 3).alias("height")))
