@@ -23,8 +23,8 @@ def item_properties(associations: DataFrame, properties: DataFrame) -> DataFrame
     first record of an item counts. properties: file, place (1-based), kind, value.
     """
     first = associations.groupBy("file", "item").agg(F.min("record").alias("record"))
-    own = associations.join(first, ["file", "item", "record"])
-    found = own.join(properties.withColumnRenamed("place", "index"), ["file", "index"])
+    own = associations.join(first.hint("merge"), ["file", "item", "record"])
+    found = own.join(properties.withColumnRenamed("place", "index").hint("merge"), ["file", "index"])
     return last_wins(found, ["file", "item", "kind"], [F.col("pos")], ["value"])
 
 
@@ -36,7 +36,7 @@ def duplicate_keys(df: DataFrame, keys: list[str], rule: int) -> DataFrame:
 
 def orphans(df: DataFrame, key: str, parents: DataFrame, parent: str, rule: int) -> DataFrame:
     """Violation rows (rule, key, n) of keys that have no parent."""
-    return df.join(parents.select(F.col(parent).alias("__p")), F.col(key) == F.col("__p"), "left_anti").groupBy(key).agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), "n")
+    return df.join(parents.select(F.col(parent).alias("__p")).hint("merge"), F.col(key) == F.col("__p"), "left_anti").groupBy(key).agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), "n")
 
 
 def first_violation(violations: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def first_violation(violations: DataFrame) -> DataFrame:
 
 def with_fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Different rows of first, and those of second whose keys first has none of."""
-    return first.union(second.join(first.select(*keys).distinct(), keys, "left_anti").select(*first.columns)).distinct()
+    return first.union(second.join(first.select(*keys).distinct().hint("merge"), keys, "left_anti").select(*first.columns)).distinct()
 
 
 def closure(edges: DataFrame, roots: DataFrame, src: str, dst: str, root: str, most: int = 64) -> DataFrame:
@@ -58,9 +58,9 @@ def closure(edges: DataFrame, roots: DataFrame, src: str, dst: str, root: str, m
     e = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).distinct()
     levels = [settled(roots.select(F.col(root).alias("root"), F.col(root).alias("node"), F.lit(0).alias("depth")).distinct(), "closure")]
     for depth in range(1, most + 1):
-        step = levels[-1].join(e, F.col("node") == F.col("__s")).select("root", F.col("__d").alias("node")).distinct()
+        step = levels[-1].join(e.hint("merge"), F.col("node") == F.col("__s")).select("root", F.col("__d").alias("node")).distinct()
         for seen in levels:
-            step = step.join(seen, ["root", "node"], "left_anti")
+            step = step.join(seen.hint("merge"), ["root", "node"], "left_anti")
         front = settled(step.withColumn("depth", F.lit(depth)), "closure")
         if front.isEmpty():
             return functools.reduce(DataFrame.unionByName, levels)
@@ -74,7 +74,7 @@ def first_everywhere(groups: DataFrame, group: str, entity: str, place: str, oth
     firsts = groups.groupBy(F.col(group).alias("__g")).agg(F.min_by(entity, place).alias("__first"), F.collect_set(entity).alias("__all"))
     first = F.col(entity) == F.col("__first")
     counts = F.lit(True) if other is None else F.array_contains("__all", F.col(other))
-    return groups.join(firsts, F.col(group) == F.col("__g")).groupBy(entity).agg(F.bool_and(first | ~F.coalesce(counts, F.lit(False))).alias("preferred"))
+    return groups.join(firsts.hint("merge"), F.col(group) == F.col("__g")).groupBy(entity).agg(F.bool_and(first | ~F.coalesce(counts, F.lit(False))).alias("preferred"))
 
 
 def unpivot_metadata(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -67,6 +67,6 @@ def merge_tiles(tiles: DataFrame, key: str, tile: str, size: str, counts: DataFr
     each = tiles.groupBy(key).agg(F.count("*").alias("__n"), F.countDistinct(tile).alias("__d"), F.min(tile).alias("__low"), F.max(tile).alias("__top"))
     bad = (F.col(count) < 1) | (F.col("__low") < 0) | (F.col("__top") >= F.col(count)) | (F.col("__n") > F.col("__d"))
     fault = F.when(bad, "bitstream").when(F.coalesce("__d", F.lit(0)) < F.col(count), "unsupported")
-    checked = counts.select(key, count).join(each, key, "left").select(key, fault.alias("fault"))
-    whole = exclusive_running_sum(tiles.join(checked.where("fault is null"), key), F.col(size), [key], [tile], "offset").select(key, "fault", tile, "offset", size)
+    checked = counts.select(key, count).join(each.hint("merge"), key, "left").select(key, fault.alias("fault"))
+    whole = exclusive_running_sum(tiles.join(checked.where("fault is null").hint("merge"), key), F.col(size), [key], [tile], "offset").select(key, "fault", tile, "offset", size)
     return whole.unionByName(checked.where("fault is not null"), allowMissingColumns=True)

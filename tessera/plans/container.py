@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.integers import loop_count
 from tessera.operators import items as I
 from tessera.operators import sequence as S
-from tessera.operators.staging import settled
+from tessera.operators.staging import settled, spread
 from tessera.plans.queries import query
 from tessera.sources import bodies as B
 from tessera.sources import frame_header as H
@@ -32,7 +32,7 @@ def made(spark: SparkSession, sf_dir: str, table: str, key: str, make: Callable[
                 yield pa.RecordBatch.from_arrays([pa.array(map(str, keys), pa.string()), pa.array(map(make, keys), pa.binary())], names=["path", "content"])
 
     keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).cast("long"))
-    return keys.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string, content binary")  # keys are small, files are not
+    return spread(keys).mapInArrow(run, "path string, content binary")  # keys are small, files are not
 
 
 def tables_of(files: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ FROM x LEFT JOIN p ON x.k = p.k AND x.i = p.i GROUP BY x.k, x.i, x.method""")
 def item_payloads(spark, sf_dir):
     files = made(spark, sf_dir, "part", "p_partkey", still)
     tables = tables_of(files)
-    found = I.payloads(files, tables).join(B.table(tables, "locations").select("path", "item", "method"), ["path", "item"])
+    found = I.payloads(files, tables).join(B.table(tables, "locations").select("path", "item", "method").hint("merge"), ["path", "item"])
     digits = F.transform(F.sequence(F.lit(1), F.length("payload")), lambda j: F.conv(F.hex(F.substring("payload", j, F.lit(1))), 16, 10).cast("long"))
     total = F.when((F.col("method") == 1) & (F.length("payload") > 0), F.aggregate(digits, F.lit(0).cast("long"), lambda s, x: s + x))
     return found.select(key(), "item", F.length("payload").cast("long").alias("bytes"), total.alias("idat_sum"))
@@ -277,11 +277,11 @@ UNION ALL SELECT k, r, c, 640 + k % 10, 480, NULL, NULL, NULL, NULL, fault FROM
 def grid_cells(spark, sf_dir):
     files = made(spark, sf_dir, "part", "p_partkey", derived)
     tables = tables_of(files)
-    bodies = I.payloads(files, tables).join(B.table(tables, "items").where("type = 'grid'").select("path", "item"), ["path", "item"])
+    bodies = I.payloads(files, tables).join(B.table(tables, "items").where("type = 'grid'").select("path", "item").hint("merge"), ["path", "item"])
     grids = P.parsed(bodies.select("path", "item", "payload"), "payload", P.grid).select("path", "item", "value.*")
     cells = I.grid_cells(grids.select("path", "item", "rows", "columns"), *(B.table(tables, t) for t in ("items", "refs", "assoc", "props")))
     cells = cells.select("path", "pos", "cell", F.col("width").alias("cell_width"), "alpha", "fault")
-    return grids.join(cells, "path").select(key(), F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"), "width", "height", "pos", "cell", "cell_width", "alpha", "fault")
+    return grids.join(cells.hint("merge"), "path").select(key(), F.col("rows").cast("long").alias("rows"), F.col("columns").cast("long").alias("columns"), "width", "height", "pos", "cell", "cell_width", "alpha", "fault")
 
 
 @query("""SELECT p_partkey AS file_id, p_partkey % 4 <> 0 AS preferred, 1::BIGINT AS base, CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE 2 END::BIGINT AS map,
@@ -290,7 +290,7 @@ def gain_map_inputs(spark, sf_dir):
     tables = tables_of(made(spark, sf_dir, "part", "p_partkey", derived))
     items, refs = _numbered(tables), B.table(tables, "refs")
     maps = I.gain_map_preferred(tables, items, B.table(tables, "groups"))
-    return maps.join(I.gain_map_inputs(maps, items, refs), ["path", "item"]).select(key(), "preferred", "base", "map", "fault")
+    return maps.join(I.gain_map_inputs(maps, items, refs).hint("merge"), ["path", "item"]).select(key(), "preferred", "base", "map", "fault")
 
 
 @query("""SELECT p_partkey AS file_id, '1,2' AS inputs, CASE WHEN p_partkey % 8 <> 7 THEN 8 END::BIGINT AS depth, CASE WHEN p_partkey % 8 = 7 OR p_partkey % 7 = 0 THEN 'unsupported' END AS fault FROM part WHERE p_partkey % 3 = 2 AND p_partkey % 5 <> 0""")
@@ -578,7 +578,7 @@ SELECT k AS file_id, role, s AS sample_no, 1000 * c + k % 100 + CAST(coalesce(su
 def track_samples(spark, sf_dir):
     tracks = _tracks(spark, sf_dir)
     roles = tracks.select("path", "track_no", "role")
-    return I.track_samples(tracks).join(roles, ["path", "track_no"]).select(key(), "role", "sample_no", "offset", "size", "pts", "duration", "pts_ms")
+    return I.track_samples(tracks).join(roles.hint("merge"), ["path", "track_no"]).select(key(), "role", "sample_no", "offset", "size", "pts", "duration", "pts_ms")
 
 
 @query("""SELECT c_custkey AS file_id, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 4 IN (2, 3) THEN 'unknown' WHEN c_custkey % 4 = 1 THEN 'infinite' ELSE 'finite' END AS kind, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 4 = 0 THEN c_custkey % 3 END AS n FROM customer""")
@@ -593,8 +593,8 @@ def animations(spark, sf_dir):
     """Sample counts, duration and loops of every movie whose alpha track, if any, fits its colour track."""
     tracks = _tracks(spark, sf_dir)
     counts = tracks.groupBy("path").agg(*(F.coalesce(F.max(F.when(F.col("role") == r, F.size("sizes"))), F.lit(0)).cast("long").alias(r) for r in ("colour", "alpha")))
-    good = counts.join(I.alpha_count_faults(tracks).select("path"), "path", "left_anti")
+    good = counts.join(I.alpha_count_faults(tracks).select("path").hint("merge"), "path", "left_anti")
     colour = tracks.where("role = 'colour'")
     total = colour.select("path", "timescale", F.coalesce(F.aggregate("durations", F.lit(0).cast("long"), lambda s, d: s + d["count"] * d["duration"]), F.lit(0).cast("long")).alias("duration"))
     loops = I.track_repetition(colour).select("path", loop_count(F.col("kind"), F.col("n")).alias("loops"))
-    return good.join(total, "path").join(loops, "path").select(key(), "colour", "alpha", "duration", F.expr("(duration * 1000 + timescale div 2) div timescale").alias("duration_ms"), "loops")
+    return good.join(total.hint("merge"), "path").join(loops.hint("merge"), "path").select(key(), "colour", "alpha", "duration", F.expr("(duration * 1000 + timescale div 2) div timescale").alias("duration_ms"), "loops")

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as registry
 
 #: Queries whose joins have two sides that grow with the input.
-JOINED = ["mosaic_planes", "mosaic_faults", "alpha_appended", "alpha_faults", "planes_transformed"]
+JOINED = ["mosaic_planes", "mosaic_faults", "alpha_appended", "alpha_faults", "container_info", "planes_transformed"]
 
 
 @pytest.mark.parametrize("name", JOINED)
