@@ -186,7 +186,7 @@ def luma_lines(rows: DataFrame, position: str | None = None) -> DataFrame:
     spread = other.select("frame_id", "plane", "sub_x", "samples", F.inline(kept)).groupBy("frame_id", F.col("at").alias("y"), "plane", "sub_x").agg(F.min_by("samples", "second").alias("a"), F.max_by("samples", "second").alias("b"))
     wide = F.when(F.col("sub_x") == 1, F.flatten(F.transform(F.zip_with("a", "b", _mean_up), lambda v: F.array(v, v)))).otherwise(F.zip_with("a", "b", _mean_up))
     by_line = spread.select("frame_id", "y", "plane", wide.alias("s")).groupBy("frame_id", "y").agg(*(F.any_value(F.when(F.col("plane") == p, F.col("s")), ignoreNulls=F.lit(True)).alias(f"p{p}") for p in (1, 2, 3)))
-    lines = luma.join(by_line, ["frame_id", "y"], "left")
+    lines = luma.join(by_line.hint("merge"), ["frame_id", "y"], "left")
     fit = lambda c: F.slice(c, F.lit(1), F.col("width").cast("int"))
     return lines.select("frame_id", "y", "width", "depth", F.array("luma", *(fit(f"p{p}") for p in (1, 2, 3))).alias("lines"))
 
@@ -208,11 +208,11 @@ def resampled(lines: DataFrame, sizes: DataFrame) -> DataFrame:
     src = lambda i, n, m: F.least(F.greatest((i + 0.5) * m / n - 0.5, F.lit(0.0)), (m - 1).cast("double"))
     new = sizes.select("frame_id", "new_width", "new_height", F.explode(F.sequence(_long(0), F.col("new_height") - 1)).alias("to"))
     shape = lines.groupBy("frame_id").agg(F.max("width").alias("w"), F.max("height").alias("h"))
-    placed = new.join(shape, "frame_id").withColumn("at", src(F.col("to"), F.col("new_height"), F.col("h")))
+    placed = new.join(shape.hint("merge"), "frame_id").withColumn("at", src(F.col("to"), F.col("new_height"), F.col("h")))
     first = F.floor("at").cast("long")
     placed = placed.withColumns({"y0": first, "y1": F.least(first + 1, F.col("h") - 1), "fy": F.col("at") - first})
     of = lambda c: lines.select("frame_id", F.col("y").alias(c), F.col("samples").alias(f"s_{c}"))
-    both = placed.join(of("y0"), ["frame_id", "y0"]).join(of("y1"), ["frame_id", "y1"])
+    both = placed.join(of("y0").hint("merge"), ["frame_id", "y0"]).join(of("y1").hint("merge"), ["frame_id", "y1"])
 
     def sample(x: Column) -> Column:
         def mixed(p: Column) -> Column:
