@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as registry
 
 #: Queries whose joins have two sides that grow with the input.
-JOINED = ["mosaic_planes", "mosaic_faults", "alpha_appended", "alpha_faults", "container_info", "first_item_fault", "effective_primary", "gain_map_inputs", "item_metadata", "grid_cells", "sample_program_inputs", "item_payloads", "alpha_items", "chroma_at_luma", "frames_rgba", "gain_map_resampled", "planes_transformed"]
+JOINED = ["mosaic_planes", "mosaic_faults", "alpha_appended", "alpha_faults", "container_info", "first_item_fault", "effective_primary", "gain_map_inputs", "item_metadata", "grid_cells", "sample_program_inputs", "item_payloads", "alpha_items", "chroma_at_luma", "frames_rgba", "gain_map_resampled", "track_samples", "animations", "planes_transformed"]
 
 
 @pytest.mark.parametrize("name", JOINED)
