@@ -492,8 +492,10 @@ def played(slotted: DataFrame) -> DataFrame:
 
 def _bits(*fields: tuple[int, int]) -> bytes:
     """Fields (value, bits) as bytes, with a closing one."""
-    text = "".join(f"{v & (1 << n) - 1:0{n}b}" for v, n in fields if n) + "1"
-    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+    value, size = 0, 1
+    for v, n in fields:
+        value, size = value << n | v & (1 << n) - 1, size + n
+    return ((value << 1 | 1) << -size % 8).to_bytes(-(-size // 8), "big")
 
 
 def coded_sequence(user: int) -> bytes:

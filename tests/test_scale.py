@@ -12,3 +12,8 @@ JOINED = ["mosaic_planes", "mosaic_faults", "alpha_appended", "alpha_faults", "c
 def test_no_side_of_a_join_goes_through_the_driver(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_headers_of_a_track_are_read_without_a_pandas_frame_per_track(spark, sf_dir):
+    plan = registry.queries()["frame_headers"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Pandas" not in plan
