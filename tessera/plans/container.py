@@ -100,8 +100,7 @@ ITEMS = "f AS (SELECT p_partkey AS k, 2 + p_partkey % 4 AS n FROM part), i AS (S
 
 @query("""SELECT p_partkey AS file_id, 'avif' AS major, CASE WHEN p_partkey % 3 = 0 THEN 'mif1,avis' ELSE 'mif1' END AS brands, true AS avif, 1::BIGINT AS primary_item FROM part""")
 def file_brands(spark, sf_dir):
-    files = stills(spark, sf_dir)
-    return files.join(B.is_avif(files), "path").select(key(), "major", F.array_join("brands", ",").alias("brands"), "avif", "primary_item")
+    return B.is_avif(stills(spark, sf_dir)).select(key(), "major", F.array_join("brands", ",").alias("brands"), "avif", "primary_item")
 
 
 @query(f"""WITH {ITEMS} SELECT k AS file_id, i AS item, CASE WHEN i IN (1, n) OR (k + i) % 3 <> 0 THEN 'av01' ELSE 'Exif' END AS type, CASE WHEN k % 2 = 1 THEN 'i' || i ELSE '' END AS name FROM i""")
